@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxjoin.llm import mixing, packing, passages, quality, simhash, simhash
+from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, simhash
 from proxjoin.llm.common import materialize
 
 
@@ -21,6 +21,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,6 +42,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     featured = quality.features(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     return quality.judge(materialize(featured)).select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
@@ -43,5 +59,20 @@ def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.digest(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash, op5_mixing, op7_quality_rules, op8_packing, op9_passages)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance)
+}
+
+NEIGHBOURS_SQL = """
+WITH usable AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM near)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql()}
