@@ -84,6 +84,18 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return out.drop(*[f"_v_{n}" for n in names], *[f"_b_{n}" for n in names])
 
 
+def parcel(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, _text): all columns but the text in one struct, so that no name can clash with an operator's own."""
+    return docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+
+
+def unparcel(df: DataFrame, like: DataFrame, text: str, size: str | None = None) -> DataFrame:
+    """The columns of ``like`` from (_row, _text); column ``size``, if there is one, is the text's new length."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    row = lambda c: F.col("_row").getField(c)
+    return df.select(*[F.col("_text").alias(c) if c == text else F.length("_text").cast(kinds[c]).alias(c) if c == size else row(c).alias(c) for c in like.columns])
+
+
 def hash_bucket(key: Column, bits: int = 12) -> Column:
     """The upper bits of a 64-bit hash as a bucket number."""
     return F.shiftrightunsigned(key, 64 - bits).cast("int")

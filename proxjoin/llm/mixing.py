@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proxjoin.llm.common import hash_bucket, materialize, prefix_sums, word_count, words_of
+from proxjoin.llm.common import hash_bucket, materialize, parcel, prefix_sums, unparcel, word_count, words_of
 
 WEIGHTS = (5, 2, 1)
 #: The golden ratio's fraction, and that of its product with 2 ** 20.
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     cut = cut.join(taken, [*place, "block_no"], "left")
     since = F.greatest(F.col("start"), F.col("block_no") * block)
     whole_words = F.least(end, (F.col("block_no") + 1) * block) - since
-    part_words = F.greatest(F.lit(0), F.least(end, F.col("block_no") * block + F.col("part")) - since)
+    # least() passes over nulls, so a block without a cut slot is told apart first.
+    part_words = F.when(F.col("part").isNotNull(), F.greatest(F.lit(0), F.least(end, F.col("block_no") * block + F.col("part")) - since))
     out = cut.groupBy(*place, "row", "doc_id", "size", *[f"_keep_{c}" for c in keep]).agg(
         F.coalesce(F.sum(F.coalesce("times", F.lit(0)) * whole_words + F.coalesce(part_words, F.lit(0))), F.lit(0)).cast("long").alias("taken")
     )
@@ -112,18 +113,15 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: str
     """The mix itself, with the columns of ``docs``: each document as many times as it is taken whole, and the words of
     the last round where it is cut (one document of a source at most; its words are then joined by single spaces).
     """
-    names = docs.columns
-    renamed = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text]).alias("row"))
-    taken = mix(renamed.select("_key", "_source", "_text", F.xxhash64("_text").alias("_th")), "_source", "_text", "_key", block, ["_th"])
+    renamed = parcel(docs, text).select("_row", "_text", F.col("_row").getField(key).alias("_key"), F.col("_row").getField(source).alias("_source"), F.xxhash64("_text").alias("_th"))
+    taken = mix(renamed.select("_key", "_source", "_text", "_th"), "_source", "_text", "_key", block, ["_th"])
     taken = taken.where("taken > 0").groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list("taken")).alias("all_taken"))
     # Rows of one id and text are one another's copies: the n-th row takes the n-th number.
-    nth = F.row_number().over(Window.partitionBy("_key", "_th").orderBy(F.xxhash64("row")))
-    rows = renamed.withColumn("_th", F.xxhash64("_text")).withColumn("_nth", nth)
+    nth = F.row_number().over(Window.partitionBy("_key", "_th").orderBy(F.xxhash64("_row")))
+    rows = renamed.withColumn("_nth", nth)
     out = rows.join(taken, rows["_key"].eqNullSafe(taken["doc_id"]) & (rows["_th"] == taken["_th"])).withColumn("_taken", F.get("all_taken", F.col("_nth") - 1)).where("_taken > 0")
     out = out.withColumn("_size", word_count(F.col("_text")))
     rest = F.pmod("_taken", "_size")
-    words = words_of(F.col("_text"))
-    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, rest.cast("int")), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    part = F.when(rest > 0, F.array(F.array_join(F.slice(words_of(F.col("_text")), 1, rest.cast("int")), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
     copies = F.concat(F.array_repeat(F.col("_text"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), part)
-    out = out.withColumn("_text", F.explode(copies))
-    return out.select(*[F.col("_text").alias(c) if c == text else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == size else F.col("row")[c].alias(c) for c in names])
+    return unparcel(out.select("_row", F.explode(copies).alias("_text")), docs, text, size)

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proxjoin.llm.common import materialize, small_batches
+from proxjoin.llm.common import materialize, parcel, small_batches, unparcel
 from proxjoin.llm.suffixes import repeated_starts
 
 ANCHOR = 32
@@ -188,8 +189,8 @@ def _zipped(keyed: DataFrame) -> DataFrame:
             packed = pa.array([zlib.compress(x, 1) for x in batch.column("raw").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if n == "raw" else batch.column(n) for n in batch.schema.names], ["zipped" if n == "raw" else n for n in batch.schema.names])
 
-    fields = [("zipped binary" if f.name == "raw" else f"`{f.name}` {f.dataType.simpleString()}") for f in keyed.schema]
-    return keyed.mapInArrow(run, ", ".join(fields))
+    fields = [T.StructField("zipped", T.BinaryType()) if f.name == "raw" else f for f in keyed.schema]
+    return keyed.mapInArrow(run, T.StructType(fields))
 
 
 def removed_runs(runs: list | None) -> list[tuple[int, int]]:
@@ -231,17 +232,16 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, size: str | None = "n_chars") -> DataFrame:
     """``docs`` without the repeated passages. Bytes left of a character that was cut go too; null texts stay null."""
     _, runs = repeated_passages(docs, key, text, length)
-    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    names = docs.columns
-    keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(raw).alias("_th"), F.col(text).isNull().alias("_null"), raw.alias("raw"), *[F.col(f"`{c}`") for c in names if c != text])
-    joined = _zipped(keyed).join(runs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "runs"), ["_id", "_th"], "left")
+    raw = F.coalesce(F.col("_text").cast("binary"), F.lit(b""))
+    keyed = parcel(docs, text).select(F.coalesce(F.col("_row").getField(key).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(raw).alias("_th"), F.col("_text").isNull().alias("_null"), raw.alias("raw"), "_row")
+    joined = _zipped(keyed).join(runs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "runs"), ["_id", "_th"], "left").select("_null", "zipped", "runs", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
             for null, packed, found in zip(*(batch.column(c).to_pylist() for c in ("_null", "zipped", "runs")), strict=True):
                 out.append(None if null else _remove(zlib.decompress(packed), removed_runs(found)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], ["_row", "_text"])
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn(size, F.length(text).cast(docs.schema[size].dataType)) if size and size in names else out
+    out = joined.mapInArrow(run, T.StructType([keyed.schema["_row"], T.StructField("_text", T.StringType())]))
+    return unparcel(out, docs, text, size)

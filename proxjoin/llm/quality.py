@@ -4,8 +4,8 @@ All per-document work is built-in functions; the model is fitted on the counts o
 at most ``3 ** len(RULES)``, whatever the size of the corpus.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Repeated rows are judged
-row by row. An empty table gives no rows. Further columns pass through; columns this operator adds replace columns
-of the same name.
+row by row. An empty table gives no rows. Further columns pass through; ``features`` and ``judge`` replace columns named
+as those they add, ``keep_good`` touches none.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proxjoin.llm.common import SPACES, let, words_of
+from proxjoin.llm.common import SPACES, let, materialize, parcel, unparcel, words_of
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -115,3 +115,9 @@ def judge(featured: DataFrame) -> DataFrame:
     for r, w in zip(RULES, weights, strict=True):
         z = z + votes[r] * F.lit(w)
     return featured.withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    judged = judge(materialize(features(parcel(docs, text), "_text")))
+    return unparcel(judged.where("kept"), docs, text)

@@ -20,10 +20,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proxjoin.llm.common import materialize, small_batches
+from proxjoin.llm.common import materialize, parcel, small_batches, unparcel
 from proxjoin.llm.graph import components
 
 BITS, RADIUS = 64, 2
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp), a row for each row; fp is the fingerprint as a signed number."""
+    """(doc_id, th, fp), a row for each row; th is a hash of the text, fp the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps)], ["doc_id", "th", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def near(differing: Iterator[np.ndarray], radius: int = RADIUS) -> np.ndarray:
@@ -188,21 +189,21 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of ``docs``."""
+    """(doc_id, th, fp, root, component_id), a row for each row of ``docs``; root is the component's least fingerprint."""
     prints = materialize(fingerprints(docs, key, text))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(groups, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(groups, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of repeated ids, the least text."""
-    from pyspark.sql import Window
-
-    heads = near_duplicates(docs, key, text).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    once = Window.partitionBy(key).orderBy(F.hash(text), text)
-    kept = docs.join(heads, docs[key].eqNullSafe(heads.doc_id), "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    """One row of each component: that with the least id (null last), then the least hash of its text."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    heads = near_duplicates(docs, key, text).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    rows = parcel(docs, text).withColumn("_key", F.col("_row").getField(key).cast("long")).withColumn("_hash", F.xxhash64("_text"))
+    kept = rows.join(heads, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
+    once = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row"))  # rows of one id and text are copies
+    return unparcel(kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1"), docs, text)
