@@ -107,7 +107,7 @@ def _pairs_of_bucket(fps: np.ndarray, radius: int, block: int = 64) -> tuple[np.
     planes = _planes(fps)
     varied = [b for b in range(BITS) if planes[b].any() and np.bitwise_not(planes[b]).any()]
     wide = -(-planes.shape[1] // 8) * 8
-    planes = np.pad(planes, ((0, 0), (0, wide - planes.shape[1]))).view("<u8")
+    planes = np.ascontiguousarray(np.pad(planes, ((0, 0), (0, wide - planes.shape[1])))).view("<u8")
     for k in range(0, len(fps), block):
         some = fps[k : k + block]
         since = k // 64
