@@ -60,8 +60,8 @@ def _hashes(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice
     return _mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start])
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text of at least ``length`` bytes: hash, hash of the span, first window, last window."""
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text of at least ``length`` bytes: hash, hash of the span, first window, last window, place."""
     b = np.frombuffer(raw, np.uint8)
     n = len(b)
     sums = np.zeros(n + 1, np.uint64)
@@ -78,11 +78,14 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     last = np.r_[first[1:] - 1, len(at) - 1]
     at = at[first]
     place = _mix((at - first).astype(np.uint64) << np.uint64(20) | (last - first).astype(np.uint64))
-    return h[at], _hashes(sums, first, last + length, n) ^ place, first, last
+    return h[at], _hashes(sums, first, last + length, n) ^ place, first, last, at
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
-    """(row, id, th, hs, spans, places) of each text with windows; a place is first << 12 | last - first."""
+    """(row, id, th, hs, spans, places) of each text with windows.
+
+    A place is first << 24 | anchor - first << 12 | last - first.
+    """
     if length - ANCHOR + 1 > 1 << 12:
         raise ValueError("windows are too long")
 
@@ -94,8 +97,8 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 row += 1
                 if raw.as_py() is None or len(raw.as_buffer()) < length:
                     continue
-                h, span, first, last = anchors(raw.as_buffer().to_pybytes(), length)
-                for c, v in zip(out, (row, i, th, h.view("<i8"), span.view("<i8"), first << 12 | (last - first)), strict=True):
+                h, span, first, last, at = anchors(raw.as_buffer().to_pybytes(), length)
+                for c, v in zip(out, (row, i, th, h.view("<i8"), span.view("<i8"), first << 24 | (at - first) << 12 | (last - first)), strict=True):
                     c.append(v)
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "id", "th", "hs", "spans", "places"])
@@ -106,13 +109,16 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[int, int, bytes]]:
     """(key, start, bytes) of each open span; a span of a common anchor in runs, by their shared bytes."""
     for h, place, kinds in want:
-        first, wide = place >> 12, place & 0xFFF
+        first, anchor, wide = place >> 24, place >> 12 & 0xFFF, place & 0xFFF
         if kinds <= split:
             yield h, first, raw[first : first + wide + length]
             continue
-        for k in range(0, wide + 1, RUN):
-            a, b = first + k, first + min(k + RUN - 1, wide)
-            core = hashlib.blake2b(raw[b : a + length], digest_size=8, key=h.to_bytes(8, "little", signed=True) + k.to_bytes(2, "little"))
+        # Equal windows stand equally far before the anchor, so runs are counted back from it. All windows of a whole
+        # run share the bytes from its last start to its first end, also where a text has only some of its windows.
+        for k in range((anchor - wide) // RUN, anchor // RUN + 1):
+            low, high = anchor - k * RUN - RUN + 1, anchor - k * RUN
+            a, b = first + max(0, low), first + min(wide, high)
+            core = hashlib.blake2b(raw[first + high : first + low + length], digest_size=8, key=h.to_bytes(8, "little", signed=True) + k.to_bytes(2, "little"))
             yield int.from_bytes(core.digest(), "little", signed=True), a, raw[a : b + length]
 
 
@@ -174,7 +180,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     pieces = texts.select("row", "zipped", "want").mapInArrow(cut, "k long, row long, start long, piece binary")
     hits = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(search, "row long, start long, end long")
-    first, wide = F.shiftright("place", 12), F.col("place").bitwiseAND(F.lit(0xFFF))
+    first, wide = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit(0xFFF))
     runs = hits.unionByName(whole.select("row", first.alias("start"), (first + wide + length).alias("end")))
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     runs = runs.join(stored.select("row", "id", "th"), "row").groupBy("id", "th").agg(F.min("runs").alias("runs"))
