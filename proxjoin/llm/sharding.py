@@ -39,14 +39,15 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     cells = materialize(cells.withColumn("shard", F.col("home")))
     for turn in range(rounds):
         held = cells.groupBy("g", "shard").agg(F.sum("n").alias("m"))
+        load = _by_shard(cells.groupBy("shard").agg(F.sum("n")), shards)
         # A group is in as many shards as there are, at most.
-        strong = Window.partitionBy("g").orderBy(F.desc("m"), F.xxhash64("g", "shard"), "shard")
+        full = _of([int(x > q) for x, q in zip(load, quota, strict=True)], F.col("shard"))
+        strong = Window.partitionBy("g").orderBy(full, F.desc("m"), F.xxhash64("g", "shard"), "shard")
         every = Window.partitionBy("g")
         ranked = held.withColumn("rk", F.row_number().over(strong)).withColumn("need", F.ceil(F.sum("m").over(every) / least).cast("int"))
         ranked = ranked.withColumn("order", F.array_sort(F.collect_list(F.struct("rk", "shard")).over(every)))
         asks = ranked.where("rk > need").withColumn("to", F.get("order", F.pmod(F.col("rk") - 1, F.col("need")))["shard"])
         asks = materialize(asks.select("g", "shard", "to", "m", F.xxhash64(F.lit(turn), "g", "shard").alias("h")).where("to <> shard"))
-        load = _by_shard(cells.groupBy("shard").agg(F.sum("n")), shards)
         leaving = _by_shard(asks.groupBy("shard").agg(F.sum("m")), shards)
         room = [q - x + y for q, x, y in zip(quota, load, leaving, strict=True)]
         ran = prefix_sums(asks.withColumn("b", hash_bucket(F.col("h"))), ["to"], "b", ["h", "g", "shard"], {"before": F.col("m")})
