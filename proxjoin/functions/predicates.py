@@ -26,7 +26,7 @@ def clause(df: DataFrame, field: str, operator: str, value, compat_eq: str = "ty
         return column.cast("string") == F.lit(_text(value))
     if operator not in ORDER:
         raise ValueError(f"unknown operator {operator!r}; known: eq, {', '.join(ORDER)}")
-    return ORDER[operator](column.cast("double"), F.lit(float(value)))
+    return ORDER[operator](column.try_cast("double"), F.lit(float(value)))
 
 
 def where(df: DataFrame, stream: str, clauses: Iterable, compat_eq: str = "typed") -> DataFrame:

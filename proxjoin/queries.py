@@ -139,6 +139,27 @@ def grid_replicas(spark, folder):
     return grid.replicate(events(spark, folder), [F.col("x"), F.col("y")], L2, R).select("tupleId", "cell_0", "cell_1", "isReplica")
 
 
+@_query(f"WITH {E} SELECT id AS \"tupleId\", '[' || (floor(x/10.0)+0.5)*10.0 || ', ' || (floor(y/10.0)+0.5)*10.0 || ']' AS cell FROM e")
+def cell_keys(spark, folder):
+    cells = [geometry.cell_of(F.col(a), 10.0) for a in XY]
+    return events(spark, folder).select("tupleId", geometry.key(cells, 10.0).alias("cell"))
+
+
+@_query(f"""WITH {E}, f AS (SELECT *, {R * R} - pow(floor(y)-y, 2) AS inside, floor(y) AS edge FROM e)
+SELECT id AS "tupleId", round(x + sqrt(inside), 9) AS far, round(x - sqrt(inside), 9) AS near FROM f WHERE inside >= 0""")
+def sphere_roots(spark, folder):
+    point, fixed = [F.col("x"), F.col("y")], [None, F.floor("y").cast("double")]
+    roots = [F.round(geometry.sphere_root(point, fixed, 0, R, sign), 9) for sign in (1, -1)]
+    return events(spark, folder).select("tupleId", roots[0].alias("far"), roots[1].alias("near")).where("far IS NOT NULL")
+
+
+@_query(f"WITH {E} SELECT floor(x/10.0)::BIGINT AS cell_0, count(*) AS n FROM e GROUP BY 1")
+def cell_exchange(spark, folder):
+    cells = grid.cells(events(spark, folder), [F.col("x")], 10.0)
+    # The exchange puts a cell's rows in one partition, so counting needs no other.
+    return grid.exchange(cells, ["cell_0"]).groupBy("cell_0").agg(F.count("*").alias("n"))
+
+
 FAR2 = f"pow(greatest(abs(cell_0*{L2!r}-x),abs((cell_0+1)*{L2!r}-x)),2)+pow(greatest(abs(cell_1*{L2!r}-y),abs((cell_1+1)*{L2!r}-y)),2)"
 CORNER2 = FAR2.replace("greatest", "least")
 BOX2 = f"pow(greatest(cell_0*{L2!r}-x,0,x-(cell_0+1)*{L2!r}),2)+pow(greatest(cell_1*{L2!r}-y,0,y-(cell_1+1)*{L2!r}),2)"
@@ -427,6 +448,20 @@ def cms_reset(spark, folder):
     return sketch.reset(sketch.create(_keyed(spark, folder), F.col("key")), gone)
 
 
+@_query(f"WITH {CMS.format('CASE WHEN key = ' + chr(39) + 'click_0' + chr(39) + ' THEN 0 ELSE 1 END')} SELECT row::INTEGER AS row, bucket, value::DOUBLE AS value FROM t")
+def cms_remove(spark, folder):
+    k = _keyed(spark, folder)
+    taken_back = sketch.create(k.where("key = 'click_0'"), F.col("key"), F.lit(-1.0))
+    return sketch.merge([sketch.create(k, F.col("key")), taken_back])
+
+
+@_query(f"""WITH {REPLICAS}, k AS (SELECT cell_0 || ':' || cell_1 || '_' || s || CASE WHEN rep THEN '_replica' ELSE '' END AS key FROM r) SELECT key, count(*) AS n FROM k GROUP BY key""")
+def sketch_keys(spark, folder):
+    copies = grid.replicate(events(spark, folder), [F.col("x"), F.col("y")], L2, R)
+    key = sketch.composite_key(F.concat_ws(":", "cell_0", "cell_1"), F.col("streamId"), F.col("isReplica"))
+    return copies.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
 PANAKOS_KEY = "'u' || (user_id % 50) || '_' || (event_id % 997)"
 
 

@@ -14,12 +14,12 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def parse_records(entries: DataFrame, schema: T.StructType, data: str = "data", entry_id: str = "id") -> DataFrame:
     """Entries' JSON as rows of ``schema``, plus tupleId (the entry's id) and streamId.
 
-    Doubles are read as such, anything else as text, so a JSON true becomes ``true``. A missing key is null.
+    Doubles are read as such, anything else as text, so a JSON true becomes ``true``. A missing key or a malformed number is null.
     """
     fields = [f for f in schema.fields if f.name not in ("tupleId", "streamId")]
     raw = F.from_json(F.col(data), T.MapType(T.StringType(), T.StringType()))
     rows = entries.select(F.col(entry_id).cast("string").alias("tupleId"), raw.alias("_m"))
-    return rows.select("tupleId", *[F.try_element_at("_m", F.lit(f.name)).cast(f.dataType).alias(f.name) for f in fields], F.try_element_at("_m", F.lit("streamId")).alias("streamId"))
+    return rows.select("tupleId", *[F.try_element_at("_m", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields], F.try_element_at("_m", F.lit("streamId")).alias("streamId"))
 
 
 def json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:

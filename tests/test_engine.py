@@ -1,0 +1,270 @@
+"""The engine on fixtures, against brute force, and under changes that must not matter."""
+
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from proxjoin.functions import distance as D
+from proxjoin.functions import geometry
+from proxjoin.functions.predicates import clause, where
+from proxjoin.operators import aggregate, approx, cluster, grid, join, sketch, window
+from proxjoin.plans.config import Clause, groups, parse
+from proxjoin.plans.engine import run, split
+from proxjoin.sources import files, fixtures, sinks
+from proxjoin.streaming.counted import near_combinations
+
+S = ["stream_1", "stream_2", "stream_3"]
+FIELDS = [{"name": n, "type": t} for n, t in (("tupleId", "string"), ("lat", "double"), ("lon", "double"), ("velocity", "double"), ("time", "double"), ("onground", "string"))]
+
+
+def config(radius, where=None, aggregates=None, approximate=False, kind="euclidean", on=("lat", "lon")):
+    stages = [{"type": "join", "between": S, "on": list(on), "radius": radius, "distanceType": kind}]
+    stages += [{"type": "where", "clauses": where}] if where else []
+    stages += aggregates if aggregates is not None else [{"type": "avg", "aggregateStream": "stream_1", "aggregatableFields": ["velocity"]}]
+    return {"approximate": approximate, "streams": [{"id": s, "fields": FIELDS} for s in S], "queries": [{"id": "q-1", "stages": stages}]}
+
+
+def ids(wide):
+    return sorted(r.joinId for r in wide.select("joinId").collect())
+
+
+def points(spark, seed, n=25, whole=False, spread=12):
+    rnd = random.Random(seed)
+    at = lambda: float(rnd.randint(-spread, spread)) if whole else rnd.uniform(-spread, spread)
+    rows = {s: [(f"{s[-1]}_{i}", at(), at(), float(i)) for i in range(n)] for s in S}
+    return rows, {s: spark.createDataFrame(r, "tupleId string, x double, y double, v double") for s, r in rows.items()}
+
+
+def brute(rows, near):
+    out = []
+    for c in itertools.product(*rows.values()):
+        if all(near(a, b) for a, b in itertools.combinations(c, 2)):
+            out.append("-".join(sorted(r[0] for r in c)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("radius", "want"), [(9, []), (10, []), (15, ["T1_S1-T2_S2-T3_S3", "T5_S2-T6_S1-T7_S3"]), (25, ["T1_S1-T2_S2-T3_S3", "T2_S2-T3_S3-T4_S1", "T5_S2-T6_S1-T7_S3"])])
+def test_eight_rows(spark, radius, want):
+    assert ids(join.clique_join(split(fixtures.unit_8(spark), S), ["lat", "lon"], radius)) == want
+
+
+@pytest.mark.parametrize(("radius", "count"), [(9, 0), (15, 128), (25, 192), (30, 256), (10000, 1024)])
+def test_thirty_two_rows(spark, radius, count):
+    clauses = [{"stream": "stream_1", "field": "onground", "operator": "eq", "value": True}, {"stream": "stream_2", "field": "velocity", "operator": "gt", "value": 10}]
+    result = run(parse(config(radius, clauses)), split(fixtures.unit_32(spark), S))["q-1"]
+    assert result.aggregates[0].first().asDict() == {"queryId": "q-1", "count": count, "sum": 100.0 * count, "avg": 100.0 if count else 0.0}
+    if radius == 15:
+        assert result.rows.count() == 384
+        assert result.rows.columns == ["joinId", "tupleId", "lat", "lon", "velocity", "time", "onground", "streamId", "isExpired", "queryId"]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize("radius", [1.2, 4.0])
+def test_grid_is_brute_force(spark, radius, whole):
+    rows, tables = points(spark, 3 + whole, whole=whole)
+    want = brute(rows, lambda a, b: math.dist(a[1:3], b[1:3]) <= radius)
+    got = ids(join.clique_join(tables, ["y", "x"], radius))
+    assert got == want and len(set(got)) == len(got)
+    assert ids(join.nested_loop_join(tables, ["x", "y"], radius)) == want
+    assert ids(join.clique_join(tables, ["x", "y"], radius, salt=3)) == want
+    assert ids(join.clique_join(tables, ["x", "y"], radius, r_min=1.0, r_max=5.0)) == want
+
+
+def test_cosine_is_brute_force(spark):
+    rows, tables = points(spark, 9, whole=True, spread=4)
+
+    def near(a, b):
+        norms = math.hypot(*a[1:3]) * math.hypot(*b[1:3])
+        return (1 - max(0.0, (a[1] * b[1] + a[2] * b[2]) / norms) if norms else 1.0) <= 0.0501
+
+    assert ids(join.clique_join(tables, ["x", "y"], 0.0501, "cosine")) == brute(rows, near)
+    assert len(ids(join.clique_join(tables, ["x", "y"], 1.0, "cosine"))) == 25**3
+
+
+@pytest.mark.parametrize(("a", "b", "c", "radius", "count"), [((9.9, 5), (20.1, 5), (20.1, 5), 15, 1), ((0, 0), (3, 4), (3, 4), 5, 1), ((-0.5, 0), (0.5, 0), (0, 0), 1, 1), ((0, 0), (1, 0), (2, 0), 1.5, 0)])
+def test_edges(spark, a, b, c, radius, count):
+    tables = {s: spark.createDataFrame([(s, float(p[0]), float(p[1]))], "tupleId string, x double, y double") for s, p in zip(S, (a, b, c), strict=True)}
+    assert len(ids(join.clique_join(tables, ["x", "y"], radius))) == count
+    short = len(ids(join.clique_join(tables, ["x", "y"], radius, ring="g-1")))
+    assert short <= count
+
+
+def test_nulls_and_empty_streams(spark):
+    rows, tables = points(spark, 1, n=5)
+    odd = tables | {"stream_1": tables["stream_1"].unionByName(spark.createDataFrame([("n", None, 1.0, 1.0)], tables["stream_1"].schema))}
+    assert ids(join.clique_join(odd, ["x", "y"], 9.0)) == brute(rows, lambda a, b: math.dist(a[1:3], b[1:3]) <= 9)
+    none = tables | {"stream_2": tables["stream_2"].limit(0)}
+    wide = join.clique_join(none, ["x", "y"], 9.0)
+    assert aggregate.totals(wide, "stream_1", ["v"]).first().asDict() == {"count": 0, "sum": 0.0, "avg": 0.0}
+    assert join.unjoined(none, wide).count() == 10
+    with pytest.raises(ValueError):
+        join.clique_join({"a": tables["stream_1"]}, ["x"], 1.0)
+
+
+def test_clauses(spark):
+    df = spark.createDataFrame([("a", 10.0), ("true", 9.0), (None, None)], "t string, v double")
+    count = lambda *a, **k: df.where(clause(df, *a, **k)).count()
+    assert count("v", "eq", "10") == 1 and count("v", "eq", "10", compat_eq="string") == 0
+    assert count("t", "eq", True) == 1 and count("v", "gte", 9) == 2 and count("v", "lt", 10) == 1
+    with pytest.raises(ValueError):
+        clause(df, "v", "ne", 1)
+    assert where(df, "s", [Clause("other", "v", "gt", "50")]).count() == 3
+
+
+@pytest.mark.parametrize(("change", "message"), [
+    (lambda c: c["queries"][0]["stages"].pop(0), "first stage"),
+    (lambda c: c["queries"][0]["stages"].append({"type": "median"}), "unknown stage"),
+    (lambda c: c["queries"][0]["stages"][0].update(between=["stream_9"]), "unknown stream"),
+    (lambda c: c["queries"][0]["stages"][0].update(on=["altitude"]), "no field"),
+    (lambda c: c["queries"].append(c["queries"][0]), "differ"),
+])
+def test_bad_configurations(change, message):
+    raw = config(5)
+    change(raw)
+    with pytest.raises(ValueError, match=message):
+        parse(raw)
+
+
+def test_groups_share_axes():
+    raw = config(5)
+    raw["queries"].append({"id": "q2", "stages": [{"type": "join", "between": S[:2], "on": ["lon", "lat"], "radius": 9}]})
+    found = groups(parse(raw).queries)
+    assert [(g.name, g.r_min, g.r_max) for g in found] == [("[lat, lon]-EuclideanDistance", 5.0, 9.0)]
+
+
+def test_order_of_arrival_does_not_matter(spark):
+    clauses = [{"stream": "stream_1", "field": "time", "operator": "gt", "value": 2100}]
+    rows = fixtures.unit_32(spark)
+    results = [run(parse(config(25, clauses)), split(r, S))["q-1"].aggregates[0].first() for r in (rows, rows.orderBy(F.rand(3)))]
+    assert results[0] == results[1] and results[0]["count"] == 96
+
+
+def test_groups_and_having(spark):
+    stage = {"type": "sum", "aggregateStream": "stream_1", "aggregatableFields": ["velocity"], "groupableFields": ["time"], "having": [{"stream": "stream_1", "field": "time", "operator": "eq", "value": 2200}]}
+    out = run(parse(config(15, aggregates=[stage])), split(fixtures.unit_32(spark), S))["q-1"].aggregates[0].collect()
+    assert [(r["time"], r["count"], r["sum"]) for r in out] == [(2200.0, 64, 6400.0)]
+
+
+def test_ratio_values(spark):
+    one = spark.range(1)
+    p = [F.lit(5.0), F.lit(5.0)]
+
+    def ratio(x, y):
+        lo, hi = [F.lit(float(x)), F.lit(float(y))], [F.lit(x + 10.0), F.lit(y + 10.0)]
+        return one.select(geometry.volume_ratio(p, lo, hi, 15.0, 10.0)).first()[0]
+
+    assert ratio(10, 0) == pytest.approx(1.0) and ratio(10, 10) == pytest.approx(0.8357864376) and ratio(10, -10) == pytest.approx(0.9142135624)
+    whole = one.select(geometry.area_fraction(p, [F.lit(0.0), F.lit(0.0)], 10.0, 15.0)).first()[0]
+    assert whole == 1.0
+
+
+def test_offsets_have_one_direction():
+    kept = geometry.offsets(2.0, geometry.cell_length(2.0, 2), 2)
+    # In three dimensions the four far corners touch the sphere, and are kept so that rounding loses nothing.
+    assert len(kept) == 13 and len(geometry.offsets(2.0, geometry.cell_length(2.0, 3), 3)) == 59 + 4
+    assert all(tuple(-x for x in o) not in kept for o in kept if any(o))
+
+
+def test_copies_and_exchange(spark):
+    df = spark.createDataFrame([(1, 0.5, 0.5)], "tupleId int, x double, y double")
+    copies = grid.replicate(df, [F.col("x"), F.col("y")], 1.0, 1.4)
+    assert copies.where("NOT isReplica").count() == 1
+    assert grid.exchange(copies, ["cell_0"], 3).rdd.getNumPartitions() <= 3
+
+
+def test_window_join(spark):
+    rows, tables = points(spark, 7, n=20)
+    every = sorted((r for s in S for r in rows[s]), key=lambda r: r[0])
+    number = {r[0]: k + 1 for k, r in enumerate(every)}
+    made = window.sequence(tables[S[0]].unionByName(tables[S[1]]).unionByName(tables[S[2]]).withColumn("o", F.hash("tupleId")), "o", ["tupleId"])
+    assert sorted(r.seq for r in made.collect()) == list(range(1, 61))
+    numbered = {s: t.join(spark.createDataFrame(list(number.items()), "tupleId string, seq long"), "tupleId") for s, t in tables.items()}
+    near = lambda a, b: math.dist(a[1:3], b[1:3]) <= 8 and abs(number[a[0]] - number[b[0]]) < 30
+    want = [c for c in brute(rows, near)]
+    assert ids(window.window_join(numbered, ["x", "y"], 8.0, 30)) == want
+
+
+def test_running_totals(spark):
+    _, tables = points(spark, 5, n=10)
+    wide = join.clique_join(tables, ["x", "y"], 9.0)
+    rows = sorted(aggregate.running(wide, F.col("stream_1__v"), "stream_1", "v").collect(), key=lambda r: r["count"])
+    assert [r["count"] for r in rows] == list(range(1, wide.count() + 1))
+    assert rows[-1]["sum"] == pytest.approx(wide.agg(F.sum("stream_1__v")).first()[0])
+
+
+def test_approximation_in_one_cell(spark):
+    tables = {s: spark.createDataFrame([(i, 0.5, 0.5, 2.0) for i in range(k)], "tupleId int, x double, y double, v double") for s, k in zip(S, (2, 3, 4), strict=True)}
+    out = approx.estimate(tables, ["x", "y"], 2.0, S[0], "v").first()
+    assert out.joinCount >= 24 and out.joinAvg == pytest.approx(2.0)
+    raw = config(5, approximate=True)
+    got = run(parse(raw), split(fixtures.unit_32(spark), S))["q-1"].aggregates[0].first()
+    assert set(got.asDict()) == {"queryId", "joinCount", "joinSum", "joinAvg"}
+
+
+def test_sketch_is_never_below_truth(spark):
+    rnd = random.Random(2)
+    keys = [f"k{int(rnd.expovariate(0.2))}" for _ in range(500)]
+    df = spark.createDataFrame([(k, 0.5) for k in keys], "key string, v double")
+    made = sketch.create(df, F.col("key"), F.col("v"))
+    guess = {r.key: r.estimate for r in sketch.query(made, df).collect()}
+    assert all(guess[k] >= keys.count(k) * 0.5 - 1e-9 for k in guess)
+    assert sketch.total(made).first().n == 250 and sketch.total(sketch.merge([made, made])).first().n == 500
+    gone = sketch.reset(made, df.limit(1))
+    assert sketch.query(gone, df.limit(1)).first().estimate == 0
+    with pytest.raises(ValueError):
+        sketch.create(df, F.col("key"), buckets=0)
+    few = spark.createDataFrame([("a",)] * 2 + [("b",)] * 10, "key string")
+    assert {r.key: r.estimate for r in sketch.panakos_query(few, F.col("key")).collect()} == {"a": 2.0, "b": 10.0}
+    coded = spark.range(1).select(*[sketch.panakos_compat(F.lit(n), F.lit(v)) for n, v in ((1, 100.0), (3, 100.0), (4, 100.0), (10, 100.0), (10, 0.5))]).first()
+    assert list(map(float, coded)) == [1, 2, 102, 702, 2]
+
+
+def test_clusters(spark):
+    rows, tables = points(spark, 2)
+    centres = cluster.kmeans(tables[S[0]], ["x", "y"], 3)
+    assigned = cluster.assign(tables[S[0]], ["x", "y"], centres)
+    assert all(r.clusterId == min(range(3), key=lambda k: math.dist(centres[k], (r.x, r.y))) for r in assigned.collect())
+    assert cluster.recompute(assigned, ["x", "y"]).count() <= 3 and cluster.radius(assigned).count() <= 3
+    assert len(cluster.kmeans(tables[S[0]], ["x", "y"], 2, kind="cosine")) == 2
+    assert ids(join.distance_band_join(tables[S[0]], tables[S[1]], ["x", "y"], 3.0, centres)) == sorted("-".join(sorted((a[0], b[0]))) for a in rows[S[0]] for b in rows[S[1]] if math.dist(a[1:3], b[1:3]) <= 3)
+
+
+def test_array_distances(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0])], "a array<double>, b array<double>")
+    got = df.select(D.euclidean_array(F.col("a"), F.col("b")), D.cosine_array(F.col("a"), F.col("b")), D.normalise_array(F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [(5.0, 1.0, [0.6, 0.8]), (2.0, 1.0, [1.0, 0.0])]
+    D.register("blocks", lambda a, b: sum((F.abs(x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+    rows, tables = points(spark, 4, n=8)
+    assert ids(join.clique_join(tables, ["x", "y"], 9.0, "blocks")) == brute(rows, lambda a, b: abs(a[1] - b[1]) + abs(a[2] - b[2]) <= 9)
+    with pytest.raises(ValueError):
+        D.distance("none")
+
+
+def test_vector_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(99, [0.0] * 5), (98, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    norm = lambda x: math.sqrt(sum(a * a for a in x))
+    cosine = lambda x, y: 1 - max(0.0, sum(a * b for a, b in zip(x, y, strict=True)) / (norm(x) * norm(y))) if norm(x) * norm(y) else 1.0
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and cosine(x, y) <= 0.2}
+    assert {(r.id_a, r.id_b) for r in join.array_pairs(df, "v", 0.2, "vec_id").collect()} == want
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and math.dist(x, y) <= 1.5}
+    assert {(r.id_a, r.id_b) for r in join.array_pairs(df, "v", 1.5, "vec_id", "euclidean").collect()} == near
+
+
+def test_records_and_sinks(spark, tmp_path):
+    entries = spark.createDataFrame([("1-0", '{"lat": 48.1, "onground": false, "streamId": "s"}'), ("2-0", '{"lon": "x"}')], "id string, data string")
+    schema = parse(config(1)).streams["stream_1"]
+    a, b = files.parse_records(entries, schema).orderBy("tupleId").collect()
+    assert (a.tupleId, a.lat, a.lon, a.onground, a.streamId) == ("1-0", 48.1, None, "false", "s") and b.streamId is None
+    sinks.write_rows(entries.withColumn("queryId", F.lit("q")), str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).where("queryId = 'q'").count() == 2
+    sinks.discard(entries)
+
+
+def test_window_step():
+    w = [("a", [0.0], 1.0), ("b", [1.0], 1.0), ("b", [5.0], 1.0)]
+    assert len(near_combinations(("c", [0.5], 2.0), w, ["a", "b", "c"], 1.0)) == 1
