@@ -121,3 +121,35 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept."""
     judged = judge(materialize(features(parcel(docs, text), "_text")))
     return unparcel(judged.where("kept"), docs, text)
+
+
+def oracle_sql() -> str:
+    """The whole of it in DuckDB SQL: the model is a recursive table with a row for each round."""
+    space = r"[\x20\x09-\x0D]"
+    votes = [f"v{k}" for k in range(len(RULES))]
+    z = " + ".join(["ln(p / (1 - p))", *(f"{v} * ln(a{k} / (1 - a{k}))" for k, v in enumerate(votes))])
+    right = ", ".join(
+        f"CASE WHEN sum(c) FILTER ({v} <> 0) IS NULL THEN 0.8 ELSE least(0.95, greatest(0.6, sum(CASE WHEN {v} > 0 THEN c * q ELSE c * (1 - q) END) FILTER ({v} <> 0) / sum(c) FILTER ({v} <> 0))) END" for v in votes
+    )
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT r, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM n, range(3) s(k) WHERE n > 1 GROUP BY r),
+f AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+  len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+v AS (SELECT *,
+  CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END AS v0,
+  CASE WHEN 100 * n_symbols > 10 * n_words THEN -1 WHEN 100 * n_symbols <= n_words THEN 1 ELSE 0 END AS v1,
+  CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS v2,
+  CASE WHEN 100 * n_repeat_words > 50 * n_words THEN -1 WHEN 100 * n_repeat_words <= 25 * n_words THEN 1 ELSE 0 END AS v3,
+  CASE WHEN 10 * word_chars < 25 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 10 * n_words THEN 1 ELSE 0 END AS v4 FROM f),
+pattern AS (SELECT {", ".join(votes)}, count(*)::DOUBLE AS c FROM v GROUP BY ALL),
+model AS (SELECT 0 AS round, 0.8::DOUBLE AS p, {", ".join(f"0.8::DOUBLE AS a{k}" for k in range(len(votes)))}
+  UNION ALL SELECT round + 1, least(0.95, greatest(0.05, sum(c * q) / sum(c))), {right}
+  FROM (SELECT model.round, pattern.*, 1 / (1 + exp(-({z}))) AS q FROM model CROSS JOIN pattern WHERE model.round < 60) GROUP BY round)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({z}))) >= 0.5 AS kept, round(1 / (1 + exp(-({z}))), 6) AS quality
+FROM v CROSS JOIN (SELECT * FROM model WHERE round = 60)"""

@@ -48,7 +48,7 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     featured = quality.features(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    return quality.judge(materialize(featured)).select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
+    return quality.judge(materialize(featured)).select("doc_id", *quality.BASE, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,4 +75,4 @@ near AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM near)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
-ORACLE_SQL: dict[str, str] = {"op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
