@@ -7,6 +7,8 @@ from functools import reduce
 from itertools import combinations
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,24 +159,31 @@ def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str, kind: st
     Pivots are ``pivots`` vectors of the table, a number that doesn't grow with it. Zero vectors are at cosine
     distance 1 from all.
     """
-    unit = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    near = D.euclidean_array
-    if kind == "cosine":
-        if radius >= 1:
-            raise ValueError("within a cosine distance of 1 everything matches")
-        unit = unit.where(D.norm_array(F.col("v")) > 0).withColumn("u", D.normalise_array(F.col("v")))
-        reach = D.cosine_as_euclidean(radius)
-    else:
-        unit, reach = unit.withColumn("u", F.col("v").cast("array<double>")), radius
-    chosen = [r[0] for r in unit.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("u").limit(pivots).collect()]
+    if kind == "cosine" and radius >= 1:
+        raise ValueError("within a cosine distance of 1 everything matches")
+    reach = D.cosine_as_euclidean(radius) if kind == "cosine" else radius
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    chosen = [r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("v").limit(pivots).collect()]
     if not chosen:
         return df.sparkSession.createDataFrame([], "id_a long, id_b long, distance double")
-    far = F.array(*[F.struct(near(F.col("u"), F.array(*[F.lit(float(x)) for x in p])).alias("d"), F.lit(k).alias("pivot")) for k, p in enumerate(chosen)])
-    ranked = unit.withColumn("all", far).withColumn("near", F.array_min("all")).withColumn("n", D.norm_array(F.col("v")))
-    a = ranked.select(F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("n").alias("na"), F.inline(F.filter("all", lambda p: p["d"] <= F.col("near.d") + F.lit(2 * reach)))).withColumnRenamed("d", "da")
+    points = np.array(chosen, float)
+    unit = lambda x, n: x / np.where(n == 0, 1, n)[:, None] if kind == "cosine" else x
+    points = unit(points, np.sqrt((points * points).sum(axis=1)))
+
+    @F.pandas_udf("n double, d array<double>")
+    def measured(v: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_list()) if len(v) else np.zeros((0, points.shape[1]))
+        n = np.sqrt((x * x).sum(axis=1))
+        u = unit(x, n)
+        d = np.sqrt(((u[:, None, :] - points) ** 2).sum(axis=2))
+        return pd.DataFrame({"n": n, "d": list(d)})
+
+    ranked = rows.withColumn("m", measured("v")).select("id", "v", "m.n", F.transform("m.d", lambda d, k: F.struct(d.alias("d"), k.alias("pivot"))).alias("all"))
+    ranked = (ranked.where("n > 0") if kind == "cosine" else ranked).withColumn("near", F.array_min("all"))
+    a = ranked.select(F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("n").alias("na"), F.inline(F.filter("all", lambda p: p["d"] <= F.col("near.d") + F.lit(2 * reach * (1 + 1e-9))))).withColumnRenamed("d", "da")
     b = ranked.select(F.col("id").alias("id_b"), F.col("v").alias("vb"), F.col("n").alias("nb"), F.col("near.d").alias("db"), F.col("near.pivot").alias("pivot"))
     # A row's copies include the pivot next to each row near to it, so every pair comes in both orders; one is enough.
-    met = a.join(b, "pivot").where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("da") - F.col("db")) <= F.lit(reach)))
+    met = a.join(b, "pivot").where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("da") - F.col("db")) <= F.lit(reach * (1 + 1e-9))))
     width = len(chosen[0]) if len(chosen[0]) <= 128 else None
     dot = D.dot_array(F.col("va"), F.col("vb"), width)
     if kind == "cosine":
