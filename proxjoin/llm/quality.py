@@ -68,18 +68,22 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote: 1 for good, -1 for bad, 0 where it abstains."""
-    n, c = F.col("n_words"), F.col("word_chars")
+    """Each rule's vote: 1 for good, -1 for bad, 0 where it abstains.
+
+    What a rule doesn't complain of is no praise: rules for single faults abstain where they find none.
+    """
+    n, c, never = F.col("n_words"), F.col("word_chars"), F.lit(False)
     return {
-        "length": _vote(n >= 80, n < 50),
+        "length": _vote(never, n < 50),
         "symbols": _vote(100 * F.col("n_symbols") <= n, 100 * F.col("n_symbols") > 10 * n),
-        "lines": _vote(F.col("n_dup_lines") == 0, 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        "repeats": _vote(100 * F.col("n_repeat_words") <= 25 * n, 100 * F.col("n_repeat_words") > 50 * n),
-        "word_length": _vote((c >= 3 * n) & (c <= 10 * n), (10 * c < 25 * n) | (c > 12 * n)),
+        "symbol_chars": _vote(1000 * F.col("n_symbols") <= 5 * c, 1000 * F.col("n_symbols") > 30 * c),
+        "lines": _vote(never, 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        "repeats": _vote(never, 100 * F.col("n_repeat_words") > 40 * n),
+        "word_length": _vote(never, (c < 3 * n) | (c > 10 * n)),
     }
 
 
-RULES = ["length", "symbols", "lines", "repeats", "word_length"]
+RULES = ["length", "symbols", "symbol_chars", "lines", "repeats", "word_length"]
 
 
 def fit(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[float]]:
@@ -109,7 +113,7 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60) -> tu
 def judge(featured: DataFrame) -> DataFrame:
     """Add ``quality`` (posterior probability), ``base_failed`` and ``kept``. Reads ``featured`` twice: pass a stored table."""
     votes = rules()
-    counted = featured.groupBy(*[votes[r].alias(r) for r in RULES]).count().collect()  # 3 ** 5 rows at most
+    counted = featured.groupBy(*[votes[r].alias(r) for r in RULES]).count().collect()  # 3 ** 6 rows at most
     prior, weights = fit(((tuple(row[r] for r in RULES), row["count"]) for row in sorted(counted)))
     z = F.lit(prior)
     for r, w in zip(RULES, weights, strict=True):
@@ -141,11 +145,12 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM n, range(3) s(k)
 f AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
   len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
 v AS (SELECT *,
-  CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END AS v0,
+  CASE WHEN n_words < 50 THEN -1 ELSE 0 END AS v0,
   CASE WHEN 100 * n_symbols > 10 * n_words THEN -1 WHEN 100 * n_symbols <= n_words THEN 1 ELSE 0 END AS v1,
-  CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS v2,
-  CASE WHEN 100 * n_repeat_words > 50 * n_words THEN -1 WHEN 100 * n_repeat_words <= 25 * n_words THEN 1 ELSE 0 END AS v3,
-  CASE WHEN 10 * word_chars < 25 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 10 * n_words THEN 1 ELSE 0 END AS v4 FROM f),
+  CASE WHEN 1000 * n_symbols > 30 * word_chars THEN -1 WHEN 1000 * n_symbols <= 5 * word_chars THEN 1 ELSE 0 END AS v2,
+  CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN -1 ELSE 0 END AS v3,
+  CASE WHEN 100 * n_repeat_words > 40 * n_words THEN -1 ELSE 0 END AS v4,
+  CASE WHEN word_chars < 3 * n_words OR word_chars > 10 * n_words THEN -1 ELSE 0 END AS v5 FROM f),
 pattern AS (SELECT {", ".join(votes)}, count(*)::DOUBLE AS c FROM v GROUP BY ALL),
 model AS (SELECT 0 AS round, 0.8::DOUBLE AS p, {", ".join(f"0.8::DOUBLE AS a{k}" for k in range(len(votes)))}
   UNION ALL SELECT round + 1, least(0.95, greatest(0.05, sum(c * q) / sum(c))), {right}

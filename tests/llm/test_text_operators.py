@@ -72,6 +72,7 @@ def test_quality_verdict(docs, rows, empty):
     assert len(judged) == len(rows)
     assert not any(r.kept for r in judged if r.n_words < 50)
     assert any(r.kept for r in judged)
+    assert not any(r.kept for r in judged if r.n_symbols > r.n_words)
     assert all(0 <= r.quality <= 1 for r in judged)
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.keep_good(empty).count() == 0
@@ -80,7 +81,7 @@ def test_quality_verdict(docs, rows, empty):
 def test_quality_fit_finds_accuracies():
     rnd = random.Random(1)
     counts = Counter()
-    true = [0.9, 0.7, 0.9, 0.65, 0.8]
+    true = [0.9, 0.7, 0.9, 0.65, 0.8, 0.75]
     for _ in range(20_000):
         y = 1 if rnd.random() < 0.7 else -1
         counts[tuple(0 if rnd.random() < 0.2 else (y if rnd.random() < a else -y) for a in true)] += 1
