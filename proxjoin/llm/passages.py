@@ -134,11 +134,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stored = materialize(_anchor_rows(keyed, length))
     every = stored.select("row", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("spans").alias("span"), F.col("places").alias("place"))).alias("h", "span", "place"))
 
-    heads = every.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1").select("h", (F.col("low") != F.col("high")).alias("open"))
+    # Sums are stored before they are joined: Spark splits a hot key's partition only where both sides come from a shuffle.
+    heads = every.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
+    heads = materialize(heads.select("h", (F.col("low") != F.col("high")).alias("open")))
     again = materialize(every.join(heads, "h"))
     mixed = again.where("open")
-    spans = mixed.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    kinds = spans.groupBy("h").agg(F.count("*").cast("int").alias("kinds"))
+    spans = materialize(mixed.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
+    kinds = materialize(spans.groupBy("h").agg(F.count("*").cast("int").alias("kinds")))
     wanted = spans.join(kinds, "h").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("h", "one.place", "kinds")).alias("want"))
     whole = again.where("NOT open").select("row", "place").unionByName(mixed.join(spans.where("n > 1").select("h", "span"), ["h", "span"]).select("row", "place"))
 
