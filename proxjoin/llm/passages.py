@@ -122,7 +122,7 @@ def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[i
             yield int.from_bytes(core.digest(), "little", signed=True), a, raw[a : b + length]
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, split: int = 20_000, shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, split: int = 20_000, shard_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """The documents as (id, th, zipped text, the columns of ``docs``), and (id, th, starts, ends) of the repeated runs.
 
     Runs of one document may overlap; ends are those of the last windows.
