@@ -290,10 +290,10 @@ def cosine_pair_embeddings(spark, folder):
 COS = "(1-greatest(0.0,({0}.x*{1}.x+{0}.y*{1}.y)/(sqrt({0}.x*{0}.x+{0}.y*{0}.y)*sqrt({1}.x*{1}.x+{1}.y*{1}.y))))"
 
 
-@_query(f"WITH {E} SELECT count(*) AS n FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND a.x < 8 AND b.x < 8 AND {COS.format('a', 'b')} <= 0.0001")
+@_query(f"WITH {E} SELECT count(*) AS n FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {COS.format('a', 'b')} <= 0.0001")
 def cosine_join_2d(spark, folder):
     s = streams(spark, folder)
-    return join.clique_join({k: s[k].where("x < 8") for k in ("s0", "s1")}, XY, 0.0001, "cosine").agg(F.count("*").alias("n"))
+    return join.clique_join({k: s[k] for k in ("s0", "s1")}, XY, 0.0001, "cosine").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(c_acctbal::DOUBLE - s_acctbal::DOUBLE) <= 1.0")
@@ -388,7 +388,7 @@ def window_count_join(spark, folder):
     return _ids(window.window_join(_numbered(spark, folder), XY, 5.0, W))
 
 
-@_query(f"WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W}")
+@_query(f"WITH {SEQ.replace('FROM e)', 'FROM e WHERE x < 20)')}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W.replace(str(W), '120')} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - 120")
 def window_count_agg(spark, folder):
     last = events(spark, folder).count()
     left = window.alive(window.window_join(_numbered(spark, folder), XY, 5.0, W), S, last, W)
