@@ -388,7 +388,7 @@ def window_count_join(spark, folder):
     return _ids(window.window_join(_numbered(spark, folder), XY, 5.0, W))
 
 
-@_query(f"WITH {SEQ.replace('FROM e)', 'FROM e WHERE x < 20)')}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W.replace(str(W), '120')} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - 120")
+@_query(f"WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W}")
 def window_count_agg(spark, folder):
     last = events(spark, folder).count()
     left = window.alive(window.window_join(_numbered(spark, folder), XY, 5.0, W), S, last, W)
@@ -562,11 +562,11 @@ def stream_clique_join(spark, folder):
     return spark.read.schema(wide.schema).parquet(f"{at}/rows")
 
 
-@_query(f"WITH {SEQ.replace('FROM e)', 'FROM e WHERE x < 20)')}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W.replace(str(W), '120')} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - 120")
+@_query(f"WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W}")
 def stream_count_window(spark, folder):
     e, at = _event_stream(spark, folder), _scratch(spark)
-    e = e.where("x < 20").withColumn("streamId", F.concat(F.lit("s"), F.col("s").cast("string"))).withColumn("all", F.lit("all"))
-    out = count_window(e, "all", "tupleId", "streamId", XY, "y", S, 5.0, 120, "s0")
+    e = e.withColumn("streamId", F.concat(F.lit("s"), F.col("s").cast("string"))).withColumn("all", F.lit("all"))
+    out = count_window(e, "all", "tupleId", "streamId", XY, "y", S, 5.0, W, "s0")
     sinks.stream_rows(out, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     rows = spark.read.schema(out.schema).parquet(f"{at}/rows")
     return rows.agg(F.max_by("count", "seq").alias("count"), F.round(F.max_by("sum", "seq"), 2).alias("sum"))
