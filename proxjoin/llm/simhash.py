@@ -14,7 +14,7 @@ not null. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component: that with the least id (null last), then the least hash of its text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    heads = near_duplicates(docs, key, text).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    heads = near(docs, key, text).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
     rows = parcel(docs, text).withColumn("_key", F.col("_row").getField(key).cast("long")).withColumn("_hash", F.xxhash64("_text"))
     kept = rows.join(heads, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
     once = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row"))  # rows of one id and text are copies
