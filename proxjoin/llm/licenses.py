@@ -1,6 +1,7 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, and a sentence is put in plain form: lower case, runs of other characters than letters
+Texts are cut into sentences at full stops, colons and the like and at blank lines. A sentence is a line of what is left
+or, since texts are wrapped, several lines in a row; of those that begin in one line the longest counts. It is put in plain form: lower case, runs of other characters than letters
 and digits become one space. Plain sentences that a licence is made of have identifiers; a document becomes the ordered
 sequence of its identifiers, and a licence is found where its rule's sequence stands in it without a gap.
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proxjoin.llm.common import let
+
 # Sentences of public licences in plain form, by identifier.
 SENTENCES = {
     "A1": "licensed under the apache license version 2 0",
@@ -42,20 +45,37 @@ SENTENCES = {
     "S2": "spdx license identifier apache 2 0",
     "S3": "spdx license identifier gpl 3 0 or later",
     "S4": "spdx license identifier gpl 3 0 only",
+    # As cut after colons, semicolons and blank lines.
+    "A7": "you may obtain a copy of the license at",
+    "A8": "http www apache org licenses license 2 0",
+    "G5": "this program is free software",
+    "G6": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "G7": "this program is distributed in the hope that it will be useful but without any warranty",
+    "G8": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "S0": "spdx license identifier",
+    "S5": "mit",
+    "S6": "apache 2 0",
+    "S7": "gpl 3 0 or later",
+    "S8": "gpl 3 0 only",
 }
 # Ordered rules, as (licence, kind, sequence of identifiers); of a licence any rule will do.
 RULES = [
     ("Apache-2.0", "permissive", "A1"), ("Apache-2.0", "permissive", "A2 A3 A4 A5 A6"), ("Apache-2.0", "permissive", "A2 A3"), ("Apache-2.0", "permissive", "S2"),
+    ("Apache-2.0", "permissive", "A2 A3 A7 A8 A5 A6"), ("Apache-2.0", "permissive", "S0 S6"),
     ("BSD-2-Clause", "permissive", "B1 B2 B3"),
     ("CC-BY-4.0", "permissive", "C2"), ("CC-BY-4.0", "permissive", "C4"),
     ("CC-BY-NC-4.0", "noncommercial", "C1"), ("CC-BY-NC-4.0", "noncommercial", "C5"),
     ("CC-BY-SA-4.0", "copyleft", "C3"),
     ("GPL-3.0", "copyleft", "G1"), ("GPL-3.0", "copyleft", "G2 G3 G4"), ("GPL-3.0", "copyleft", "S3"), ("GPL-3.0", "copyleft", "S4"),
-    ("MIT", "permissive", "M1"), ("MIT", "permissive", "M2"), ("MIT", "permissive", "M3"), ("MIT", "permissive", "M4 M5"), ("MIT", "permissive", "S1"),
+    ("GPL-3.0", "copyleft", "G5 G6 G7 G8 G4"), ("GPL-3.0", "copyleft", "S0 S7"), ("GPL-3.0", "copyleft", "S0 S8"),
+    ("MIT", "permissive", "M1"), ("MIT", "permissive", "M2"), ("MIT", "permissive", "M3"), ("MIT", "permissive", "M4 M5"), ("MIT", "permissive", "S1"), ("MIT", "permissive", "S0 S5"),
 ]
 #: Every known sentence has one of these words, so a text without them has none.
-MARKS = "licens|copyright|warrant|redistribution|mit "
+MARKS = "licens|copyright|warrant|redistribut|mit|apache|gpl|free software"
 SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
+BLANK_LINE = r"\n[\x20\x09-\x0D]*\n"
+#: A line has a word at least, so no sentence has more lines than words.
+LINES = max(len(s.split()) for s in SENTENCES.values())
 
 
 def plain(text: Column) -> Column:
@@ -66,8 +86,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, kinds): identifiers in order, licences and their kinds by name."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     marked = F.lower(F.col(text)).rlike(MARKS)
-    cut = F.split(F.regexp_replace(F.col(text), SENTENCE_END, "$1\n"), "\n")
-    ids = F.filter(F.transform(cut, lambda s: F.element_at(known, plain(s))), lambda x: x.isNotNull())
+    runs = F.split(F.regexp_replace(F.col(text), SENTENCE_END, "$1\n\n"), BLANK_LINE)
+    starts = F.array(*[F.lit(s) for s in SENTENCES.values()])
+
+    def sentences(lines: Column) -> Column:
+        def longest(line: Column, i: Column) -> Column:
+            upto = F.sequence(F.least(F.size(lines) - i, F.lit(LINES)), F.lit(1))
+            names = F.filter(F.transform(upto, lambda n: F.element_at(known, F.array_join(F.slice(lines, i + 1, n), " "))), lambda x: x.isNotNull())
+            return F.when(F.exists(starts, lambda s: s.startswith(line)), F.get(names, F.lit(0)))
+
+        return F.filter(F.transform(lines, longest), lambda x: x.isNotNull())
+
+    ids = F.flatten(F.transform(runs, lambda run: let(F.filter(F.transform(F.split(run, "\n"), plain), lambda x: x != ""), sentences)))
     found = docs.select(F.col(key).alias("doc_id"), F.when(marked, F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))).otherwise(F.lit("  ")).alias("seq"))
 
     def names(place: int) -> Column:
@@ -85,10 +115,13 @@ def oracle_sql() -> str:
     return f"""
 WITH known(id, sentence) AS (VALUES {sentences}), rules(licence, kind, ids) AS (VALUES {rules}),
 docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
-cut AS (SELECT r, unnest(string_split(regexp_replace(text, '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
-  generate_subscripts(string_split(regexp_replace(text, '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS n FROM docs WHERE text IS NOT NULL),
-hit AS (SELECT r, n, id FROM cut JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
-seq AS (SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY n), '') AS ids, count(id) AS n FROM docs LEFT JOIN hit USING (r) GROUP BY r, doc_id)
+runs AS (SELECT r, unnest(string_split_regex(u, '\\n[\\x20\\x09-\\x0D]*\\n')) AS s, generate_subscripts(string_split_regex(u, '\\n[\\x20\\x09-\\x0D]*\\n'), 1) AS run
+  FROM (SELECT r, regexp_replace(text, '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10) || chr(10), 'g') AS u FROM docs WHERE text IS NOT NULL)),
+lines AS (SELECT r, run, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM runs),
+begun AS (SELECT r, run, p, unnest(range(1, len(p) + 1)) AS i FROM lines),
+hit AS (SELECT r, run, i, arg_max(id, k) AS id FROM (SELECT r, run, p, i, unnest(range(1, least(len(p) - i + 1, {LINES}) + 1)) AS k FROM begun
+  WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(known.sentence, p[i]))) w JOIN known ON array_to_string(list_slice(p, i, i + k - 1), ' ') = sentence GROUP BY r, run, i),
+seq AS (SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY run, i), '') AS ids, count(id) AS n FROM docs LEFT JOIN hit USING (r) GROUP BY r, doc_id)
 SELECT doc_id, n AS n_sentences, ids AS sentence_ids,
   coalesce((SELECT string_agg(licence, ',' ORDER BY licence) FROM (SELECT DISTINCT licence FROM rules WHERE contains(' ' || seq.ids || ' ', ' ' || rules.ids || ' '))), '') AS licenses,
   coalesce((SELECT string_agg(kind, ',' ORDER BY kind) FROM (SELECT DISTINCT kind FROM rules WHERE contains(' ' || seq.ids || ' ', ' ' || rules.ids || ' '))), '') AS kinds
