@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are known by tag, role, class or id. Pass one decides on blocks by link density, length and
 stop-word density; what an article or main element holds is good unless links fill it. Pass two gives ambiguous short
-blocks the label of their nearest decided neighbours: good if either side is and none is bad nearer by.
+blocks the label of their nearest decided neighbours by distance in blocks: good if either side is and none is bad
+nearer by. At the page's ends, headings and paragraphs take the only side's label; other short blocks there go.
 
 Defined results: a null or empty page has empty text; unclosed and unknown tags never fail; a page of any length is
 read whole. Pages are independent, so repeated rows give repeated results; an empty table gives no rows.
@@ -11,6 +12,7 @@ read whole. Pages are independent, so repeated rows give repeated results; an em
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from proxjoin.llm.common import small_batches
 
-# Tags that begin or end a block, tags without content, tags never part of an article, words in a class or id that tell the same.
+# Tags that begin or end a block, tags of headings and paragraphs, tags without content, tags never part of an article, words in a class or id that tell the same.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 DROPPED = frozenset("aside button canvas datalist dialog footer form head header iframe map menu nav noframes noscript object select svg template textarea title audio video".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,9 +56,9 @@ def _told(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, float, bool]]:
-    """(text, share of it in links, inside an article) of each block outside of dropped elements, in order."""
-    out: list[tuple[str, float, bool]] = []
+def blocks(page: str) -> list[tuple[str, float, bool, str]]:
+    """(text, share of it in links, inside an article, block tag) of each block outside of dropped elements, in order."""
+    out: list[tuple[str, float, bool, str]] = []
     text: list[str] = []
     linked: list[str] = []
     # Open elements: name, dropped, article, link; the flags hold for all within.
@@ -65,7 +68,7 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((whole, len("".join("".join(linked).split())) / len(whole.replace(" ", "")), stack[-1][2]))
+                out.append((whole, len("".join("".join(linked).split())) / len(whole.replace(" ", "")), stack[-1][2], next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")))
             text.clear()
             linked.clear()
 
@@ -117,11 +120,11 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
     return out
 
 
-def labels(found: list[tuple[str, float, bool]]) -> list[bool]:
+def labels(found: list[tuple[str, float, bool, str]]) -> list[bool]:
     """Which blocks are main text."""
-    has_article = any(inside for _, _, inside in found)
+    has_article = any(inside for _, _, inside, _ in found)
     first: list[bool | None] = []
-    for text, link, inside in found:
+    for text, link, inside, _ in found:
         if has_article and not inside:
             first.append(False)
         elif link > LINKED:
@@ -133,16 +136,19 @@ def labels(found: list[tuple[str, float, bool]]) -> list[bool]:
         else:
             words = text.lower().split()
             first.append(sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= DENSE * len(words))
-    out: list[bool] = []
-    before: list[bool] = []
-    label = False
+    near: list[tuple[float, bool]] = []
+    gap, label = math.inf, False
     for x in first:
-        label = label if x is None else x
-        before.append(label)
-    label = False
-    for x, b in zip(reversed(first), reversed(before), strict=True):
-        label = label if x is None else x
-        out.append(x if x is not None else b and label)
+        gap, label = (0, x) if x is not None else (gap + 1, label)
+        near.append((gap, label))
+    out: list[bool] = []
+    gap, label = math.inf, False
+    for x, (far, before), block in zip(reversed(first), reversed(near), reversed(found), strict=True):
+        gap, label = (0, x) if x is not None else (gap + 1, label)
+        if math.inf in (far, gap):  # at an end of the page
+            out.append((before or label) and block[3] in TEXT)
+        else:
+            out.append(before if far < gap else label if gap < far else before or label)
     return out[::-1]
 
 
