@@ -7,7 +7,10 @@
    one text for each different span goes, by the anchor's hash, to the shards.
 3. Shards are suffix-sorted by induction with disk-backed queues (``suffixes``); neighbours that share ``length`` bytes
    repeat. An anchor with more than ``split`` different spans is no group of its own: its spans are cut into short runs
-   of windows, dealt out by the bytes that all windows of a run share, so no shard grows with a common passage.
+   of windows, dealt out by the bytes that all windows of a run share. Equal runs are counted before the sort, which
+   gets one of them; where more than ``split`` different ones of a key are left, their single windows are counted. So a
+   key has at most ``split`` different pieces to sort. Only the queues are on disk: text, order and names of a shard lie
+   in memory, and shards are kept small.
 4. Repeated windows come back to their documents as intervals.
 
 Counts are added up before rows move, so a passage that a third of the rows share is a few rows in each task.
@@ -106,12 +109,12 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "row long, id long, th long, hs array<long>, spans array<long>, places array<long>")
 
 
-def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[int, int, bytes]]:
-    """(key, start, bytes) of each open span; a span of a common anchor in runs, by their shared bytes."""
+def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(key, start, bytes, whether it is a run) of each open span; a span of a common anchor in runs, by their shared bytes."""
     for h, place, kinds in want:
         first, anchor, wide = place >> 24, place >> 12 & 0xFFF, place & 0xFFF
         if kinds <= split:
-            yield h, first, raw[first : first + wide + length]
+            yield h, first, raw[first : first + wide + length], False
             continue
         # Equal windows stand equally far before the anchor, so runs are counted back from it. All windows of a whole
         # run share the bytes from its last start to its first end, also where a text has only some of its windows.
@@ -119,7 +122,27 @@ def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[i
             low, high = anchor - k * RUN - RUN + 1, anchor - k * RUN
             a, b = first + max(0, low), first + min(wide, high)
             core = hashlib.blake2b(raw[first + high : first + low + length], digest_size=8, key=h.to_bytes(8, "little", signed=True) + k.to_bytes(2, "little"))
-            yield int.from_bytes(core.digest(), "little", signed=True), a, raw[a : b + length]
+            yield int.from_bytes(core.digest(), "little", signed=True), a, raw[a : b + length], True
+
+
+def _counted(pieces: DataFrame, length: int, split: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces to be sorted, and (row, start, end) of the windows of runs that counting alone tells.
+
+    Equal runs are counted: all their windows repeat, and one of them, without a row, is sorted with the others of its
+    key. Where more than ``split`` different runs of a key are left, their single windows are counted instead.
+    """
+    runs = pieces.where("run")
+    distinct = materialize(runs.groupBy("k", "piece").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("start").alias("start")))
+    crowded = materialize(distinct.groupBy("k").agg(F.count("*").alias("kinds")).where(F.col("kinds") > split).select("k"))
+    twice = materialize(distinct.where("n > 1").select("k", "piece"))
+    whole = runs.join(twice, ["k", "piece"]).select("row", "start", (F.col("start") + F.length("piece")).alias("end"))
+    one = distinct.select("k", F.when(F.col("n") == 1, F.col("row")).alias("row"), "start", "piece")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("piece") - (length - 1)), lambda i: F.xxhash64(F.substring("piece", i, length)))).alias("i", "window")
+    windows = materialize(one.join(crowded, "k").select("k", "row", "start", at))
+    again = materialize(windows.groupBy("k", "window").agg(F.count("*").alias("n")).where("n > 1").select("k", "window"))
+    single = windows.where("row IS NOT NULL").join(again, ["k", "window"]).select("row", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
+    rest = pieces.where("NOT run").select("k", "row", "start", "piece").unionByName(one.join(crowded, "k", "left_anti").select("k", "row", "start", "piece"))
+    return rest, whole.unionByName(single)
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, split: int = 20_000, shard_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
@@ -152,10 +175,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             out: list[tuple] = []
             for row, packed, want in zip(batch.column("row").to_pylist(), batch.column("zipped").to_pylist(), batch.column("want").to_pylist(), strict=True):
-                out += [(k, row, s, piece) for k, s, piece in _pieces(zlib.decompress(packed), [(w["h"], w["place"], w["kinds"]) for w in want], length, split)]
+                out += [(k, row, s, piece, run) for k, s, piece, run in _pieces(zlib.decompress(packed), [(w["h"], w["place"], w["kinds"]) for w in want], length, split)]
             if out:
-                k, r, s, p = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.binary())], ["k", "row", "start", "piece"])
+                k, r, s, p, u = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.binary()), pa.array(u, pa.bool_())], ["k", "row", "start", "piece", "run"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -180,8 +203,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if held:
             yield found()
 
-    pieces = texts.select("row", "zipped", "want").mapInArrow(cut, "k long, row long, start long, piece binary")
-    hits = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(search, "row long, start long, end long")
+    pieces = texts.select("row", "zipped", "want").mapInArrow(cut, "k long, row long, start long, piece binary, run boolean")
+    counted = None
+    if kinds.where(F.col("kinds") > split).limit(1).count():
+        pieces = materialize(pieces)
+        pieces, counted = _counted(pieces, length, split)
+    hits = pieces.select("k", "row", "start", "piece").repartition("k").sortWithinPartitions("k").mapInArrow(search, "row long, start long, end long")
+    hits = hits.where("row IS NOT NULL")
+    hits = hits.unionByName(counted) if counted is not None else hits
     first, wide = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit(0xFFF))
     runs = hits.unionByName(whole.select("row", first.alias("start"), (first + wide + length).alias("end")))
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
