@@ -214,10 +214,10 @@ def volume_ratio(spark, folder):
 _AREA = f"len(list_filter(range(144), lambda k: pow({_LO[0]}+((k%12)+0.5)*{L2 / 12!r}-x,2)+pow({_LO[1]}+((k//12)%12+0.5)*{L2 / 12!r}-y,2) <= {R * R}))/144.0"
 
 
-@_query(f'WITH {REPLICAS} SELECT id AS "tupleId", cell_0, cell_1, ({_AREA})::DOUBLE AS fraction FROM r WHERE id % 3 = 0')
+@_query(f'WITH {REPLICAS} SELECT id AS "tupleId", cell_0, cell_1, ({_AREA})::DOUBLE AS fraction FROM r')
 def area_fraction(spark, folder):
     e, p, lo, _ = _copies(spark, folder)
-    return e.where("streamId = 's0'").select("tupleId", "cell_0", "cell_1", geometry.area_fraction(p, lo, L2, R).alias("fraction"))
+    return e.select("tupleId", "cell_0", "cell_1", geometry.area_fraction(p, lo, L2, R).alias("fraction"))
 
 
 # Joins

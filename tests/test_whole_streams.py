@@ -27,3 +27,10 @@ def test_count_window_is_brute_force_over_all_events(spark, events):
     made = [c for k, new in enumerate(window) for c in near_combinations(new, window[:k], ["s0", "s1", "s2"], 5.0)]
     got = entry.queries()["stream_count_window"](spark, FOLDER).first()
     assert (got["count"], got["sum"]) == (len(made), pytest.approx(sum(m[2] for c in made for m in c if m[0] == "s0"), abs=0.006))
+
+
+def test_area_fraction_measures_all_streams(spark, events):
+    q = entry.queries()
+    got = q["area_fraction"](spark, FOLDER)
+    assert got.count() == q["grid_replicas"](spark, FOLDER).count()
+    assert {r.s for r in got.selectExpr("tupleId % 3 AS s").distinct().collect()} == {0, 1, 2}
