@@ -1,12 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents are put in a hashed order and laid end to end; blocks of ``block`` words cut that line. Slots
-of the mix are golden-ratio points; a point falls into one source's share of the unit line, and the slot's rank among
-its source's slots says which block it takes, round and round. So each source's words come in at an even pace and its
-documents are taken in whole rounds.
+Each source's documents are put in a hashed order and laid end to end; blocks of ``block`` words cut that line. The
+mix is a walk along golden-ratio points: a point falls into one source's share of the unit line (shares are cumulative
+weights, in blocks), and its rank among the points of that source says which block stands in that slot, round and
+round. The walk goes on until the points have given every source the words of its target; a source that has them takes
+no further slot. So the points decide where each block stands, every stretch of the mix is close to the weights, and a
+source that the points don't reach gets nothing. Documents are taken in whole rounds, the last round in part.
 
 Defined results: a null text has size 0; the null source is a source of its own, after all others; documents of size
-0 are returned with nothing taken. Repeated rows are documents of their own. An empty table gives no rows.
+0 are returned with nothing taken and no slot. Repeated rows are documents of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,12 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proxjoin.llm.common import hash_bucket, materialize, parcel, prefix_sums, unparcel, word_count, words_of
+from proxjoin.llm.common import hash_bucket, materialize, parcel, prefix_sums, union_all, unparcel, word_count, words_of
 
 WEIGHTS = (5, 2, 1)
 #: The golden ratio's fraction, and that of its product with 2 ** 20.
 GOLDEN, GOLDEN_20 = 0.6180339887498949, 0.8085724711418152
 CELLS = 1024
+#: Words of a block: about a document's, so that the walk has about as many slots as there are documents.
+BLOCK = 256
+#: Slots of a stretch, as a power of two.
+STRETCH = 10
+#: A walk of so many times the mix's slots has met every share of a slot or more.
+WALKS = 8
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -48,35 +56,53 @@ def _golden(i: Column) -> Column:
     return F.pmod(F.pmod(high * F.lit(GOLDEN_20), F.lit(1.0)) + low * F.lit(GOLDEN), F.lit(1.0))
 
 
+def _points(first: int, end: int, shares: DataFrame) -> DataFrame:
+    """The points from ``first`` on, before ``end``, with the source that each falls to."""
+    spark = shares.sparkSession
+    points = spark.range(first, end).select("id", _golden(F.col("id") + 1).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    # A row for each source, and for each cell that a share meets: as many as sources and cells.
+    return points.join(shares, "cell").where("u >= low AND u < high").select("no_source", "source_key", F.col("id").alias("slot"))
+
+
 def schedule(plan: DataFrame) -> DataFrame:
-    """Slots (no_source, source_key, rank) of the mix: as many for each source as its ``slots`` says.
+    """Slots (no_source, source_key, slot, rank) of the mix: as many for each source as ``slots`` says.
 
-    Points that fall to a source beyond its number go; the few that a source lacks come at the end.
+    ``slot`` is the place in the walk, ``rank`` counts a source's slots. The walk is as long as the mix has slots, and
+    goes on while points still lack for some source: by about two for each that lacks, over its share. A share of p is
+    met once in about 1.9 / p points at least, so the walk ends; should points never meet a share, it gets no slot.
     """
-    spark = plan.sparkSession
     n = plan.agg(F.sum("slots")).first()[0] or 0
     before = Window.orderBy("no_source", "source_key").rowsBetween(Window.unboundedPreceding, -1)
     low = F.coalesce(F.sum("slots").over(before), F.lit(0)) / F.lit(max(n, 1))
-    ranges = plan.where("slots > 0").select("no_source", "source_key", "slots", low.alias("low"), (low + F.col("slots") / F.lit(max(n, 1))).alias("high"))
-    ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
-    points = spark.range(n).select("id", _golden(F.col("id") + 1).alias("u"))
-    hit = points.withColumn("cell", F.floor(F.col("u") * CELLS)).join(ranges, "cell").where("u >= low AND u < high")
-    hit = hit.select("no_source", "source_key", "slots", "id", F.shiftright("id", 13).alias("run"))
-    ranked = prefix_sums(hit, ["no_source", "source_key"], "run", ["id"], {"rank": F.lit(1)}).where("rank < slots").select("no_source", "source_key", "rank")
-    had = ranked.groupBy("no_source", "source_key").agg(F.count("*").alias("had"))
-    lacking = plan.join(had, ["no_source", "source_key"], "left").withColumn("had", F.coalesce("had", F.lit(0))).where("slots > had")
-    return ranked.unionByName(lacking.select("no_source", "source_key", F.explode(F.expr("sequence(had, slots - 1)")).alias("rank")))
-
-
-def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", block: int = 1024, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken, and rounds and part (words of the last, cut round).
-
-    ``keep`` names further columns to carry along.
+    plan = plan.where("slots > 0").select("no_source", "source_key", "slots", low.alias("low"), (low + F.col("slots") / F.lit(max(n, 1))).alias("high"))
+    shares = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
+    shares = materialize(shares)
+    parts, end, more = [], 0, n
+    while True:
+        parts.append(materialize(_points(end, end + more, shares)))
+        end += more
+        had = union_all(parts).groupBy("no_source", "source_key").agg(F.count("*").alias("had"))
+        lacking = plan.join(had, ["no_source", "source_key"], "left").withColumn("lack", F.col("slots") - F.coalesce("had", F.lit(0))).where("lack > 0")
+        further = lacking.agg(F.max(F.ceil((F.col("lack") + 2) * F.lit(float(n)) / F.col("slots")))).first()[0]
+        if further is None or end > WALKS * n + 4096:
+            break
+        more = int(further)
+    hit = union_all(parts).join(plan.select("no_source", "source_key", "slots"), ["no_source", "source_key"]).withColumn("run", F.shiftright("slot", 13))
+    ranked = prefix_sums(hit, ["no_source", "source_key"], "run", ["slot"], {"rank": F.lit(1)})
+    return ranked.where("rank < slots").select("no_source", "source_key", "slot", "rank")
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first_slot (the walk's slot of its first block).
+
+    ``at`` has the slot of each of its rounds, and ``start`` its place in its source; ``keep`` names further columns to
+    carry along.
     """
     keep = keep or []
+    # The text's hash is in the order too, so that rows without an id are spread.
     sizes = materialize(docs.select(
         F.col(key).alias("doc_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source), F.lit("")).alias("source_key"),
-        word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(2024), F.col(key)).alias("_h"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(2024), F.col(key), F.col(text)).alias("_h"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
     ))
     place = ["no_source", "source_key"]
     plan = targets(sizes.groupBy(*place).agg(F.sum("size").alias("source_size")))
@@ -88,10 +114,11 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
 
     slots = schedule(plan.select(*place, "slots")).join(plan.select(*place, "blocks", "rounds", "rest"), place)
     whole = F.col("rank") < F.col("rounds") * F.col("blocks")
-    slots = slots.select(*place, F.pmod("rank", "blocks").alias("block_no"), whole.alias("whole"), "rest")
+    slots = slots.select(*place, F.pmod("rank", "blocks").alias("block_no"), whole.alias("whole"), "rest", "slot")
     taken = slots.groupBy(*place, "block_no").agg(
         F.sum(F.col("whole").cast("long")).alias("times"),
         F.max(F.when(~F.col("whole"), F.least(F.lit(block), F.col("rest") - F.col("block_no") * block))).alias("part"),
+        F.sort_array(F.collect_list("slot")).alias("slots"),  # one for each round: three and a part at most
     )
 
     laid = prefix_sums(sizes.withColumn("_bucket", hash_bucket(F.col("_h"))), place, "_bucket", ["_h", "doc_id", "size"], {"start": F.col("size"), "row": F.lit(1)})
@@ -102,26 +129,29 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     whole_words = F.least(end, (F.col("block_no") + 1) * block) - since
     # least() passes over nulls, so a block without a cut slot is told apart first.
     part_words = F.when(F.col("part").isNotNull(), F.greatest(F.lit(0), F.least(end, F.col("block_no") * block + F.col("part")) - since))
-    out = cut.groupBy(*place, "row", "doc_id", "size", *[f"_keep_{c}" for c in keep]).agg(
-        F.coalesce(F.sum(F.coalesce("times", F.lit(0)) * whole_words + F.coalesce(part_words, F.lit(0))), F.lit(0)).cast("long").alias("taken")
+    out = cut.groupBy(*place, "row", "doc_id", "size", "start", *[f"_keep_{c}" for c in keep]).agg(
+        F.coalesce(F.sum(F.coalesce("times", F.lit(0)) * whole_words + F.coalesce(part_words, F.lit(0))), F.lit(0)).cast("long").alias("taken"),
+        F.min_by("slots", "block_no").alias("at"),
     )
     out = out.join(plan.select(*place, "source_size", "target"), place)
-    return out.select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    first = F.when(F.col("taken") > 0, F.get("at", F.lit(0))).alias("first_slot")
+    return out.select("doc_id", "size", "source_size", "target", "taken", first, "at", "start", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
-def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", size: str | None = "n_chars", block: int = 1024) -> DataFrame:
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", size: str | None = "n_chars", block: int = BLOCK) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as many times as it is taken whole, and the words of
     the last round where it is cut (one document of a source at most; its words are then joined by single spaces).
+
+    Each copy stands at its slot: a partition holds whole stretches of the walk, in order.
     """
-    renamed = parcel(docs, text).select("_row", "_text", F.col("_row").getField(key).alias("_key"), F.col("_row").getField(source).alias("_source"), F.xxhash64("_text").alias("_th"))
-    taken = mix(renamed.select("_key", "_source", "_text", "_th"), "_source", "_text", "_key", block, ["_th"])
-    taken = taken.where("taken > 0").groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list("taken")).alias("all_taken"))
-    # Rows of one id and text are one another's copies: the n-th row takes the n-th number.
-    nth = F.row_number().over(Window.partitionBy("_key", "_th").orderBy(F.xxhash64("_row")))
-    rows = renamed.withColumn("_nth", nth)
-    out = rows.join(taken, rows["_key"].eqNullSafe(taken["doc_id"]) & (rows["_th"] == taken["_th"])).withColumn("_taken", F.get("all_taken", F.col("_nth") - 1)).where("_taken > 0")
-    out = out.withColumn("_size", word_count(F.col("_text")))
-    rest = F.pmod("_taken", "_size")
+    # Stored with a number for each row, so that numbers alone go through the plan.
+    rows = materialize(parcel(docs, text).select("_row", "_text", F.monotonically_increasing_id().alias("_n")))
+    taken = mix(rows.select("_n", F.col("_row").getField(key).alias("_key"), F.col("_row").getField(source).alias("_source"), "_text"), "_source", "_text", "_key", block, ["_n"])
+    taken = taken.where("taken > 0").select("_n", "size", "taken", "at", "start")
+    rest = F.pmod("taken", "size")
     part = F.when(rest > 0, F.array(F.array_join(F.slice(words_of(F.col("_text")), 1, rest.cast("int")), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
-    copies = F.concat(F.array_repeat(F.col("_text"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), part)
-    return unparcel(out.select("_row", F.explode(copies).alias("_text")), docs, text, size)
+    copies = F.concat(F.array_repeat(F.col("_text"), F.floor(F.col("taken") / F.col("size")).cast("int")), part)
+    out = rows.join(taken, "_n").select("_row", "at", "start", F.posexplode(copies).alias("_k", "_text"))
+    out = out.select("_row", "_text", F.get("at", F.col("_k")).alias("_slot"), "start", "_k")
+    out = out.repartition(F.shiftright("_slot", STRETCH)).sortWithinPartitions("_slot", "start", "_k")
+    return unparcel(out, docs, text, size)

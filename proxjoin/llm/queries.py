@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, simhash
+from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash
 from proxjoin.llm.common import materialize
 
 
@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")).drop("at", "start")
 
 
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
