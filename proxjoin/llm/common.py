@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+# Frequent words of English, German, French and Spanish.
+STOP_WORDS = frozenset("the of and to in a is that for it as was with be by on not he his are at this from or have an they which you were her she their we been has but had all there if will can der die das und ist von zu den mit des im nicht ein eine auf dem sich als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so le la les de et à un une des du en que est pour qui dans ce il au sur se pas plus par ne avec son sont aux ou mais el los las y una por con para su no lo al del como más pero sus o este sí porque esta entre cuando muy".split())
 
 _own_dir: list[str] = []
 _tables: list[str] = []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxjoin.llm.common import small_batches
+from proxjoin.llm.common import STOP_WORDS, small_batches
 
 # Tags that begin or end a block, tags of headings and paragraphs, tags without content, tags never part of an article, words in a class or id that tell the same.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -31,7 +31,6 @@ DROPPED = frozenset("aside button canvas datalist dialog footer form head header
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion reader related respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-STOP_WORDS = frozenset("the of and to in a is that for it as was with be by on not he his are at this from or have an they which you were her she their we been has but had all there if will can der die das und ist von zu den mit des im nicht ein eine auf dem sich als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so le la les de et à un une des du en que est pour qui dans ce il au sur se pas plus par ne avec son sont aux ou mais el los las y una por con para su no lo al del como más pero sus o este sí porque esta entre cuando muy".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
