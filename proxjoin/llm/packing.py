@@ -5,7 +5,7 @@ totals, of which there is one per partition, give global offsets; pass two cuts
 window is not full.
 
 Defined results: a null or empty text has only the end id. Repeated rows are packed each. An empty table gives no
-pieces. Strings that name special tokens are plain text.
+pieces. Strings that name the file's added tokens become those tokens, as the tokenizer has it by default.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ class Encoder:
 
     A plain byte-level BPE (no normaliser, no prefix space, each id in the order of its merge) is also run as ranks by
     tiktoken, which gives the same ids several times as fast. Texts with characters whose classes the two libraries'
-    tables might tell apart, and files of other kinds, go through tokenizers itself.
+    tables might tell apart, those that hold an added token's string, and files of other kinds go through tokenizers
+    itself.
     """
 
     def __init__(self, path: str):
@@ -45,9 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.size = self.plain.get_vocab_size()
-        self.fast = self._ranked(json.loads(self.plain.to_str()))
+        spec = json.loads(self.plain.to_str())
+        self.added = [x["content"] for x in spec.get("added_tokens", ())]
+        self.fast = self._ranked(spec)
 
     @staticmethod
     def _ranked(spec: dict):
@@ -66,7 +68,7 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and (text.isascii() or max(text) < SETTLED):
+        if self.fast and (text.isascii() or max(text) < SETTLED) and not any(x in text for x in self.added):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
