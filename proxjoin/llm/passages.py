@@ -2,22 +2,22 @@
 
 1. Every window of ``length`` bytes has one anchor: the 32 bytes in it with the least hash. Equal windows have equal
    anchors at equal distance, so only windows whose anchors' bytes recur can repeat. A document gives a row for each
-   anchor: the anchor's hash, and the hash of the whole span of windows that it stands for.
-2. Anchors that recur only with one and the same span repeat whole. Anchors that recur with different spans are open:
-   one text for each different span goes, by the anchor's hash, to the shards.
-3. Shards are suffix-sorted by induction with disk-backed queues (``suffixes``); neighbours that share ``length`` bytes
-   repeat. An anchor with more than ``split`` different spans is no group of its own: its spans are cut into short runs
-   of windows, dealt out by the bytes that all windows of a run share. Equal runs are counted before the sort, which
-   gets one of them; where more than ``split`` different ones of a key are left, their single windows are counted. So a
-   key has at most ``split`` different pieces to sort. Only the queues are on disk: text, order and names of a shard lie
-   in memory, and shards are kept small.
-4. Repeated windows come back to their documents as intervals.
+   anchor: the anchor's hash, and a BLAKE2 digest of the whole span of windows that it stands for.
+2. Spans are counted by (anchor, digest) before any text moves. An anchor that recurs with one span only is a copy of
+   that span, whose windows all repeat. Anchors that recur with different spans are open: one text for each different
+   span goes, by the anchor's hash, to the shards.
+3. Shards are suffix-sorted by external induction (``suffixes``), whose queues carry shared prefixes; neighbours that
+   share ``length`` bytes repeat. A shard's queues go to disk beyond their budget. An anchor with more than ``split``
+   different spans is no group of its own: its spans are cut into short runs of windows, dealt out by the bytes that
+   all windows of a run share. Equal runs are counted before the sort, which gets one of them; where more than ``split``
+   different ones of a key are left, their single windows are counted. So a key has at most ``split`` different pieces.
+4. Repeated windows come back to their documents as intervals. Rows of common anchors are dealt out by a salt, too.
 
 Counts are added up before rows move, so a passage that a third of the rows share is a few rows in each task.
 
 Defined results: a null text is empty, and nothing is removed from texts shorter than ``length``. Repeated rows repeat
 each other, and so lose every byte (from ``length`` bytes on). Ids may be null or repeated: rows are told apart by id
-and a hash of the text. An empty table gives no rows.
+and the MD5 of the text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ from proxjoin.llm.suffixes import repeated_starts
 ANCHOR = 32
 #: Windows of a run, where an anchor's spans are cut.
 RUN = 16
+#: Bytes of a shard's pieces: some times what the queues of its sort hold in memory.
+SHARD_BYTES = 8 << 20
+#: Rows of an anchor from which they are dealt out by a salt, and the number of salts.
+COMMON, SALTS = 10_000, 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
@@ -58,13 +62,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, n: int) -> np.ndarray:
-    """Hash of the bytes from start to end, wherever they stand."""
-    return _mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start])
+def _digest(span: bytes, anchor: int) -> bytes:
+    """Of a span's bytes and the anchor's place in it."""
+    return hashlib.blake2b(span, digest_size=8, salt=anchor.to_bytes(8, "little")).digest()
 
 
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text of at least ``length`` bytes: hash, hash of the span, first window, last window, place."""
+    """Anchors of a text of at least ``length`` bytes: hash, digest of the span, first window, last window, place."""
     b = np.frombuffer(raw, np.uint8)
     n = len(b)
     sums = np.zeros(n + 1, np.uint64)
@@ -80,8 +84,8 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, len(at) - 1]
     at = at[first]
-    place = _mix((at - first).astype(np.uint64) << np.uint64(20) | (last - first).astype(np.uint64))
-    return h[at], _hashes(sums, first, last + length, n) ^ place, first, last, at
+    digests = b"".join(_digest(raw[x : y + length], z - x) for x, y, z in zip(first.tolist(), last.tolist(), at.tolist(), strict=True))
+    return h[at], np.frombuffer(digests, "<u8"), first, last, at
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
@@ -103,10 +107,10 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 h, span, first, last, at = anchors(raw.as_buffer().to_pybytes(), length)
                 for c, v in zip(out, (row, i, th, h.view("<i8"), span.view("<i8"), first << 24 | (at - first) << 12 | (last - first)), strict=True):
                     c.append(v)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+            kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "id", "th", "hs", "spans", "places"])
 
-    return keyed.mapInArrow(run, "row long, id long, th long, hs array<long>, spans array<long>, places array<long>")
+    return keyed.mapInArrow(run, "row long, id long, th string, hs array<long>, spans array<long>, places array<long>")
 
 
 def _pieces(raw: bytes, want: list, length: int, split: int) -> Iterator[tuple[int, int, bytes, bool]]:
@@ -137,7 +141,7 @@ def _counted(pieces: DataFrame, length: int, split: int) -> tuple[DataFrame, Dat
     twice = materialize(distinct.where("n > 1").select("k", "piece"))
     whole = runs.join(twice, ["k", "piece"]).select("row", "start", (F.col("start") + F.length("piece")).alias("end"))
     one = distinct.select("k", F.when(F.col("n") == 1, F.col("row")).alias("row"), "start", "piece")
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("piece") - (length - 1)), lambda i: F.xxhash64(F.substring("piece", i, length)))).alias("i", "window")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("piece") - (length - 1)), lambda i: F.md5(F.substring("piece", i, length)))).alias("i", "window")
     windows = materialize(one.join(crowded, "k").select("k", "row", "start", at))
     again = materialize(windows.groupBy("k", "window").agg(F.count("*").alias("n")).where("n > 1").select("k", "window"))
     single = windows.where("row IS NOT NULL").join(again, ["k", "window"]).select("row", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
@@ -145,27 +149,31 @@ def _counted(pieces: DataFrame, length: int, split: int) -> tuple[DataFrame, Dat
     return rest, whole.unionByName(single)
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, split: int = 20_000, shard_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, split: int = 20_000, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """The documents as (id, th, zipped text, the columns of ``docs``), and (id, th, starts, ends) of the repeated runs.
 
     Runs of one document may overlap; ends are those of the last windows.
     """
     small_batches(docs.sparkSession)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    identity = [F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(raw).alias("th")]
+    identity = [F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("id"), F.md5(raw).alias("th")]
     keyed = docs.select(*identity, raw.alias("raw"))
     stored = materialize(_anchor_rows(keyed, length))
     every = stored.select("row", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("spans").alias("span"), F.col("places").alias("place"))).alias("h", "span", "place"))
 
     # Sums are stored before they are joined: Spark splits a hot key's partition only where both sides come from a shuffle.
     heads = every.groupBy("h").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
-    heads = materialize(heads.select("h", (F.col("low") != F.col("high")).alias("open")))
+    heads = materialize(heads.select("h", (F.col("low") != F.col("high")).alias("open"), (F.col("n") > COMMON).alias("common")))
     again = materialize(every.join(heads, "h"))
     mixed = again.where("open")
-    spans = materialize(mixed.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
+    spans = mixed.groupBy("h", "span", "common").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
+    spans = materialize(spans)
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("row", "place"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    twice = spans.where("n > 1").select("h", "span", F.explode(salts).alias("salt"))
     kinds = materialize(spans.groupBy("h").agg(F.count("*").cast("int").alias("kinds")))
     wanted = spans.join(kinds, "h").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("h", "one.place", "kinds")).alias("want"))
-    whole = again.where("NOT open").select("row", "place").unionByName(mixed.join(spans.where("n > 1").select("h", "span"), ["h", "span"]).select("row", "place"))
+    whole = again.where("NOT open").select("row", "place").unionByName(mixed.withColumn("salt", salt).join(twice, ["h", "span", "salt"]).select("row", "place"))
 
     asked = wanted.join(stored.select("row", "id", "th"), "row").groupBy("id", "th").agg(F.min(F.struct("row", "want")).alias("w")).select("id", "th", "w.row", "w.want")
     zipped = _zipped(keyed)
@@ -250,7 +258,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     _, runs = repeated_passages(docs, key, text, length)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
+    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("id"), F.md5(raw).alias("th"), raw.alias("raw"))
     joined = _zipped(keyed).join(runs, ["id", "th"], "left").select("doc_id", "zipped", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +278,7 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """``docs`` without the repeated passages. Bytes left of a character that was cut go too; null texts stay null."""
     _, runs = repeated_passages(docs, key, text, length)
     raw = F.coalesce(F.col("_text").cast("binary"), F.lit(b""))
-    keyed = parcel(docs, text).select(F.coalesce(F.col("_row").getField(key).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(raw).alias("_th"), F.col("_text").isNull().alias("_null"), raw.alias("raw"), "_row")
+    keyed = parcel(docs, text).select(F.coalesce(F.col("_row").getField(key).cast("long"), F.lit(-1)).alias("_id"), F.md5(raw).alias("_th"), F.col("_text").isNull().alias("_null"), raw.alias("raw"), "_row")
     joined = _zipped(keyed).join(runs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "runs"), ["_id", "_th"], "left").select("_null", "zipped", "runs", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,154 +1,281 @@
-"""Suffix sorting by induction, with disk-backed queues.
+"""Suffix sorting by external induction: disk-backed priority queues carry suffixes and common prefixes.
 
-Suffixes are of type L or S (greater or less than the one that follows). Those of type S after one of type L are
-sorted by recursion on their names; one pass over ascending first characters induces the L-type suffixes from them, one
-over descending characters the S-type. A pass takes its tuples from a priority queue whose priorities are (first
-character, order of arrival): a queue for each character, drained whole batch by whole batch and spilled to disk beyond
-a budget. Strings end in zeros, which are less than any other character and all different, in order of place.
+Suffixes are of type L or S (greater or less than the one that follows); stars are those of type S after one of type L.
+Substrings from star to star are sorted by induction, and equal ones, compared character by character, get one name;
+the string of names is sorted by recursion, and ends where all names differ or where it fits in memory, there by
+doubling. From the sorted stars one pass over ascending first characters induces the L-type suffixes, one over
+descending characters the S-type.
+
+A pass takes its tuples from a priority queue whose priorities are (first character, order of arrival): a queue for
+each character, drained whole batch by whole batch; beyond a budget all queues go to one file. A tuple has a suffix's
+place and the prefix it shares with the tuple before it in its queue. A suffix induced from a scanned one shares one
+character more with its predecessor than the least shared prefix scanned since the predecessor's source; so shared
+prefixes of all neighbours come out of the passes, and no two suffixes but stars are ever compared. Strings end in
+zeros, which are less than any other character and all different, in order of place.
+
+Of a shard, the characters, their types and the flags of stars lie in memory up to ``memory`` bytes each, in mapped
+files beyond; the passes' tuples are on disk beyond ``budget``.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
+#: A suffix's place, and what it shares with the tuple before it.
+TUPLE = np.dtype([("place", "<i4"), ("shared", "<i2")])
+#: Bytes of tuples that a pass's queues hold in memory, and of an array that lies in memory.
+BUDGET, MEMORY = 4 << 20, 256 << 20
+#: Bytes that sorting a name in memory takes.
+NAME_BYTES = 64
+NOTHING = np.zeros(0, TUPLE)
+
+
+def _array(n: int, kind, memory: int) -> np.ndarray:
+    """Zeros in memory, or in a mapped file that goes with the array."""
+    if n * np.dtype(kind).itemsize <= memory:
+        return np.zeros(n, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=n)
+
 
 class SpilledQueues:
-    """First-in, first-out queues of int32 places, one for each character; the largest go to disk when memory is short."""
+    """First-in, first-out queues of tuples, one for each character; all go to one file when memory is short."""
 
-    def __init__(self, width: int, budget: int):
-        self.parts: list[list[np.ndarray]] = [[] for _ in range(width)]
-        self.files: list = [None] * width
-        self.sizes = np.zeros(width, np.int64)
-        self.budget = budget
+    spills = 0
 
-    def put(self, places: np.ndarray, chars: np.ndarray) -> None:
-        """Add places, in order, to the queues of their characters."""
-        if not len(places):
-            return
-        order = np.argsort(chars, kind="stable")
-        places, chars = places[order], chars[order]
-        cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-        for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
-            self.parts[c := int(chars[a])].append(places[a:b])
-            self.sizes[c] += 4 * (b - a)
-        while self.sizes.sum() > self.budget:
-            c = int(self.sizes.argmax())
-            self.files[c] = self.files[c] or tempfile.TemporaryFile()
-            for x in self.parts[c]:
-                x.tofile(self.files[c])
-            self.parts[c], self.sizes[c] = [], 0
+    def __init__(self, budget: int):
+        self.held: dict[int, list[np.ndarray]] = {}
+        self.stored: dict[int, list[tuple[int, int]]] = {}
+        self.budget, self.size, self.file = budget, 0, None
+
+    def add(self, c: int, tuples: np.ndarray) -> None:
+        self.held.setdefault(c, []).append(tuples)
+        self.size += tuples.nbytes
+        if self.size > self.budget:
+            self._spill()
+
+    def put(self, tuples: np.ndarray, chars: np.ndarray, cuts: np.ndarray) -> None:
+        """Add tuples that lie in order of their characters; ``cuts`` tells where a character begins."""
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tuples)], strict=True):
+            self.add(int(chars[a]), tuples[a:b])
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        self.file.seek(0, 2)
+        for c, parts in self.held.items():
+            whole = np.concatenate(parts)
+            self.stored.setdefault(c, []).append((self.file.tell(), len(whole)))
+            whole.tofile(self.file)
+            self.file.flush()
+        self.held, self.size = {}, 0
+        SpilledQueues.spills += 1
 
     def take(self, c: int) -> np.ndarray:
-        parts, self.parts[c], self.sizes[c] = self.parts[c], [], 0
-        if self.files[c]:
-            self.files[c].seek(0)
-            parts = [np.fromfile(self.files[c], np.int32), *parts]
-            self.files[c].close()
-            self.files[c] = None
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        """All of a queue, which is empty then."""
+        parts = []
+        for at, n in self.stored.pop(c, ()):
+            self.file.seek(at)
+            parts.append(np.fromfile(self.file, TUPLE, n))
+        held = self.held.pop(c, ())
+        self.size -= sum(x.nbytes for x in held)
+        parts += held
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else NOTHING
 
 
-def _types(t: np.ndarray) -> np.ndarray:
+def _types(t: np.ndarray, memory: int, chunk: int = 1 << 20) -> np.ndarray:
     """True where the suffix is of type S. Zeros are; equal neighbours share the type of the run's end."""
-    n = len(t)
-    less, differs = np.r_[t[:-1] < t[1:], True], np.r_[t[:-1] != t[1:], True]
-    differs[t == 0] = True
-    less[t == 0] = True
-    at = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n - 1))
-    return less[np.minimum.accumulate(at[::-1])[::-1]]
+    out = _array(len(t), bool, memory)
+    follows, kind = 0, True
+    for a in range((len(t) - 1) // chunk * chunk, -1, -chunk):
+        x = np.asarray(t[a : a + chunk])
+        m = len(x)
+        after = np.r_[x[1:], x.dtype.type(follows)]
+        differs, less = (x != after) | (x == 0), (x < after) | (x == 0)
+        at = np.minimum.accumulate(np.where(differs, np.arange(m), m)[::-1])[::-1]
+        out[a : a + m] = np.where(at == m, kind, less[np.minimum(at, m - 1)])
+        follows, kind = int(x[0]), bool(out[a])
+    return out
+
+
+def _run(t: np.ndarray, place: int, cap: int) -> int:
+    """How often the character at ``place`` is repeated there."""
+    other = np.flatnonzero(t[place : place + cap] != t[place])
+    return int(other[0]) if len(other) else min(cap, len(t) - place)
+
+
+class _Pass:
+    """One pass of the induction: scanned suffixes feed the queues of the characters before them."""
+
+    def __init__(self, t: np.ndarray, s_type: np.ndarray, small: bool, width: int, budget: int, cap: int):
+        self.t, self.s_type, self.small, self.cap = t, s_type, small, cap
+        self.queues = SpilledQueues(budget)
+        # Least shared prefix scanned since a character's last tuple; below 0 where there is none yet.
+        self.since = np.full(width, -1, np.int16) if cap else None
+
+    def feed(self, now: np.ndarray) -> None:
+        place, shared = now["place"], now["shared"]
+        before = place - 1
+        chars = self.t[before]
+        at = np.flatnonzero((place > 0) & (chars != 0) & (self.s_type[before] == self.small))
+        if len(at):
+            chars = chars[at]
+            order = np.argsort(chars, kind="stable")
+            at, chars = at[order], chars[order]
+            cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
+            out = np.zeros(len(at), TUPLE)
+            out["place"] = before[at]
+        if not self.cap:
+            if len(at):
+                self.queues.put(out, chars, cuts)
+            return
+        since = np.minimum(self.since, shared.min())
+        if len(at):
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                c, s = chars[a], at[a:b]
+                least = np.minimum.reduceat(shared[: s[-1] + 1], np.r_[0, s[:-1] + 1])
+                least[0] = min(least[0], self.since[c])
+                out["shared"][a:b] = np.minimum(least + 1, self.cap)
+                rest = shared[s[-1] + 1 :]
+                since[c] = rest.min() if len(rest) else self.cap
+            self.queues.put(out, chars, cuts)
+        self.since = since
 
 
-def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, budget: int) -> np.ndarray:
-    """The order of all suffixes from that of the seeds (places of S after L, and zeros), given by character and order."""
+def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, budget: int, cap: int) -> Iterator[np.ndarray]:
+    """Tuples of all suffixes in descending order, each with what it shares with the tuple before it (up to ``cap``;
+    nothing is carried if that is 0), from the seeds in ascending order: stars and zeros.
+    """
     width = int(t.max()) + 1
-    seed_of = SpilledQueues(width, budget)
-    seed_of.put(seeds, t[seeds])
-    large, small = SpilledQueues(width, budget), SpilledQueues(width, budget)
-    lists: list[np.ndarray] = []
+    waiting = SpilledQueues(budget)
+    chars = t[seeds["place"]]
+    order = np.argsort(chars, kind="stable")
+    chars = chars[order]
+    waiting.put(seeds[order], chars, np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]]))
+    large, lists = _Pass(t, s_type, False, width, budget, cap), SpilledQueues(budget)
+    zeros = NOTHING
     for c in range(width):
-        done = []
-        while len(now := large.take(c)):
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[(t[before] != 0) & ~s_type[before]]
-            large.put(before, t[before])
-        now = seed_of.take(c)
-        before = now[now > 0] - 1
-        before = before[(t[before] != 0) & ~s_type[before]]
-        large.put(before, t[before])
-        lists.append(np.concatenate(done) if done else now[:0])
-        if c == 0:
-            zeros = now
-    out: list[np.ndarray] = []
+        last = None
+        while len(now := large.queues.take(c)):
+            lists.add(c, now)
+            last = int(now["place"][-1])
+            large.feed(now)
+        now = waiting.take(c)
+        if len(now):
+            if cap:
+                # A large suffix and a small one of one character share its shorter run.
+                now["shared"][0] = 0 if last is None else min(_run(t, last, cap), _run(t, int(now["place"][0]), cap))
+            large.feed(now)
+            if c == 0:
+                zeros = now
+    small = _Pass(t, s_type, True, width, budget, cap)
     for c in range(width - 1, 0, -1):
-        done = []
+        last = None
+        while len(now := small.queues.take(c)):
+            yield now
+            last = int(now["place"][-1])
+            small.feed(now)
+        now = lists.take(c)
+        if len(now):
+            back = now[::-1].copy()
+            if cap:
+                back["shared"][1:] = now["shared"][:0:-1]
+                back["shared"][0] = 0 if last is None else min(_run(t, last, cap), _run(t, int(back["place"][0]), cap))
+            yield back
+            small.feed(back)
+    back = zeros[::-1].copy()
+    back["shared"] = 0
+    yield back
+
+
+def _equal_substrings(t: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each substring but the first equals the one before it, character by character."""
+    a, b, n = first[:-1], first[1:], length[1:]
+    same = (length[:-1] == n) & (t[b] != 0)
+    some, k = np.flatnonzero(same), 0
+    while len(some):
+        equal = t[a[some] + k] == t[b[some] + k]
+        same[some[~equal]] = False
+        k += 1
+        some = some[equal]
+        some = some[n[some] > k]
+    return same
+
+
+def _shared_prefixes(t: np.ndarray, places: np.ndarray, cap: int) -> np.ndarray:
+    """Characters that each suffix shares with the one before it, up to ``cap``; 0 for the first."""
+    out = np.zeros(len(places), np.int16)
+    a, b = places[:-1], places[1:]
+    some = np.arange(len(a))
+    for k in range(cap):
+        x = t[a[some] + k]
+        some = some[(x == t[b[some] + k]) & (x != 0)]
+        if not len(some):
+            break
+        out[some + 1] = k + 1
+    return out
 
-        def feed(now: np.ndarray) -> None:
-            before = now[now > 0] - 1
-            before = before[(t[before] != 0) & s_type[before]]
-            small.put(before, t[before])
 
-        while len(now := small.take(c)):
-            done.append(now)
-            feed(now)
-        back = lists[c][::-1]
-        feed(back)
-        out += [*done, back]
-    return np.concatenate([*out, zeros[::-1]])[::-1]
+def _sorted_stars(t: np.ndarray, s_type: np.ndarray, budget: int, memory: int) -> np.ndarray:
+    """Places of stars and zeros in the order of their suffixes."""
+    star = _array(len(t), bool, memory)
+    star[1:] = s_type[1:] & ~s_type[:-1]
+    star |= t == 0
+    stars = np.flatnonzero(star).astype(np.int32)
+    seeds = np.zeros(len(stars), TUPLE)
+    seeds["place"] = stars
+    found = [now["place"][star[now["place"]]] for now in _induce(t, s_type, seeds, budget, 0)]
+    order = np.concatenate(found)[::-1]
+    number = np.searchsorted(stars, order)
+    length = np.r_[np.diff(stars), 0].astype(np.int32) + 1  # up to the next star's first character
+    fresh = np.r_[True, ~_equal_substrings(t, order, length[number])]
+    if fresh.all():
+        return order
+    zeros = int((t[stars] == 0).sum())
+    names = np.zeros(len(stars), np.int32)
+    names[number] = np.maximum(np.cumsum(fresh) - zeros, 0)  # zeros come first, and stay zeros
+    if len(names) * NAME_BYTES <= memory:
+        return stars[_sort_names(names)]
+    return stars[_recurse(names, budget, memory)]
 
 
-def suffix_array(t: np.ndarray, budget: int = 64 << 20) -> np.ndarray:
+def _recurse(names: np.ndarray, budget: int, memory: int) -> np.ndarray:
+    return suffix_array(names, budget, memory)
+
+
+def suffix_array(t: np.ndarray, budget: int = BUDGET, memory: int = MEMORY) -> np.ndarray:
     """Places of ``t`` (characters above zero; strings end in zeros, the last too) in the order of their suffixes."""
-    n = len(t)
-    s_type = _types(t)
-    stars = np.flatnonzero(s_type & np.r_[False, ~s_type[:-1]] | (t == 0)).astype(np.int32)
-    # Substrings from star to star are sorted by the same induction, and equal ones get one name.
-    order = _induce(t, s_type, stars, budget)
-    is_star = np.zeros(n, bool)
-    is_star[stars] = True
-    order = order[is_star[order]]
-    number = np.zeros(n, np.int32)
-    number[stars] = np.arange(len(stars), dtype=np.int32)
-    ends = np.r_[stars[1:], n - 1] + 1
-    sums = np.r_[np.uint64(0), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * _powers(n), dtype=np.uint64)]
-    first = stars[number[order]]
-    last = ends[number[order]]
-    code = (sums[last] - sums[first]) * _powers(n)[::-1][first]  # the same substring has the same code wherever it stands
-    length = last - first
-    fresh = np.r_[True, (code[1:] != code[:-1]) | (length[1:] != length[:-1]) | (t[first[1:]] == 0)]
-    names = np.zeros(len(stars), np.int64)
-    names[number[order]] = np.cumsum(fresh)
-    sorted_stars = stars[_sort_names(names, t[stars] == 0)]
-    return _induce(t, s_type, sorted_stars, budget)
-
-
-_power_of: list[np.ndarray] = [np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_power_of[0]) < n:
-        out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-        out[0] = 1
-        _power_of[0] = np.multiply.accumulate(out)
-    return _power_of[0][:n]
-
-
-def _sort_names(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ``names``, whose strings end where ``ends`` says: names of spans twice as long each time."""
+    return np.concatenate([x["place"] for x in descending(t, 0, budget, memory)])[::-1]
+
+
+def descending(t: np.ndarray, cap: int, budget: int = BUDGET, memory: int = MEMORY) -> Iterator[np.ndarray]:
+    """Tuples of all suffixes of ``t``, greatest first, each with what it shares with the one before, up to ``cap``."""
+    s_type = _types(t, memory)
+    order = _sorted_stars(t, s_type, budget, memory)
+    seeds = np.zeros(len(order), TUPLE)
+    seeds["place"] = order
+    if cap:
+        seeds["shared"] = _shared_prefixes(t, order, cap)
+    yield from _induce(t, s_type, seeds, budget, cap)
+
+
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``names`` in memory: names of spans twice as long each time. Zeros all differ."""
     n, span = len(names), 1
-    rank = names
+    rank = names.astype(np.int64)
+    zero = rank == 0
+    rank += zero.sum()
+    rank[zero] = np.arange(int(zero.sum()))
     while True:
         order = np.argsort(rank, kind="stable")
         ranked = rank[order]
         if (ranked[1:] != ranked[:-1]).all():
             return order
-        shifted = np.r_[rank[span:], np.zeros(min(span, n), np.int64)][:n]
+        shifted = np.r_[rank[span:], np.full(min(span, n), -1, np.int64)][:n]
         shared = np.r_[False, ranked[1:] == ranked[:-1]] | np.r_[ranked[1:] == ranked[:-1], False]
         some = order[shared]  # only those without a rank of their own are sorted again
-        again = some[np.lexsort((shifted[some], rank[some]))]
-        order[shared] = again
+        order[shared] = some[np.lexsort((shifted[some], rank[some]))]
         a, b = rank[order], shifted[order]
         fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         rank = np.empty(n, np.int64)
@@ -156,30 +283,21 @@ def _sort_names(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
         span *= 2
 
 
-def repeated_starts(strings: list[bytes], length: int, budget: int = 64 << 20) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], length: int, budget: int = BUDGET, memory: int = MEMORY) -> list[np.ndarray]:
     """For each string, whether the ``length`` bytes from each of its first places stand elsewhere in the strings too."""
     wide = np.fromiter((len(s) for s in strings), np.int64, len(strings))
-    total = int(wide.sum()) + len(strings)
-    t = np.zeros(total, np.int16)
     begin = np.r_[0, np.cumsum(wide + 1)[:-1]]
-    body = np.ones(total, bool)
-    body[begin + wide] = False
-    t[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-    end = np.repeat(begin + wide, wide + 1)
-    order = suffix_array(t, budget)
-    order = order[end[order] - order >= length]  # shorter suffixes stand between no two that share so long a prefix
-    a, b = order[:-1], order[1:]
-    same = np.ones(len(a), bool)
-    # Common prefixes of neighbours, compared in wider and wider steps as far as they agree.
-    for k in [*range(0, length - 8, 8), length - 8]:
-        at = np.flatnonzero(same)
-        if not len(at):
-            break
-        x = np.ones(len(at), bool)
-        for d in range(8):
-            x &= t[a[at] + k + d] == t[b[at] + k + d]
-        same[at] = x
-    hit = np.zeros(total, bool)
-    hit[a[same]] = True
-    hit[b[same]] = True
-    return [hit[s : s + max(0, w - length + 1)] for s, w in zip(begin, wide, strict=True)]
+    t = _array(int(wide.sum()) + len(strings), np.int16, memory)
+    for s, a in zip(strings, begin.tolist(), strict=True):
+        t[a : a + len(s)] = np.frombuffer(s, np.uint8)
+        t[a : a + len(s)] += 1
+    hit = _array(len(t), bool, memory)
+    before = -1
+    for now in descending(t, length, budget, memory):
+        near = np.flatnonzero(now["shared"] >= length)
+        if len(near):
+            place = now["place"]
+            hit[place[near]] = True
+            hit[place[near - 1] if near[0] else np.r_[before, place[near[1:] - 1]]] = True
+        before = now["place"][-1] if len(now) else before
+    return [hit[s : s + max(0, w - length + 1)] for s, w in zip(begin.tolist(), wide.tolist(), strict=True)]
