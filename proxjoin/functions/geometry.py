@@ -20,8 +20,8 @@ def cell_length(r_min: float, dimensions: int) -> float:
 
 
 def reach(r_max: float, length: float) -> int:
-    """Cells that a radius spans along an axis."""
-    return ceil(r_max / length)
+    """Cells that a radius spans along an axis; a little more, as computed distances may be rounded down to the radius."""
+    return ceil(r_max * (1 + 1e-9) / length)
 
 
 def cell_of(x: Column, length: float) -> Column:
@@ -58,6 +58,12 @@ def offsets(r_max: float, length: float, dimensions: int, ring: str = "full", or
     return [o for o in kept if not prune or apart(o) <= r_max * r_max * (1 + 1e-9)]
 
 
+def nth_bounds(points: Sequence[Axes], axis: int) -> tuple[Column, Column]:
+    """The least and the greatest coordinate of some points on one axis."""
+    on = [p[axis] for p in points]
+    return F.least(*on), F.greatest(*on)
+
+
 def corners(lows: Axes, highs: Axes) -> list[list[Column]]:
     return [list(c) for c in product(*zip(lows, highs, strict=True))]
 
@@ -121,11 +127,30 @@ def volume_ratio(point: Axes, lows: Axes, highs: Axes, radius: float, length: fl
 
 
 def area_fraction(point: Axes, lows: Axes, length: float, radius: float, steps: int = 12) -> Column:
-    """Share of the cell within the sphere by a regular grid of ``steps`` points along each axis."""
-    n = len(point)
+    """Share of the cell within the sphere by a regular grid of ``steps`` points along each axis.
 
-    def inside(i: Column) -> Column:
-        at = [lows[j] + (F.pmod(F.floor(i / F.lit(steps**j)), F.lit(steps)) + 0.5) * F.lit(length / steps) for j in range(n)]
-        return reduce(add, [(a - p) * (a - p) for a, p in zip(at, point, strict=True)]) <= F.lit(radius * radius)
-
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(steps**n - 1)), inside)) / F.lit(float(steps**n))
+    Points lie in lines along the last axis; of each line the sphere holds one run, whose length follows from where the
+    line enters and leaves it, so a line is one term and not ``steps``.
+    """
+    n, step = len(point), length / steps
+    total = []
+    for line in product(range(steps), repeat=n - 1):
+        at = [lows[j] + F.lit((k + 0.5) * step) - point[j] for j, k in enumerate(line)]
+        half = F.sqrt(F.lit(radius * radius) - reduce(add, [a * a for a in at], F.lit(0.0)))  # NaN where the line misses it
+        centre = point[-1] - lows[-1]
+        first = F.greatest(F.ceil((centre - half) / F.lit(step) - 0.5), F.lit(0))
+        last = F.least(F.floor((centre + half) / F.lit(step) - 0.5), F.lit(steps - 1))
+        total.append(F.when(F.isnan(half), F.lit(0)).otherwise(F.greatest(last - first + 1, F.lit(0))))
+    return reduce(add, total) / F.lit(float(steps**n))
+
+
+def query_weights(point: Axes, lows: Axes, highs: Axes, length: float, replica: Column, radii: dict[str, float], formula: str = "edges") -> Column:
+    """A copy's weight for each query of a group as a map: 1 at home and where the cell is enclosed, its share where
+    the sphere meets it, no entry elsewhere. A copy made for the largest radius serves all queries by it.
+    """
+    entries = []
+    for name, r in radii.items():
+        share = volume_ratio(point, lows, highs, r, length) if formula == "edges" else area_fraction(point, lows, length, r)
+        weight = F.when(~replica | enclosed(point, lows, highs, r), F.lit(1.0)).when(intersected(point, lows, highs, r), share)
+        entries.append(F.struct(F.lit(name).alias("key"), weight.alias("value")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))

@@ -26,11 +26,15 @@ def totals(wide: DataFrame, stream: str | None = None, fields: Sequence[str] = (
     return out.select(F.lit(query_id).alias("queryId"), "*") if query_id else out
 
 
-def grouped(wide: DataFrame, stream: str, group_by: Sequence[tuple[str, str]], field: str, having: Column | None = None) -> DataFrame:
-    """count, sum and avg of a field for each group of (stream, field) columns; ``having`` filters the result."""
+def grouped(wide: DataFrame, stream: str, group_by: Sequence[tuple[str, str]], field: str | Sequence[str], having: Column | None = None) -> DataFrame:
+    """count, and sum and avg of each field (``sum``, ``avg`` of the first, then by field) for each group of (stream,
+    field) columns; ``having`` filters the result.
+    """
     keys = [F.col(f"`{s}{SEP}{f}`").alias(f) for s, f in group_by]
-    out = wide.groupBy(*keys).agg(F.count("*").alias("count"), F.sum(F.col(f"`{stream}{SEP}{field}`").cast("double")).alias("sum"))
-    out = out.withColumn("avg", average(F.col("sum"), F.col("count")))
+    fields = [field] if isinstance(field, str) else list(field)
+    names = {f: "" if k == 0 else f"_{f}" for k, f in enumerate(fields)}
+    out = wide.groupBy(*keys).agg(F.count("*").alias("count"), *[F.sum(F.col(f"`{stream}{SEP}{f}`").cast("double")).alias(f"sum{n}") for f, n in names.items()])
+    out = out.withColumns({f"avg{n}": average(F.col(f"sum{n}"), F.col("count")) for n in names.values()})
     return out if having is None else out.where(having)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proxjoin.functions import geometry
+from proxjoin.operators import sketch
 from proxjoin.operators.aggregate import average
 from proxjoin.operators.grid import replicate
 
@@ -31,8 +32,8 @@ def weight(point: Sequence[Column], cells: Sequence[Column], length: float, radi
     return F.when(~replica | geometry.enclosed(point, lows, highs, radius), F.lit(1.0)).otherwise(share)
 
 
-def cell_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None) -> DataFrame:
-    """(cells, N_k and R_k for the k-th stream, V, U): partial sums first, then one row for each cell."""
+def weighted(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None) -> DataFrame:
+    """(cells, k, isReplica, w, v): every copy with its stream's number, weight, and value where it is aggregated."""
     on = sorted(on)
     length = length or geometry.cell_length(radius, len(on))
     keys = [f"cell_{i}" for i in range(len(on))]
@@ -43,7 +44,13 @@ def cell_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float,
         w = weight(point, [F.col(c) for c in keys], length, radius, F.col("isReplica"), formula)
         v = F.coalesce(F.col(f"`{field}`").cast("double"), F.lit(0.0)) if name == stream else F.lit(0.0)
         parts.append(copies.select(*keys, F.lit(k).alias("k"), "isReplica", w.alias("w"), v.alias("v")))
-    rows = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cell_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None) -> DataFrame:
+    """(cells, N_k and R_k for the k-th stream, V, U): partial sums first, then one row for each cell."""
+    rows = weighted(streams, on, radius, stream, field, formula, length)
+    keys = [f"cell_{i}" for i in range(len(on))]
     only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
     aggs, w, v = [], F.col("w"), F.col("w") * F.col("v")
     for k in range(len(streams)):
@@ -53,15 +60,39 @@ def cell_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float,
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def sketched_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", buckets: int = 1 << 14, rows: int = 3) -> DataFrame:
+    """The same totals as point queries of two Count-Min sketches, of weights and of weighted values.
+
+    Keys are ``cell_stream`` and, for copies, ``cell_stream_replica``. What is kept of all rows is two sketches of a fixed
+    size; totals are never below the true ones for weights and values from 0.
+    """
+    copies = weighted(streams, on, radius, stream, field, formula)
+    keys = [f"cell_{i}" for i in range(len(on))]
+    cell, a = F.concat_ws(":", *keys), list(streams).index(stream)
+    named = lambda replica: sketch.composite_key(cell, F.col("k").cast("string"), replica)
+    both = F.array(F.struct(named(F.lit(False)).alias("key")), F.struct(F.when(F.col("isReplica"), named(F.lit(True))).alias("key")))
+    entries = copies.select("k", "w", "v", F.inline(both)).where("key IS NOT NULL")
+    counts = sketch.create(entries, F.col("key"), F.col("w"), buckets, rows)
+    sums = sketch.create(entries.where(F.col("k") == a), F.col("key"), F.col("w") * F.col("v"), buckets, rows)
+    of = [(f"{n}_{k}", k, n == "R") for k in range(len(streams)) for n in ("N", "R")]
+    asked = copies.select(*keys).distinct().select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(r).alias("r")) for n, k, r in of])))
+    asked = asked.withColumn("key", sketch.composite_key(cell, F.col("k").cast("string"), F.col("r")))
+    got = asked.join(sketch.query(counts, asked, "key", buckets, rows).withColumnRenamed("estimate", "w"), "key")
+    got = got.join(sketch.query(sums, asked.where(F.col("k") == a), "key", buckets, rows).withColumnRenamed("estimate", "v"), "key", "left")
+    pick = [F.max(F.when(F.col("name") == n, F.col("w"))).alias(n) for n, _, _ in of]
+    return got.groupBy(*keys).agg(*pick, F.max(F.when(F.col("name") == f"N_{a}", F.col("v"))).alias("V"), F.max(F.when(F.col("name") == f"R_{a}", F.col("v"))).alias("U"))
+
+
 def per_cell(cells: DataFrame, n: int, a: int) -> DataFrame:
     """A cell's estimated count and sum."""
     prod = lambda name, skip=-1: reduce(mul, [F.col(f"{name}_{k}") for k in range(n) if k != skip], F.lit(1.0))
     return cells.withColumn("joinCount", prod("N") - prod("R")).withColumn("joinSum", F.col("V") * prod("N", a) - F.col("U") * prod("R", a))
 
 
-def estimate(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", query_id: str | None = None) -> DataFrame:
-    """joinCount, joinSum, joinAvg over all cells."""
-    cells = per_cell(cell_totals(streams, on, radius, stream, field, formula), len(streams), list(streams).index(stream))
+def estimate(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", query_id: str | None = None, by_sketch: bool = False) -> DataFrame:
+    """joinCount, joinSum, joinAvg over all cells, from their exact totals or from sketches."""
+    totals = (sketched_totals if by_sketch else cell_totals)(streams, on, radius, stream, field, formula)
+    cells = per_cell(totals, len(streams), list(streams).index(stream))
     out = cells.agg(F.coalesce(F.sum("joinCount"), F.lit(0.0)).alias("joinCount"), F.coalesce(F.sum("joinSum"), F.lit(0.0)).alias("joinSum"))
     out = out.withColumn("joinAvg", average(F.col("joinSum"), F.col("joinCount")))
     return out.select(F.lit(query_id).alias("queryId"), "*") if query_id else out

@@ -37,6 +37,11 @@ def _within(done: Sequence[str], new: str, on: Sequence[str], radius: float, kin
     return reduce(and_, [near(_axes(s, on), _axes(new, on)) <= F.lit(float(radius)) for s in done])
 
 
+def within_all(names: Sequence[str], on: Sequence[str], radius: float, kind: str) -> Column:
+    """All pairs of a combination's members are within the radius."""
+    return reduce(and_, [_within(names[:k], name, sorted(on), radius, kind) for k, name in enumerate(names) if k])
+
+
 def _span(streams: Sequence[str], band: tuple[str, int]) -> Column:
     """Sequence numbers of all members within a window of that many rows."""
     at = [F.col(f"`{s}{SEP}{band[0]}`") for s in streams]
@@ -124,8 +129,9 @@ def unjoined(streams: dict[str, DataFrame], wide: DataFrame, id_col: str = "tupl
 
 
 def distance_band_join(a: DataFrame, b: DataFrame, on: Sequence[str], radius: float, pivots: Sequence[Sequence[float]], id_col: str = "tupleId") -> DataFrame:
-    """Pairs within the radius by distance to pivots: rows meet at ``b``'s nearest pivot, prefiltered by the band
-    of distances to it; what is nearest, copies and band follow from the triangle inequality, so no pair is lost.
+    """Pairs within the radius by distance to pivots: rows meet in a band of distances, as wide as the radius, to ``b``'s
+    nearest pivot. A row of ``a`` goes to every pivot that may be nearest to a partner, and there to the three bands
+    that its distance reaches; that follows from the triangle inequality, so no pair is lost.
     """
     on = sorted(on)
 
@@ -135,10 +141,14 @@ def distance_band_join(a: DataFrame, b: DataFrame, on: Sequence[str], radius: fl
         return _prefixed(df.dropna(subset=list(on)), name).withColumn("_all", F.array(*reach)).withColumn("_near", F.array_min("_all"))
 
     left = ranked(a, "a")
-    left = left.select("*", F.inline(F.filter("_all", lambda p: p["d"] <= F.col("_near.d") + F.lit(2 * radius * (1 + 1e-9))))).withColumnRenamed("d", "_da").drop("_all", "_near")
+    width = radius * (1 + 1e-9)
+    left = left.select("*", F.inline(F.filter("_all", lambda p: p["d"] <= F.col("_near.d") + F.lit(2 * width)))).withColumnRenamed("d", "_da").drop("_all", "_near")
+    home = F.floor(F.col("_da") / F.lit(width))
+    left = left.withColumn("band", F.explode(F.array(home - 1, home, home + 1)))
     right = ranked(b, "b").select("*", F.col("_near.d").alias("_db"), F.col("_near.pivot").alias("pivot")).drop("_all", "_near")
+    right = right.withColumn("band", F.floor(F.col("_db") / F.lit(width)))
     near = (F.abs(F.col("_da") - F.col("_db")) <= F.lit(radius * (1 + 1e-9))) & (D.euclidean(_axes("a", on), _axes("b", on)) <= F.lit(float(radius)))
-    return left.join(right, "pivot").where(near).drop("_da", "_db", "pivot").withColumn("joinId", join_id(["a", "b"], id_col))
+    return left.join(right, ["pivot", "band"]).where(near).drop("_da", "_db", "pivot", "band").withColumn("joinId", join_id(["a", "b"], id_col))
 
 
 def search_bounds(radius: float, cluster_radius: Column, position: Column, spread: Column, c: float = 1_000_000.0) -> tuple[Column, Column]:
@@ -151,46 +161,66 @@ def search_bounds(radius: float, cluster_radius: Column, position: Column, sprea
     return F.when(reached, base + F.greatest(spread - F.lit(radius), F.lit(0.0))), F.when(reached, base + F.least(cluster_radius, spread + F.lit(radius)))
 
 
-def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str, kind: str = "cosine", pivots: int = 8, seed: int = 7) -> DataFrame:
-    """(id_a, id_b, distance) with id_a < id_b of rows of array vectors within the radius, meeting at pivots.
+def cosine_search_bounds(radius: float, cluster_radius: Column, position: Column, spread: Column, c: float = 1_000_000.0) -> tuple[Column, Column]:
+    """The same for a cosine radius below 1, with distances between unit vectors."""
+    return search_bounds(D.cosine_as_euclidean(radius), cluster_radius, position, spread, c)
+
+
+def index_keys(df: DataFrame, on: Sequence[str], pivots: Sequence[Sequence[float]], c: float = 1_000_000.0, name: str = "key") -> DataFrame:
+    """Rows with the one-dimensional key of an index: nearest pivot's position times ``c``, plus the distance to it."""
+    axes = [F.col(f"`{a}`").cast("double") for a in sorted(on)]
+    near = F.array_min(F.array(*[F.struct(D.euclidean(axes, [F.lit(float(v)) for v in p]).alias("d"), F.lit(k).alias("k")) for k, p in enumerate(pivots)]))
+    return df.dropna(subset=list(on)).withColumn("_near", near).withColumn(name, F.col("_near.k") * F.lit(c) + F.col("_near.d")).drop("_near")
+
 
-    All vectors must have one length.
+def index_range(indexed: DataFrame, low: float, high: float, include: str = "both", name: str = "key") -> DataFrame:
+    """Rows whose key lies in a range; ``include`` says which of its ends are part of it: both, low, high, none. A point
+    is a range of one key. On a table that is stored in order of its key, the filter reaches the scan.
+    """
+    if include not in ("both", "low", "high", "none"):
+        raise ValueError(f"unknown ends {include!r}")
+    key = F.col(name)
+    over = key >= low if include in ("both", "low") else key > low
+    return indexed.where(over & (key <= high if include in ("both", "high") else key < high))
+
+
+def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", kind: str = "cosine", block: int = 1024) -> DataFrame:
+    """(id_a, id_b, distance) with id_a < id_b of rows of array vectors within the radius, by pairs of blocks.
 
-    Pivots are ``pivots`` vectors of the table, a number that doesn't grow with it. Zero vectors are at cosine
-    distance 1 from all.
+    Rows are dealt to blocks of about ``block`` by a hash of the id; a pair of blocks is a key, so a task holds two blocks
+    at a time, whatever the data, and compares them by one matrix product. All vectors must have one length; rows
+    without a vector have no pairs. Zero vectors are at cosine distance 1 from all. The number of pairs of blocks grows
+    with the square of the table: this is for radii at which nothing can be left out, on tables of up to some millions.
     """
     if kind == "cosine" and radius >= 1:
         raise ValueError("within a cosine distance of 1 everything matches")
-    reach = D.cosine_as_euclidean(radius) if kind == "cosine" else radius
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    chosen = [r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("v").limit(pivots).collect()]
-    if not chosen:
-        return df.sparkSession.createDataFrame([], "id_a long, id_b long, distance double")
-    points = np.array(chosen, float)
-    unit = lambda x, n: x / np.where(n == 0, 1, n)[:, None] if kind == "cosine" else x
-    points = unit(points, np.sqrt((points * points).sum(axis=1)))
-
-    @F.pandas_udf("n double, d array<double>")
-    def measured(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_list()) if len(v) else np.zeros((0, points.shape[1]))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = rows.withColumn("own", own).select("id", "v", "own", F.inline(met))
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.stack(group["v"].to_list()), group["id"].to_numpy()
         n = np.sqrt((x * x).sum(axis=1))
-        u = unit(x, n)
-        d = np.sqrt(((u[:, None, :] - points) ** 2).sum(axis=2))
-        return pd.DataFrame({"n": n, "d": list(d)})
-
-    ranked = rows.withColumn("m", measured("v")).select("id", "v", "m.n", F.transform("m.d", lambda d, k: F.struct(d.alias("d"), k.alias("pivot"))).alias("all"))
-    ranked = (ranked.where("n > 0") if kind == "cosine" else ranked).withColumn("near", F.array_min("all"))
-    a = ranked.select(F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("n").alias("na"), F.inline(F.filter("all", lambda p: p["d"] <= F.col("near.d") + F.lit(2 * reach * (1 + 1e-9))))).withColumnRenamed("d", "da")
-    b = ranked.select(F.col("id").alias("id_b"), F.col("v").alias("vb"), F.col("n").alias("nb"), F.col("near.d").alias("db"), F.col("near.pivot").alias("pivot"))
-    # A row's copies include the pivot next to each row near to it, so every pair comes in both orders; one is enough.
-    met = a.join(b, "pivot").where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("da") - F.col("db")) <= F.lit(reach * (1 + 1e-9))))
-    width = len(chosen[0]) if len(chosen[0]) <= 128 else None
-    dot = D.dot_array(F.col("va"), F.col("vb"), width)
-    if kind == "cosine":
-        true = 1 - F.greatest(F.lit(0.0), dot / (F.col("na") * F.col("nb")))
-    else:
-        true = F.sqrt(F.greatest(F.lit(0.0), F.col("na") * F.col("na") + F.col("nb") * F.col("nb") - 2 * dot))
-    return met.select("id_a", "id_b", true.alias("distance")).where(F.col("distance") <= F.lit(radius))
+        if kind == "cosine":
+            some = n > 0
+            x, ids, n, own = x[some], ids[some], n[some], group["own"].to_numpy()[some]
+        else:
+            own = group["own"].to_numpy()
+        a, b = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
+        dot = x[a] @ x[b].T
+        if kind == "cosine":
+            d = 1 - np.maximum(0.0, dot / np.outer(n[a], n[b]))
+        else:
+            d = np.sqrt(np.maximum(0.0, (n[a] ** 2)[:, None] + n[b] ** 2 - 2 * dot))
+        # Within one block a pair comes in both orders; between two, once.
+        near = (d <= radius) & ((ids[a][:, None] < ids[b]) if key[0] == key[1] else (ids[a][:, None] != ids[b]))
+        p, q = np.nonzero(near)
+        left, right = ids[a][p], ids[b][q]
+        return pd.DataFrame({"id_a": np.minimum(left, right), "id_b": np.maximum(left, right), "distance": d[p, q]})
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, "id_a long, id_b long, distance double")
 
 
 def pairs_of(streams: Sequence[str]) -> list[tuple[str, str]]:

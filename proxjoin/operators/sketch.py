@@ -84,9 +84,9 @@ def front_counts(df: DataFrame, key: Column, value: Column | None = None, slots:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("adds"), F.sum(F.lit(1.0) if value is None else value.cast("double")).alias("total"))
 
 
-def panakos_query(df: DataFrame, key: Column, buckets: int = BUCKETS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
-    """Counts by a front counter that holds up to 3 for each slot, with what is beyond in a Count-Min sketch."""
-    counted = front_counts(df, key).withColumn("slot", slot(F.col("key"), slots))
+def panakos_of(counted: DataFrame, buckets: int = BUCKETS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
+    """Estimates for keys from their adds (key, adds), see ``panakos_query``."""
+    counted = counted.withColumn("slot", slot(F.col("key"), slots))
     front = counted.groupBy("slot").agg(F.sum("adds").alias("all"))
     beyond = counted.join(front, "slot").withColumn("over", F.col("adds") * F.greatest(F.col("all") - FRONT, F.lit(0)) / F.col("all"))
     behind = create(beyond.where("over > 0"), F.col("key"), F.col("over"), buckets, rows)
@@ -95,6 +95,19 @@ def panakos_query(df: DataFrame, key: Column, buckets: int = BUCKETS, rows: int
     return out.select("key", F.when(F.col("all") <= FRONT, F.col("all").cast("double")).otherwise(FRONT + F.col("estimate")).alias("estimate"))
 
 
+def panakos_query(df: DataFrame, key: Column, buckets: int = BUCKETS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
+    """Counts by a front counter that holds up to 3 for each slot, with what is beyond in a Count-Min sketch."""
+    return panakos_of(front_counts(df, key), buckets, rows, slots)
+
+
+def panakos_removed(df: DataFrame, key: Column, gone: Column, buckets: int = BUCKETS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
+    """The counts where rows for which ``gone`` is true take one back instead of adding one: front counter and sketch
+    hold what is left, as if the rows taken back had never come. Keys of which nothing is left have no row.
+    """
+    left = df.groupBy(key.alias("key")).agg(F.sum(F.when(gone, F.lit(-1)).otherwise(F.lit(1))).alias("adds")).where("adds > 0")
+    return panakos_of(left, buckets, rows, slots)
+
+
 def panakos_compat(adds: Column, value: Column) -> Column:
     """What the counter first published with this sketch gives for one key after ``adds`` adds of ``value``."""
     return F.when(adds < FRONT, adds.cast("double")).otherwise(FRONT - 1 + (adds - FRONT) * F.floor(value))

@@ -33,6 +33,15 @@ def window_join(streams: dict[str, DataFrame], on: Sequence[str], radius: float,
     return clique_join(streams, on, radius, kind, id_col, band=(seq, length))
 
 
+def changes(wide: DataFrame, streams: Sequence[str], last: int, length: int, seq: str = "seq") -> DataFrame:
+    """Combinations as the window's stream of additions and retractions: a row when the last member arrives, and one with
+    ``isExpired`` when the first has left, both with the number ``at`` of the row that brings it about.
+    """
+    at = [F.col(f"`{s}__{seq}`") for s in streams]
+    both = F.array(F.struct(F.greatest(*at).alias("at"), F.lit(False).alias("isExpired")), F.struct((F.least(*at) + length).alias("at"), F.lit(True).alias("isExpired")))
+    return wide.select("*", F.inline(both)).where(F.col("at") <= last)
+
+
 def alive(wide: DataFrame, streams: Sequence[str], last: int, length: int, seq: str = "seq") -> DataFrame:
     """Combinations still in the window after row ``last``: what is left when expired ones are taken back."""
     oldest = F.least(*[F.col(f"`{s}__{seq}`") for s in streams])

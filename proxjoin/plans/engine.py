@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proxjoin.functions import distance as D
 from proxjoin.functions.predicates import clause, where
 from proxjoin.operators import aggregate, approx
-from proxjoin.operators.join import clique_join, long_form, unjoined
+from proxjoin.operators.join import SEP, clique_join, long_form, unjoined, within_all
 from proxjoin.plans.config import EngineConfig, Query, groups
 
 
@@ -34,24 +35,70 @@ def split(events: DataFrame, streams: list[str], column: str = "streamId") -> di
 def _aggregate(q: Query, wide: DataFrame, spec) -> DataFrame:
     if not spec.group_by:
         return aggregate.totals(wide, spec.stream, spec.fields, q.id)
-    out = aggregate.grouped(wide, spec.stream or q.between[0], spec.group_by, spec.fields[0] if spec.fields else q.on[0])
+    out = aggregate.grouped(wide, spec.stream or q.between[0], spec.group_by, spec.fields or q.on[:1])
     if spec.having:
         out = out.where(reduce(and_, [clause(out, c.field, c.operator, c.value) for c in spec.having]))
     return out.withColumn("queryId", F.lit(q.id))
 
 
-def run(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tupleId", compat_eq: str = "typed") -> dict[str, Results]:
+def _approximate(q: Query, streams: dict[str, DataFrame], by_sketch: bool) -> DataFrame:
+    """Cosine is estimated between unit vectors."""
+    stream = next((a.stream for a in q.aggregates if a.stream), q.between[0])
+    value = next((a.fields[0] for a in q.aggregates if a.fields), q.on[0])
+    on, radius = list(q.on), q.radius
+    if q.distance == "cosine":
+        radius = D.cosine_as_euclidean(radius)
+        units = D.normalise([F.col(f"`{a}`").cast("double") for a in sorted(q.on)])
+        on = [f"_unit_{i}" for i in range(len(units))]
+        streams = {s: df.withColumns(dict(zip(on, units, strict=True))).where(reduce(or_, [F.col(u) != 0 for u in on])) for s, df in streams.items()}
+    elif q.distance != "euclidean":
+        raise ValueError(f"approximate mode has no cells for {q.distance}")
+    return approx.estimate(streams, on, radius, stream, value, query_id=q.id, by_sketch=by_sketch)
+
+
+def run_shared(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tupleId", compat_eq: str = "typed") -> DataFrame:
+    """(queryId, count, sum, avg) of all queries, in one plan for each group and set of streams.
+
+    A group's rows are copied and joined once, within its largest radius; each combination tells by its distances and its
+    members' clauses which queries it belongs to. sum and avg are those of a query's first aggregated field, else 0.
+    """
+    parts = []
+    for group in groups(config.queries):
+        by_streams: dict[tuple[str, ...], list[Query]] = {}
+        for q in group.queries:
+            by_streams.setdefault(q.between, []).append(q)
+        for names, qs in by_streams.items():
+            streams = {}
+            for s in names:
+                ok = {f"_ok_{i}": reduce(and_, [F.coalesce(clause(tables[s], c.field, c.operator, c.value, compat_eq), F.lit(False)) for c in q.where if c.stream == s], F.lit(True)) for i, q in enumerate(qs)}
+                streams[s] = tables[s].withColumns(ok).where(reduce(or_, [F.col(c) for c in ok]))
+            euclidean = group.distance == "euclidean"
+            low, top = min(q.radius for q in qs), max(q.radius for q in qs)
+            wide = clique_join(streams, group.on, top, group.distance, id_col, low if euclidean else None, top if euclidean else None)
+            entries = []
+            for i, q in enumerate(qs):
+                spec = next((a for a in q.aggregates if a.stream and a.fields), None)
+                value = F.col(f"`{spec.stream}{SEP}{spec.fields[0]}`").cast("double") if spec else F.lit(0.0)
+                belongs = reduce(and_, [F.col(f"`{s}{SEP}_ok_{i}`") for s in names])
+                if q.radius < top:
+                    belongs = belongs & within_all(names, group.on, q.radius, group.distance)
+                entries.append(F.when(belongs, F.struct(F.lit(q.id).alias("queryId"), value.alias("v"))))
+            found = wide.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+            sums = found.groupBy("queryId").agg(F.count("*").alias("count"), F.sum("v").alias("sum"))
+            every = tables[names[0]].sparkSession.range(1).select(F.explode(F.array(*[F.lit(q.id) for q in qs])).alias("queryId"))
+            both = every.join(sums, "queryId", "left").select("queryId", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("sum", F.lit(0.0)).alias("sum"))
+            parts.append(both.withColumn("avg", aggregate.average(F.col("sum"), F.col("count"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tupleId", compat_eq: str = "typed", by_sketch: bool = False) -> dict[str, Results]:
     """Plans only: nothing is computed until a result is used. Queries of a group share the cells of its least radius."""
     out: dict[str, Results] = {}
     for group in groups(config.queries):
         for q in group.queries:
             streams = {s: where(tables[s], s, q.where, compat_eq) for s in q.between}
             if config.approximate:
-                stream = next((a.stream for a in q.aggregates if a.stream), q.between[0])
-                value = next((a.fields[0] for a in q.aggregates if a.fields), q.on[0])
-                if q.distance != "euclidean":
-                    raise ValueError("approximate mode needs Euclidean distance")
-                out[q.id] = Results(q, None, None, [approx.estimate(streams, q.on, q.radius, stream, value, query_id=q.id)])
+                out[q.id] = Results(q, None, None, [_approximate(q, streams, by_sketch)])
                 continue
             wide = clique_join(streams, q.on, q.radius, q.distance, id_col, group.r_min, group.r_max if q.distance == "euclidean" else None)
             shared = [c for c in tables[q.between[0]].columns if all(c in tables[s].columns for s in q.between) and c != "streamId"]

@@ -19,8 +19,9 @@ from proxjoin.functions import geometry
 from proxjoin.functions.predicates import members, where
 from proxjoin.operators import aggregate, approx, cluster, grid, join, sketch, window
 from proxjoin.plans.config import Clause, EngineConfig, parse
-from proxjoin.plans.engine import run
-from proxjoin.sources import files, fixtures, log, sinks
+from proxjoin.plans.engine import run, run_shared
+from proxjoin.plans.stream import run_stream
+from proxjoin.sources import files, fixtures, log, scratch, sinks
 from proxjoin.streaming.counted import count_window
 from proxjoin.streaming.joins import event_time_join
 
@@ -220,6 +221,26 @@ def area_fraction(spark, folder):
     return e.select("tupleId", "cell_0", "cell_1", geometry.area_fraction(p, lo, L2, R).alias("fraction"))
 
 
+@_query(f'WITH {REPLICAS} SELECT id AS "tupleId", cell_0, cell_1, round(cell_0*{L2!r}::DOUBLE, 9) AS least_0, round((cell_0+1)*{L2!r}::DOUBLE, 9) AS most_0, round(cell_1*{L2!r}::DOUBLE, 9) AS least_1, round((cell_1+1)*{L2!r}::DOUBLE, 9) AS most_1 FROM r')
+def corner_bounds(spark, folder):
+    e, _, lo, hi = _copies(spark, folder)
+    bounds = [geometry.nth_bounds(geometry.corners(lo, hi), i) for i in (0, 1)]
+    return e.select("tupleId", "cell_0", "cell_1", *[F.round(b, 9).alias(f"{n}_{i}") for i, pair in enumerate(bounds) for n, b in zip(("least", "most"), pair, strict=True)])
+
+
+_RADII = {"near": 1.5, "far": R}
+_WEIGHTS = " UNION ALL ".join(
+    f"SELECT id AS \"tupleId\", cell_0, cell_1, '{n}' AS \"queryId\", CASE WHEN NOT rep OR {FAR2} < {r * r} THEN 1.0::DOUBLE WHEN {BOX2} < {r * r} THEN ({_AREA.replace(f'<= {R * R}', f'<= {r * r}')})::DOUBLE END AS weight FROM r" for n, r in _RADII.items()
+)
+
+
+@_query(f"WITH {REPLICAS}, w AS ({_WEIGHTS}) SELECT * FROM w WHERE weight IS NOT NULL")
+def query_weights(spark, folder):
+    e, p, lo, hi = _copies(spark, folder)
+    weights = geometry.query_weights(p, lo, hi, L2, F.col("isReplica"), _RADII, "area")
+    return e.select("tupleId", "cell_0", "cell_1", F.explode(weights).alias("queryId", "weight"))
+
+
 # Joins
 
 
@@ -280,6 +301,23 @@ def idistance_bounds(spark, folder):
     return events(spark, folder).select("tupleId", low.alias("low"), high.alias("high"))
 
 
+@_query(f"""WITH {E}, u AS (SELECT id, x/sqrt(x*x+y*y) AS ux, y/sqrt(x*x+y*y) AS uy FROM e WHERE x <> 0 OR y <> 0), d AS (SELECT id, sqrt((ux-0.6)*(ux-0.6)+(uy-0.8)*(uy-0.8)) AS d FROM u)
+SELECT id AS "tupleId", round(CASE WHEN d-{D.cosine_as_euclidean(0.02)!r} <= 0.5 THEN 3*1000000.0+greatest(d-{D.cosine_as_euclidean(0.02)!r},0) END::DOUBLE, 6) AS low, round(CASE WHEN d-{D.cosine_as_euclidean(0.02)!r} <= 0.5 THEN 3*1000000.0+least(0.5,d+{D.cosine_as_euclidean(0.02)!r}) END::DOUBLE, 6) AS high FROM d""")
+def idistance_bounds_cosine(spark, folder):
+    unit = D.normalise([F.col("x"), F.col("y")])
+    low, high = join.cosine_search_bounds(0.02, F.lit(0.5), F.lit(3), D.euclidean(unit, [F.lit(0.6), F.lit(0.8)]))
+    return events(spark, folder).where("x <> 0 OR y <> 0").select("tupleId", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_KEYED = f"k AS (SELECT id, i*1000000.0::DOUBLE + d AS key FROM (SELECT id, i, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d FROM e CROSS JOIN (VALUES {', '.join(f'({i}, {x}, {y})' for i, (x, y) in enumerate(CENTROIDS))}) c(i, cx, cy)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, i) = 1)"
+
+
+@_query(f'WITH {E}, {_KEYED} SELECT id AS "tupleId", round(key, 6) AS key FROM k WHERE key >= 1000005.0 AND key < 1000012.5')
+def index_range_scan(spark, folder):
+    indexed = join.index_keys(events(spark, folder), XY, CENTROIDS)
+    return join.index_range(indexed, 1_000_005.0, 1_000_012.5, "low").select("tupleId", F.round("key", 6).alias("key"))
+
+
 @_query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, 1-greatest(0.0, list_dot_product(a.e,b.e)/(sqrt(list_dot_product(a.e,a.e))*sqrt(list_dot_product(b.e,b.e)))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT id_a, id_b, round(d, 6) AS distance FROM p WHERE d <= 0.6""")
@@ -365,6 +403,17 @@ def multi_query_group(spark, folder):
     return results["near"].aggregates[0].unionByName(results["far"].aggregates[0]).select("queryId", "count", F.round("sum", 2).alias("sum"))
 
 
+@_query(f"WITH {E} {_GROUP}")
+def multi_query_shared(spark, folder):
+    return run_shared(_two_radii(), streams(spark, folder)).select("queryId", "count", F.round("sum", 2).alias("sum"))
+
+
+@_query(f"WITH {E} SELECT b.event_type, count(*) AS count, round(sum(a.y), 2) AS sum, round(sum(a.x), 2) AS sum_x, round(sum(a.x)/count(*), 6) AS avg_x {_clique()} GROUP BY b.event_type")
+def agg_group_fields(spark, folder):
+    out = aggregate.grouped(join.clique_join(streams(spark, folder), XY, R), "s0", [("s1", "event_type")], ["y", "x"])
+    return out.select("event_type", "count", F.round("sum", 2).alias("sum"), F.round("sum_x", 2).alias("sum_x"), F.round("avg_x", 6).alias("avg_x"))
+
+
 # Count windows
 
 W = 300
@@ -395,6 +444,14 @@ def window_count_agg(spark, folder):
     return aggregate.totals(left, "s0", ["y"]).select("count", F.round("sum", 2).alias("sum"))
 
 
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w), j AS (SELECT {JOIN_ID}, greatest(a.q,b.q,c.q) AS born, least(a.q,b.q,c.q) + {W} AS gone {CLIQUE_W}),
+r AS (SELECT "joinId", born AS "at", false AS "isExpired" FROM j UNION ALL SELECT "joinId", gone, true FROM j) SELECT "joinId", "at", "isExpired" FROM r WHERE "at" <= (SELECT m FROM last)""")
+def window_retractions(spark, folder):
+    last = events(spark, folder).count()
+    wide = window.window_join(_numbered(spark, folder), XY, 5.0, W)
+    return window.changes(wide, S, last, W).select("joinId", F.col("at").cast("long").alias("at"), "isExpired")
+
+
 # Approximation
 
 
@@ -414,6 +471,31 @@ def approx_weighted(spark, folder):
     return approx.estimate(streams(spark, folder), XY, R, "s0", "y").select(F.round("joinCount", 2).alias("joinCount"), F.round("joinSum", 2).alias("joinSum"), F.round("joinAvg", 4).alias("joinAvg"))
 
 
+_CELLS = ", ".join(f"coalesce(max(w) FILTER (k={k} AND NOT g), 0) AS n{k}, coalesce(max(w) FILTER (k={k} AND g), 0) AS r{k}" for k in range(3))
+
+
+def _count_min(value: str, source: str) -> str:
+    bucket = "('0x' || substr(md5(r || '#' || key), 1, 8))::BIGINT % 16384"
+    return f"SELECT r, {bucket} AS bucket, sum({value}) AS v FROM {source}, range(3) g(r) GROUP BY ALL"
+
+
+def _point(sketch_name: str) -> str:
+    bucket = "('0x' || substr(md5(g.r || '#' || key), 1, 8))::BIGINT % 16384"
+    return f"SELECT key, min(coalesce(v, 0)) AS est FROM (SELECT DISTINCT key FROM asked) CROSS JOIN range(3) g(r) LEFT JOIN {sketch_name} c ON c.r = g.r AND c.bucket = {bucket} GROUP BY key"
+
+
+@_query(f"""WITH {REPLICAS}, t AS (SELECT *, {_W} AS wt, cell_0 || ':' || cell_1 || '_' || s[2:] AS cell_key FROM r),
+entry AS (SELECT cell_key AS key, s, wt, y FROM t UNION ALL SELECT cell_key || '_replica', s, wt, y FROM t WHERE rep), first_entry AS (SELECT * FROM entry WHERE s = 's0'),
+cw AS ({_count_min('wt', 'entry')}), cv AS ({_count_min('wt*y', 'first_entry')}),
+asked AS (SELECT cell_0, cell_1, k, g, cell_0 || ':' || cell_1 || '_' || k || CASE WHEN g THEN '_replica' ELSE '' END AS key FROM (SELECT DISTINCT cell_0, cell_1 FROM t) CROSS JOIN range(3) a(k) CROSS JOIN (VALUES (false), (true)) b(g)),
+pw AS ({_point('cw')}), pv AS ({_point('cv')}),
+c AS (SELECT cell_0, cell_1, {_CELLS}, max(v) FILTER (k=0 AND NOT g) AS v, max(v) FILTER (k=0 AND g) AS u FROM (SELECT asked.*, pw.est AS w, pv.est AS v FROM asked JOIN pw USING (key) JOIN pv USING (key)) GROUP BY ALL)
+SELECT round(sum(n0*n1*n2-r0*r1*r2), 1) AS "joinCount", round(sum(v*n1*n2-u*r1*r2)/sum(n0*n1*n2-r0*r1*r2), 4) AS "joinAvg" FROM c""")
+def approx_sketch(spark, folder):
+    out = approx.estimate(streams(spark, folder), XY, R, "s0", "y", by_sketch=True)
+    return out.select(F.round("joinCount", 1).alias("joinCount"), F.round("joinAvg", 4).alias("joinAvg"))
+
+
 # Sketches
 
 KEY = "event_type || '_' || (event_id % 3)"
@@ -475,6 +557,18 @@ def panakos_query(spark, folder):
     return sketch.panakos_query(files.parquet(spark, folder, "events"), key).withColumn("estimate", F.round("estimate", 4))
 
 
+@_query(f"""WITH k AS (SELECT {PANAKOS_KEY} AS key, event_id % 5 = 0 AS gone FROM events), c AS (SELECT key, count(*) - count(*) FILTER (gone) AS adds, {BUCKET.format("'front'", 'key', 10000)} AS slot FROM k GROUP BY key HAVING count(*) > count(*) FILTER (gone)),
+f AS (SELECT slot, sum(adds) AS total FROM c GROUP BY slot), b AS (SELECT key, adds*greatest(total-3,0)/total AS over FROM c JOIN f USING (slot)),
+t AS (SELECT r, {BUCKET.format('r', 'key', 10)} AS bucket, sum(over) AS value FROM b, range(3) g(r) WHERE over > 0 GROUP BY ALL),
+q AS (SELECT key, min(coalesce(t.value,0)) AS guess FROM c CROSS JOIN range(3) g(r) LEFT JOIN t ON t.r = g.r AND t.bucket = {BUCKET.format('g.r', 'key', 10)} GROUP BY key)
+SELECT key, round(CASE WHEN total <= 3 THEN total ELSE 3+guess END::DOUBLE, 4) AS estimate FROM c JOIN f USING (slot) JOIN q USING (key)""")
+def panakos_remove(spark, folder):
+    key = F.concat(F.lit("u"), F.pmod("user_id", F.lit(50)).cast("string"), F.lit("_"), F.pmod("event_id", F.lit(997)).cast("string"))
+    e = files.parquet(spark, folder, "events").select(key.alias("key"), (F.pmod("event_id", F.lit(5)) == 0).alias("later"))
+    changes = e.select("key", F.lit(False).alias("gone")).unionByName(e.where("later").select("key", F.lit(True).alias("gone")))
+    return sketch.panakos_removed(changes, F.col("key"), F.col("gone")).withColumn("estimate", F.round("estimate", 4))
+
+
 @_query("SELECT n AS adds, CASE WHEN n < 3 THEN n ELSE 2+(n-3)*1 END::DOUBLE AS units, CASE WHEN n < 3 THEN n ELSE 2+(n-3)*100 END::DOUBLE AS hundreds, CASE WHEN n < 3 THEN n ELSE 2 END::DOUBLE AS halves FROM range(1, 11) r(n)")
 def panakos_as_published(spark, folder):
     n = spark.range(1, 11).select(F.col("id").alias("adds"))
@@ -501,6 +595,34 @@ def centroid_recompute(spark, folder):
     return cluster.recompute(cluster.assign(events(spark, folder), XY, CENTROIDS), XY).select("clusterId", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+def _rounds(n: int) -> str:
+    out = [f"c0(i, cx, cy) AS (VALUES {', '.join(f'({i}, {x}, {y})' for i, (x, y) in enumerate(CENTROIDS))})"]
+    for t in range(n):
+        out.append(f"n{t} AS (SELECT * FROM (SELECT id, x, y, i, row_number() OVER (PARTITION BY id ORDER BY sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)), i) AS k FROM e CROSS JOIN c{t}) WHERE k = 1)")
+        out.append(f"c{t + 1} AS (SELECT c{t}.i, coalesce(avg(x), max(cx)) AS cx, coalesce(avg(y), max(cy)) AS cy FROM c{t} LEFT JOIN n{t} USING (i) GROUP BY c{t}.i)")
+    return ", ".join(out)
+
+
+@_query(f'WITH {E}, {_rounds(3)} SELECT i AS "clusterId", round(cx, 6) AS x, round(cy, 6) AS y FROM c3')
+def kmeans_fixed_start(spark, folder):
+    found = cluster.fixed_start_kmeans(events(spark, folder), XY, CENTROIDS, 3)
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(found)], "clusterId int, x double, y double")
+    return rows.select("clusterId", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@_query()
+def kmeans_windowed(spark, folder):
+    e = events(spark, folder).withColumn("day", F.date_trunc("day", "ts"))
+    out = cluster.windowed(e, XY, "day", 4, 3)
+    return out.groupBy("day", "clusterId", "centroid_x", "centroid_y").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n, true AS inside FROM events")
+def random_coordinates(spark, folder):
+    e = files.parquet(spark, folder, "events").select(fixtures.random_coordinate(-5.0, 7.0, 3).alias("c"))
+    return e.agg(F.count("*").alias("n"), ((F.min("c") >= -5) & (F.max("c") < 7)).alias("inside"))
+
+
 @_query()
 def kmeans_mllib(spark, folder):
     e = events(spark, folder)
@@ -539,8 +661,7 @@ def json_entries(spark, folder):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _raw_stream(spark, folder):
@@ -575,7 +696,7 @@ def stream_count_window(spark, folder):
 @_query("SELECT 'e' || n AS id, n::DOUBLE AS lat FROM range(1, 46) r(n)")
 def stream_source_log(spark, folder):
     # The log is a local file here: it stands in for a store that readers reach by network.
-    local = tempfile.mkdtemp(prefix="proxjoin-log-")
+    local = tempfile.mkdtemp(prefix="proxjoin-log-")  # read by the driver only, as a simple reader is
     with open(os.path.join(local, "log.tsv"), "w") as f:
         f.writelines(f"e{n}\t{json.dumps({'lat': n, 'streamId': 's'})}\n" for n in range(1, 46))
     log.register(spark)
@@ -588,6 +709,33 @@ def stream_source_log(spark, folder):
     return rows.select("id", F.get_json_object("data", "$.lat").cast("double").alias("lat"))
 
 
+@_query(f"""WITH e AS (SELECT event_id AS id, 's' || (event_id % 3) AS s, user_id::DOUBLE AS x, value AS y, ts FROM events)
+SELECT a.id AS id_s0, b.id AS id_s1, array_to_string(list_sort([a.id::VARCHAR, b.id::VARCHAR]), '-') AS "joinId" FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {COS.format('a', 'b')} <= 0.000001
+  AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR""")
+def stream_cosine_join(spark, folder):
+    e, at = _event_stream(spark, folder), _scratch(spark)
+    parts = {f"s{k}": e.where(F.col("s") == k).drop("s") for k in range(2)}
+    wide = _ids(event_time_join(parts, XY, 0.000001, "6 hours", "7 days", "cosine"), ["s0", "s1"])
+    sinks.stream_rows(wide, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(wide.schema).parquet(f"{at}/rows")
+
+
+def _streamed_config() -> EngineConfig:
+    fields = [{"name": "tupleId", "type": "string"}, {"name": "x", "type": "double"}, {"name": "y", "type": "double"}, {"name": "event_type", "type": "string"}]
+    stages = [{"type": "join", "between": S, "on": ["x", "y"], "radius": 5.0}, {"type": "where", "clauses": [{"stream": "s0", "field": "event_type", "operator": "eq", "value": "click"}]}, {"type": "avg", "aggregateStream": "s0", "aggregatableFields": ["y"]}]
+    return parse({"streams": [{"id": s, "fields": fields} for s in S], "queries": [{"id": "clicks", "stages": stages}]})
+
+
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT 'clicks' AS "queryId", count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W} AND a.event_type='click'""")
+def stream_config_run(spark, folder):
+    at = _scratch(spark)
+    e = _raw_stream(spark, folder).select(F.col("event_id").alias("tupleId"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(3)).cast("string")).alias("streamId"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"), "event_type")
+    for started in run_stream(_streamed_config(), e, f"{at}/rows", f"{at}/checkpoint", window=W).values():
+        started.awaitTermination()
+    rows = spark.read.parquet(f"{at}/rows/clicks")
+    return rows.groupBy("queryId").agg(F.max_by("count", "seq").alias("count"), F.round(F.max_by("sum", "seq"), 2).alias("sum"))
+
+
 @_query(f"WITH {E} SELECT event_type, floor(y/50)::BIGINT AS band, count(*) AS n FROM e GROUP BY ALL")
 def stream_aggregate(spark, folder):
     e, at = _raw_stream(spark, folder), _scratch(spark)

@@ -18,11 +18,10 @@ def stream_rows(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet"
 
 
 def stream_aggregates(df: DataFrame, path: str, checkpoint: str, mode: str = "update", kind: str = "parquet", **trigger) -> StreamingQuery:
-    """Every batch's changed values, appended with the batch's number."""
-    from pyspark.sql import functions as F
+    """Every batch's changed values, in a folder of the batch's number: a batch that is run again replaces its own."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").format(kind).save(path)
+        batch.write.mode("overwrite").format(kind).save(f"{path}/batch={number}")
 
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"availableNow": True})).start()
 
