@@ -40,7 +40,7 @@ ANCHOR = 32
 #: Windows of a run, where an anchor's spans are cut.
 RUN = 16
 #: Bytes of a shard's pieces: some times what the queues of its sort hold in memory.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Rows of an anchor from which they are dealt out by a salt, and the number of salts.
 COMMON, SALTS = 10_000, 64
 _BASE = 0x9E3779B97F4A7C15

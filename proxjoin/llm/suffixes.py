@@ -27,7 +27,7 @@ import numpy as np
 #: A suffix's place, and what it shares with the tuple before it.
 TUPLE = np.dtype([("place", "<i4"), ("shared", "<i2")])
 #: Bytes of tuples that a pass's queues hold in memory, and of an array that lies in memory.
-BUDGET, MEMORY = 4 << 20, 256 << 20
+BUDGET, MEMORY = 2 << 20, 256 << 20
 #: Bytes that sorting a name in memory takes.
 NAME_BYTES = 64
 NOTHING = np.zeros(0, TUPLE)
@@ -108,8 +108,8 @@ def _run(t: np.ndarray, place: int, cap: int) -> int:
 class _Pass:
     """One pass of the induction: scanned suffixes feed the queues of the characters before them."""
 
-    def __init__(self, t: np.ndarray, s_type: np.ndarray, small: bool, width: int, budget: int, cap: int):
-        self.t, self.s_type, self.small, self.cap = t, s_type, small, cap
+    def __init__(self, tagged: np.ndarray, small: bool, width: int, budget: int, cap: int):
+        self.tagged, self.small, self.cap = tagged, int(small), cap
         self.queues = SpilledQueues(budget)
         # Least shared prefix scanned since a character's last tuple; below 0 where there is none yet.
         self.since = np.full(width, -1, np.int16) if cap else None
@@ -117,10 +117,10 @@ class _Pass:
     def feed(self, now: np.ndarray) -> None:
         place, shared = now["place"], now["shared"]
         before = place - 1
-        chars = self.t[before]
-        at = np.flatnonzero((place > 0) & (chars != 0) & (self.s_type[before] == self.small))
+        tags = self.tagged[before]
+        at = np.flatnonzero((tags & 1 == self.small) & (tags > 1) & (place > 0))
         if len(at):
-            chars = chars[at]
+            chars = tags[at] >> 1
             order = np.argsort(chars, kind="stable")
             at, chars = at[order], chars[order]
             cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
@@ -148,12 +148,16 @@ def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, budget: int, c
     nothing is carried if that is 0), from the seeds in ascending order: stars and zeros.
     """
     width = int(t.max()) + 1
+    # A character and its suffix's type in one number, so that a suffix is looked up once.
+    tagged = _array(len(t), t.dtype, MEMORY)
+    np.left_shift(t, 1, out=tagged)
+    tagged |= s_type
     waiting = SpilledQueues(budget)
     chars = t[seeds["place"]]
     order = np.argsort(chars, kind="stable")
     chars = chars[order]
     waiting.put(seeds[order], chars, np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]]))
-    large, lists = _Pass(t, s_type, False, width, budget, cap), SpilledQueues(budget)
+    large, lists = _Pass(tagged, False, width, budget, cap), SpilledQueues(budget)
     zeros = NOTHING
     for c in range(width):
         last = None
@@ -169,7 +173,7 @@ def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, budget: int, c
             large.feed(now)
             if c == 0:
                 zeros = now
-    small = _Pass(t, s_type, True, width, budget, cap)
+    small = _Pass(tagged, True, width, budget, cap)
     for c in range(width - 1, 0, -1):
         last = None
         while len(now := small.queues.take(c)):
@@ -206,15 +210,18 @@ def _equal_substrings(t: np.ndarray, first: np.ndarray, length: np.ndarray) -> n
 def _shared_prefixes(t: np.ndarray, places: np.ndarray, cap: int) -> np.ndarray:
     """Characters that each suffix shares with the one before it, up to ``cap``; 0 for the first."""
     out = np.zeros(len(places), np.int16)
-    a, b = places[:-1], places[1:]
-    some = np.arange(len(a))
-    for k in range(cap):
-        x = t[a[some] + k]
-        some = some[(x == t[b[some] + k]) & (x != 0)]
+    step = 16
+    steps = np.lib.stride_tricks.sliding_window_view(np.r_[t, np.zeros(step + cap, t.dtype)], step)  # a row of characters is looked up at once
+    some = np.arange(1, len(places))
+    for k in range(0, cap, step):
+        x, y = steps[places[some - 1] + k], steps[places[some] + k]
+        ends = (x != y) | (x == 0)
+        whole = ~ends.any(axis=1)
+        out[some] = k + np.where(whole, step, ends.argmax(axis=1))
+        some = some[whole]
         if not len(some):
             break
-        out[some + 1] = k + 1
-    return out
+    return np.minimum(out, cap)
 
 
 def _sorted_stars(t: np.ndarray, s_type: np.ndarray, budget: int, memory: int) -> np.ndarray:
@@ -261,26 +268,32 @@ def descending(t: np.ndarray, cap: int, budget: int = BUDGET, memory: int = MEMO
 
 
 def _sort_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ``names`` in memory: names of spans twice as long each time. Zeros all differ."""
+    """The order of the suffixes of ``names`` in memory: names of spans twice as long each time. Zeros all differ.
+
+    A rank is the place of the first of all that share it; only those that share one are sorted again.
+    """
     n, span = len(names), 1
-    rank = names.astype(np.int64)
-    zero = rank == 0
-    rank += zero.sum()
-    rank[zero] = np.arange(int(zero.sum()))
-    while True:
-        order = np.argsort(rank, kind="stable")
-        ranked = rank[order]
-        if (ranked[1:] != ranked[:-1]).all():
-            return order
-        shifted = np.r_[rank[span:], np.full(min(span, n), -1, np.int64)][:n]
-        shared = np.r_[False, ranked[1:] == ranked[:-1]] | np.r_[ranked[1:] == ranked[:-1], False]
-        some = order[shared]  # only those without a rank of their own are sorted again
-        order[shared] = some[np.lexsort((shifted[some], rank[some]))]
-        a, b = rank[order], shifted[order]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+    order = np.argsort(names, kind="stable")
+    first = np.flatnonzero(np.r_[True, names[order[1:]] != names[order[:-1]]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
+    zero = np.flatnonzero(names == 0)
+    rank[zero] = np.arange(len(zero))
+    ranked = rank[order]
+    open_ = np.flatnonzero(np.r_[False, ranked[1:] == ranked[:-1]] | np.r_[ranked[1:] == ranked[:-1], False])
+    while len(open_):
+        some = order[open_]
+        after = some + span
+        key = rank[some] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by_key = np.argsort(key)
+        some, key = some[by_key], key[by_key]
+        order[open_] = some
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        rank[some] = np.repeat(open_[first], size)
+        open_ = open_[np.repeat(size > 1, size)]
         span *= 2
+    return order
 
 
 def repeated_starts(strings: list[bytes], length: int, budget: int = BUDGET, memory: int = MEMORY) -> list[np.ndarray]:
