@@ -169,13 +169,16 @@ def fit(patterns: Iterable[tuple[Sequence[int], int]], rounds: int = ROUNDS) ->
 
 
 def posterior(share: np.ndarray, rates: np.ndarray) -> Column:
-    """The probability of the good class from the columns of votes."""
+    """The probability of the good class from the columns of votes, each of which is computed once."""
 
-    def chance(k: int) -> Column:
-        each = [F.when(F.col(f"_vote_{n}") > 0, F.lit(float(r))).when(F.col(f"_vote_{n}") < 0, F.lit(float(1 - r))).otherwise(F.lit(1.0)) for n, r in zip(FAMILIES, rates[k], strict=True)]
-        return F.lit(float(share[k])) * reduce(mul, each)
+    def of(vote: Column) -> Column:
+        def chance(k: int) -> Column:
+            each = [F.when(vote[n] > 0, F.lit(float(r))).when(vote[n] < 0, F.lit(float(1 - r))).otherwise(F.lit(1.0)) for n, r in zip(FAMILIES, rates[k], strict=True)]
+            return F.lit(float(share[k])) * reduce(mul, each)
 
-    return chance(0) / reduce(add, [chance(k) for k in range(len(share))])
+        return chance(0) / reduce(add, [chance(k) for k in range(len(share))])
+
+    return let(F.struct(*[F.col(f"_vote_{n}").alias(n) for n in FAMILIES]), of)
 
 
 def judge(featured: DataFrame) -> DataFrame:
