@@ -20,7 +20,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proxjoin.llm.common import materialize, parcel, small_batches, unparcel
@@ -80,6 +80,36 @@ def near(differing: Iterator[np.ndarray], radius: int = RADIUS) -> np.ndarray:
     return np.bitwise_not(beyond)
 
 
+def _at_most(counters: list[np.ndarray], bound: int) -> np.ndarray:
+    """Lanes whose number, given by its bits in the counters, is ``bound`` at most."""
+    less, equal = np.zeros_like(counters[0]), np.full_like(counters[0], np.iinfo(counters[0].dtype).max)
+    for i in range(max(len(counters), bound.bit_length()) - 1, -1, -1):
+        bit = counters[i] if i < len(counters) else np.zeros_like(less)
+        if bound >> i & 1:
+            less |= equal & ~bit
+            equal &= bit
+        else:
+            equal &= ~bit
+    return less | equal
+
+
+def within(differing: Iterator[np.ndarray], radius: int, block: int = 16) -> np.ndarray:
+    """Which lanes have at most ``radius`` bits set in the planes, for any radius: bit-sliced counters, all lanes at once.
+
+    Left after any ``block`` of planes as soon as all lanes exceed the radius.
+    """
+    counters: list[np.ndarray] = []
+    for k, plane in enumerate(differing, 1):
+        carry = plane
+        for i, counter in enumerate(counters):
+            counters[i], carry = counter ^ carry, counter & carry
+        if not counters or carry.any():
+            counters.append(carry.copy())
+        if k % block == 0 and not _at_most(counters, radius).any():
+            break
+    return _at_most(counters, radius)
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
     """Row b has bit b of every value, eight values in a byte."""
     return np.packbits(np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, axis=1, bitorder="little")
@@ -200,10 +230,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """One row of each component: that with the least id (null last), then the least hash of its text."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    heads = near(docs, key, text).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
-    rows = parcel(docs, text).withColumn("_key", F.col("_row").getField(key).cast("long")).withColumn("_hash", F.xxhash64("_text"))
-    kept = rows.join(heads, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
-    once = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row"))  # rows of one id and text are copies
-    return unparcel(kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1"), docs, text)
+    """One row of each component: that with the least id (null last), then the least hash of its text.
+
+    Rows are stored with a number each; only numbers, ids and hashes are grouped, and texts are looked up once.
+    """
+    rows = materialize(parcel(docs, text).select("_row", "_text", F.monotonically_increasing_id().alias("_n")))
+    found = near(rows.select("_n", "_text"), "_n", "_text").select(F.col("doc_id").alias("_n"), "th", "root")
+    keys = rows.select("_n", F.col("_row").getField(key).cast("long").alias("_key"))
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "th", "_n")).alias("first")
+    heads = found.join(keys, "_n").groupBy("root").agg(first).select(F.col("first._n").alias("_n"))
+    return unparcel(rows.join(heads, "_n", "left_semi"), docs, text)

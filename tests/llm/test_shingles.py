@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from proxjoin.llm import shingles
+from proxjoin.llm import shingles, simhash
 
 
 def rows():
@@ -62,3 +62,28 @@ def test_stage_keeps_one_of_each_group(spark):
     want = grouped(data)
     assert sorted(str(r.doc_id) for r in kept) == sorted(min((x for x in g if x != "None"), key=int) for g in want)
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_bit_sliced_counters_count():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    bits = rnd.random((128, 1000)) < rnd.random(1000)
+    planes = np.packbits(bits, axis=1, bitorder="little")
+    for radius in (0, 1, 31, 52, 63, 64, 127, 128, 500):
+        got = np.unpackbits(simhash.within(iter(planes), radius), count=1000, bitorder="little").astype(bool)
+        assert (got == (bits.sum(axis=0) <= radius)).all()
+    far = [np.full(4, 255, np.uint8)] * 128
+    seen = iter(far)
+    assert not simhash.within(seen, 20).any() and len(list(seen)) == 128 - 32  # left after the second block
+
+
+def test_fingerprints_of_near_sets_are_near():
+    rnd = random.Random(1)
+    for size in (5, 9, 10, 40, 400):
+        for _ in range(200):
+            a = rnd.sample(range(1 << 62), size)
+            b = a[: len(a) - max(1, size // 9)] + (rnd.sample(range(1 << 62), size // 10) if size > 9 else [])
+            if 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)):
+                x, y = (int.from_bytes(shingles.simhash_128(shingles.np.array(sorted(s), "<u8")), "little") for s in (a, b))
+                assert (x ^ y).bit_count() <= shingles.RADIUS
