@@ -1,9 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
-A block of queries of bounded size visits every partition of the vectors. Both sides are int8 with a scale for each
-vector; the product of a query block and a tile of vectors, with a bound on what rounding may have changed, leaves few
-pairs that can still be among the nearest. Those are computed again in double precision from the original vectors and
-go to the queries' heaps; the partitions' heaps are merged at the end. No pair is lost, so recall is 1.
+A block of queries of bounded size visits every partition of the vectors, where they lie: vectors are not shuffled, as
+each of them meets all queries, and a block is as large as its heaps allow, since each block is one scan. Both sides are
+int8 with a scale for each vector; the product of a tile of queries and a tile of vectors, with a bound on what rounding
+may have changed, leaves few pairs that can still be among the nearest. Those are computed again in double precision
+from the original vectors and go to the queries' heaps; the partitions' heaps are merged at the end. No pair is lost, so
+recall is 1.
 
 Defined results: vectors that are null, empty, zero or hold a null or a number that isn't finite take no part.
 Vectors meet only those of their own length. A query meets no row of its own id. Rows with repeated ids are candidates
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from proxjoin.llm.common import materialize, union_all
 
 #: Bytes of a query block's original vectors; it bounds what is sent to the executors at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Queries and vectors of a tile.
 TILE = 2048
 
 
@@ -61,9 +64,9 @@ class Search:
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
         self.least = np.full(len(ids), -np.inf)
 
-    def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def visit(self, ids: np.ndarray, vectors: np.ndarray, quantised: tuple | None = None) -> None:
         y = vectors.astype(np.float64)
-        codes, scale, lost, norm = quantise(y)
+        codes, scale, lost, norm = quantised or quantise(y)
         guess = (self.codes @ codes.astype(self.kind).T).astype(np.float64) * self.scale[:, None] * scale
         error = np.outer(self.norm + self.lost, lost) + np.outer(self.lost, norm)
         error = error * (1 + 1e-9) + 1e-12 * np.outer(self.norm, norm)
@@ -108,13 +111,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         sent = spark.sparkContext.broadcast((ids, x))
 
         def run(batches: Iterator[pa.RecordBatch], n=n, sent=sent) -> Iterator[pa.RecordBatch]:
-            search = Search(*sent.value, k)
+            searches = [Search(sent.value[0][a : a + TILE], sent.value[1][a : a + TILE], k) for a in range(0, len(sent.value[0]), TILE)]
             for batch in batches:
                 flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
                 vec_ids = batch.column("id").to_numpy(zero_copy_only=False)
                 for a in range(0, len(vec_ids), TILE):
-                    search.visit(vec_ids[a : a + TILE], flat[a : a + TILE])
-            yield search.rows()
+                    tile = flat[a : a + TILE].astype(np.float64)
+                    quantised = quantise(tile)
+                    for search in searches:
+                        search.visit(vec_ids[a : a + TILE], tile, quantised)
+            for search in searches:
+                yield search.rows()
 
         same = some.where(F.size(vector) == n).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
         parts.append(materialize(same.mapInArrow(run, "query_id long, vec_id long, score double")))
