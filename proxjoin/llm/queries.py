@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash
+from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, whitening
 from proxjoin.llm.common import materialize
 
 
@@ -63,9 +63,14 @@ def op10_importance(spark: SparkSession, folder: str) -> DataFrame:
     return importance.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance)
+    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance, op11_whitening)
 }
 
 NEIGHBOURS_SQL = """

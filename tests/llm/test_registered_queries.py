@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_packing": (None, None, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]),
     "op9_passages": ("documents", "doc_id", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
     "op10_importance": ("documents", "doc_id", ["doc_id", "kept"]),
+    "op11_whitening": (None, None, ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]),
 }
 
 
