@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxjoin.llm import html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, whitening
+from proxjoin.llm import annuli, html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, whitening
 from proxjoin.llm.common import materialize
 
 
@@ -68,9 +68,13 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return annuli.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance, op11_whitening)
+    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance, op11_whitening, op13_exact_search)
 }
 
 NEIGHBOURS_SQL = """
@@ -80,4 +84,11 @@ near AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM near)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
-ORACLE_SQL: dict[str, str] = {"op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+EXACT_SQL = """
+WITH usable AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op13_exact_search": EXACT_SQL, "op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_passages": ("documents", "doc_id", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
     "op10_importance": ("documents", "doc_id", ["doc_id", "kept"]),
     "op11_whitening": (None, None, ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]),
+    "op13_exact_search": (None, None, ["query_id", "rank", "vec_id", "score"]),
 }
 
 
