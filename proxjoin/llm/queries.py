@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxjoin.llm import annuli, html, importance, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, whitening
+from proxjoin.llm import annuli, html, importance, lexical, licenses, mixing, neighbours, packing, passages, quality, sharding, simhash, whitening
 from proxjoin.llm.common import materialize
 
 
@@ -68,13 +68,17 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return annuli.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance, op11_whitening, op13_exact_search)
+    for f in (op1_html, op2_neighbours, op3_sharding, op4_simhash, op5_mixing, op6_licenses, op7_quality_rules, op8_packing, op9_passages, op10_importance, op11_whitening, op12_lexical, op13_exact_search)
 }
 
 NEIGHBOURS_SQL = """
@@ -91,4 +95,18 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLE_SQL: dict[str, str] = {"op13_exact_search": EXACT_SQL, "op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+full_doc AS (SELECT d, doc_id, terms, len(terms) AS n FROM doc WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM full_doc),
+posting AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM full_doc) GROUP BY ALL),
+item AS (SELECT row_number() OVER () AS i, item_id, terms FROM (SELECT DISTINCT item_id, text, {_TERMS} AS terms FROM benchmark WHERE text IS NOT NULL)),
+wanted AS (SELECT DISTINCT i, item_id, unnest(terms) AS term FROM item),
+weight AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM posting CROSS JOIN whole WHERE term IN (SELECT term FROM wanted) GROUP BY term),
+impact AS (SELECT d, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // tokens)) AS v FROM posting JOIN full_doc USING (d) CROSS JOIN whole WHERE term IN (SELECT term FROM wanted)),
+scored AS (SELECT i, any_value(item_id) AS item_id, d, sum(w * v)::BIGINT AS score FROM wanted JOIN weight USING (term) JOIN impact USING (term) GROUP BY i, d HAVING sum(w * v) > 0),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored JOIN full_doc USING (d))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op12_lexical": LEXICAL_SQL, "op13_exact_search": EXACT_SQL, "op2_neighbours": NEIGHBOURS_SQL, "op6_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_passages": ("documents", "doc_id", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
     "op10_importance": ("documents", "doc_id", ["doc_id", "kept"]),
     "op11_whitening": (None, None, ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]),
+    "op12_lexical": (None, None, ["item_id", "rank", "doc_id", "score"]),
     "op13_exact_search": (None, None, ["query_id", "rank", "vec_id", "score"]),
 }
 
@@ -44,7 +45,7 @@ def test_query(spark, name):
         assert {r.doc_id for r in rows} == docs and all(0 <= r.offset and r.offset + r.length <= 1024 for r in rows)
     if sql := entry.oracle_sql().get(name):
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         result = con.execute(sql)
         names = [d[0] for d in result.description]
