@@ -32,8 +32,10 @@ def weight(point: Sequence[Column], cells: Sequence[Column], length: float, radi
     return F.when(~replica | geometry.enclosed(point, lows, highs, radius), F.lit(1.0)).otherwise(share)
 
 
-def weighted(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None) -> DataFrame:
-    """(cells, k, isReplica, w, v): every copy with its stream's number, weight, and value where it is aggregated."""
+def weighted(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """(cells, k, isReplica, w, v): every copy with its stream's number, weight, and value where it is aggregated, and the
+    row's ``carried`` columns.
+    """
     on = sorted(on)
     length = length or geometry.cell_length(radius, len(on))
     keys = [f"cell_{i}" for i in range(len(on))]
@@ -43,7 +45,7 @@ def weighted(streams: dict[str, DataFrame], on: Sequence[str], radius: float, st
         copies = replicate(df.dropna(subset=on), point, length, radius, prefix="cell_")
         w = weight(point, [F.col(c) for c in keys], length, radius, F.col("isReplica"), formula)
         v = F.coalesce(F.col(f"`{field}`").cast("double"), F.lit(0.0)) if name == stream else F.lit(0.0)
-        parts.append(copies.select(*keys, F.lit(k).alias("k"), "isReplica", w.alias("w"), v.alias("v")))
+        parts.append(copies.select(*keys, F.lit(k).alias("k"), "isReplica", w.alias("w"), v.alias("v"), *carried))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -112,10 +112,11 @@ def cell_only_join(streams: dict[str, DataFrame], on: Sequence[str], radius: flo
     return reduce(lambda a, b: a.join(b, keys), parts).drop(*keys).withColumn("joinId", join_id(names, id_col))
 
 
-def long_form(wide: DataFrame, streams: Sequence[str], fields: Sequence[str], query_id: str | None = None) -> DataFrame:
-    """A row for each member of a combination: its fields, streamId, joinId, isExpired."""
+def long_form(wide: DataFrame, streams: Sequence[str], fields: Sequence[str], query_id: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """A row for each member of a combination: its fields, streamId, joinId, isExpired (false, unless it is ``carried``)."""
     rows = F.array(*[F.struct(*[F.col(f"`{s}{SEP}{f}`").alias(f) for f in fields], F.lit(s).alias("streamId")) for s in streams])
-    out = wide.select("joinId", F.inline(rows)).withColumn("isExpired", F.lit(False))
+    out = wide.select("joinId", *carried, F.inline(rows))
+    out = out if "isExpired" in carried else out.withColumn("isExpired", F.lit(False))
     return out.withColumn("queryId", F.lit(query_id)) if query_id else out
 
 

@@ -37,8 +37,12 @@ def running(q: Query, events: DataFrame, order: str, window: int = WINDOW, key:
 
 
 def run_stream(config: EngineConfig, events: DataFrame, path: str, checkpoint: str, order: str = "tupleId", window: int = WINDOW, key: str | None = None, **trigger) -> dict[str, StreamingQuery]:
-    """A started stream for each query, which appends its running aggregates to ``path``/<query>.
+    """A started stream for each query, which appends its running aggregates to ``path``/<query>, a row for each row.
 
-    A stream that was stopped goes on from its checkpoint, with the window as it was.
+    A stream that was stopped goes on from its checkpoint, with the window as it was. All rows of a window are one task's;
+    ``windowed.start`` spreads them, and runs what this form has no place for.
     """
+    for q in config.queries:
+        if config.approximate or len(q.aggregates) > 1 or any(a.group_by or a.having or len(a.fields) > 1 for a in q.aggregates):
+            raise ValueError(f"query {q.id}: approximate mode, groups, several fields and several aggregates need windowed.start")
     return {q.id: sinks.stream_rows(running(q, events, order, window, key), f"{path}/{q.id}", f"{checkpoint}/{q.id}", **trigger) for q in config.queries}

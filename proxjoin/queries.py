@@ -20,9 +20,9 @@ from proxjoin.functions.predicates import members, where
 from proxjoin.operators import aggregate, approx, cluster, grid, join, sketch, window
 from proxjoin.plans.config import Clause, EngineConfig, parse
 from proxjoin.plans.engine import run, run_shared
-from proxjoin.plans.stream import run_stream
+from proxjoin.plans import windowed
 from proxjoin.sources import files, fixtures, log, scratch, sinks
-from proxjoin.streaming.counted import count_window
+from proxjoin.streaming import numbered
 from proxjoin.streaming.joins import event_time_join
 
 S = ["s0", "s1", "s2"]
@@ -683,14 +683,57 @@ def stream_clique_join(spark, folder):
     return spark.read.schema(wide.schema).parquet(f"{at}/rows")
 
 
+def _numbered_log(spark, folder) -> tuple:
+    """All events numbered in a log: its place, the rows' schema, and a folder for what follows."""
+    at, fields = _scratch(spark), [F.col("event_id").alias("tupleId"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(3)).cast("string")).alias("streamId"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"), "event_type"]
+    e = _raw_stream(spark, folder).select(*fields)
+    numbered.number_rows(e, "tupleId", f"{at}/log", f"{at}/numbering").awaitTermination()
+    return f"{at}/log", e.schema, at
+
+
+def _window_changes(spark, folder, radius: float, length: int) -> DataFrame:
+    log, schema, at = _numbered_log(spark, folder)
+    rows = numbered.numbered_stream(spark, log, schema)
+    changes = numbered.window_changes(rows, {s: rows.where(F.col("streamId") == s).drop("streamId", "event_type") for s in S}, XY, radius, length)
+    sinks.stream_rows(changes, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{at}/rows")
+
+
+def _window_left(spark, folder, radius: float, length: int) -> DataFrame:
+    return numbered.change_totals(_window_changes(spark, folder, radius, length), "s0", ["y"]).select("count", F.round("sum", 2).alias("sum"))
+
+
 @_query(f"WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W}")
 def stream_count_window(spark, folder):
-    e, at = _event_stream(spark, folder), _scratch(spark)
-    e = e.withColumn("streamId", F.concat(F.lit("s"), F.col("s").cast("string"))).withColumn("all", F.lit("all"))
-    out = count_window(e, "all", "tupleId", "streamId", XY, "y", S, 5.0, W, "s0")
-    sinks.stream_rows(out, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
-    rows = spark.read.schema(out.schema).parquet(f"{at}/rows")
-    return rows.agg(F.max_by("count", "seq").alias("count"), F.round(F.max_by("sum", "seq"), 2).alias("sum"))
+    return _window_left(spark, folder, 5.0, W)
+
+
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum
+{_clique(1.0, " AND greatest(a.q,b.q,c.q)-least(a.q,b.q,c.q) < 10000").replace('e a', 'w a', 1).replace('JOIN e ', 'JOIN w ')} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - 10000""")
+def stream_window_10000(spark, folder):
+    return _window_left(spark, folder, 1.0, 10_000)
+
+
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w), j AS (SELECT {JOIN_ID}, a.id AS i0, b.id AS i1, c.id AS i2, greatest(a.q,b.q,c.q) AS born, least(a.q,b.q,c.q) + {W} AS gone {CLIQUE_W}),
+r AS (SELECT *, born AS "at", false AS "isExpired" FROM j UNION ALL SELECT *, gone, true FROM j)
+SELECT "joinId", "at", "isExpired", unnest([i0, i1, i2]) AS "tupleId", unnest(['s0', 's1', 's2']) AS "streamId" FROM r WHERE "at" <= (SELECT m FROM last)""")
+def stream_retractions(spark, folder):
+    changes = _window_changes(spark, folder, 5.0, W)
+    return numbered.change_rows(changes, S, ["tupleId"])
+
+
+APPROX_W = 2000
+
+
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w), {REPLICAS.removeprefix(E + ', ').replace('FROM e CROSS', f'FROM (SELECT * FROM w WHERE q > (SELECT m FROM last) - {APPROX_W}) e CROSS')}, t AS (SELECT *, {_W} AS wt FROM r),
+c AS (SELECT cell_0, cell_1, {', '.join(f"coalesce(sum(wt) FILTER (s='s{k}'),0) AS n{k}, coalesce(sum(wt) FILTER (s='s{k}' AND rep),0) AS r{k}" for k in range(3))}, coalesce(sum(wt*y) FILTER (s='s0'),0) AS v, coalesce(sum(wt*y) FILTER (s='s0' AND rep),0) AS u FROM t GROUP BY ALL)
+SELECT round(sum(n0*n1*n2-r0*r1*r2), 2) AS "joinCount", round(sum(v*n1*n2-u*r1*r2), 2) AS "joinSum", round(sum(v*n1*n2-u*r1*r2)/sum(n0*n1*n2-r0*r1*r2), 4) AS "joinAvg" FROM c""")
+def stream_approx(spark, folder):
+    log, schema, at = _numbered_log(spark, folder)
+    config = _streamed_config(approximate=True, radius=R, where=())
+    for started in windowed.start(config, spark, log, schema, f"{at}/rows", f"{at}/checkpoint", APPROX_W).values():
+        started.awaitTermination()
+    return windowed.totals(config, spark, f"{at}/rows")["clicks"][0].select(F.round("joinCount", 2).alias("joinCount"), F.round("joinSum", 2).alias("joinSum"), F.round("joinAvg", 4).alias("joinAvg"))
 
 
 @_query("SELECT 'e' || n AS id, n::DOUBLE AS lat FROM range(1, 46) r(n)")
@@ -720,20 +763,27 @@ def stream_cosine_join(spark, folder):
     return spark.read.schema(wide.schema).parquet(f"{at}/rows")
 
 
-def _streamed_config() -> EngineConfig:
+def _streamed_config(approximate: bool = False, radius: float = 5.0, where: tuple = (("s0", "event_type", "eq", "click"),)) -> EngineConfig:
     fields = [{"name": "tupleId", "type": "string"}, {"name": "x", "type": "double"}, {"name": "y", "type": "double"}, {"name": "event_type", "type": "string"}]
-    stages = [{"type": "join", "between": S, "on": ["x", "y"], "radius": 5.0}, {"type": "where", "clauses": [{"stream": "s0", "field": "event_type", "operator": "eq", "value": "click"}]}, {"type": "avg", "aggregateStream": "s0", "aggregatableFields": ["y"]}]
-    return parse({"streams": [{"id": s, "fields": fields} for s in S], "queries": [{"id": "clicks", "stages": stages}]})
+    clauses = [dict(zip(("stream", "field", "operator", "value"), c, strict=True)) for c in where]
+    group = {"type": "avg", "aggregateStream": "s0", "aggregatableFields": ["y"], "groupableFields": [{"stream": "s1", "field": "event_type"}], "having": [{"stream": "s0", "field": "count", "operator": "gt", "value": 1}]}
+    stages = [{"type": "join", "between": S, "on": ["x", "y"], "radius": radius}, {"type": "where", "clauses": clauses}, {"type": "avg", "aggregateStream": "s0", "aggregatableFields": ["y"]}, group]
+    return parse({"approximate": approximate, "streams": [{"id": s, "fields": fields} for s in S], "queries": [{"id": "clicks", "stages": stages}]})
+
+
+_ALIVE_CLICKS = f"{CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W} AND a.event_type='click'"
 
 
-@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT 'clicks' AS "queryId", count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {CLIQUE_W} WHERE least(a.q,b.q,c.q) > (SELECT m FROM last) - {W} AND a.event_type='click'""")
+@_query(f"""WITH {SEQ}, last AS (SELECT max(q) AS m FROM w) SELECT 'clicks' AS "queryId", '' AS event_type, count(*) AS count, round(coalesce(sum(a.y),0),2) AS sum {_ALIVE_CLICKS}
+UNION ALL SELECT 'clicks', b.event_type, count(*), round(sum(a.y),2) {_ALIVE_CLICKS} GROUP BY b.event_type HAVING count(*) > 1""")
 def stream_config_run(spark, folder):
-    at = _scratch(spark)
-    e = _raw_stream(spark, folder).select(F.col("event_id").alias("tupleId"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(3)).cast("string")).alias("streamId"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"), "event_type")
-    for started in run_stream(_streamed_config(), e, f"{at}/rows", f"{at}/checkpoint", window=W).values():
+    log, schema, at = _numbered_log(spark, folder)
+    config = _streamed_config()
+    for started in windowed.start(config, spark, log, schema, f"{at}/rows", f"{at}/checkpoint", W).values():
         started.awaitTermination()
-    rows = spark.read.parquet(f"{at}/rows/clicks")
-    return rows.groupBy("queryId").agg(F.max_by("count", "seq").alias("count"), F.round(F.max_by("sum", "seq"), 2).alias("sum"))
+    whole, groups = windowed.totals(config, spark, f"{at}/rows")["clicks"]
+    rounded = F.round("sum", 2).alias("sum")
+    return whole.select("queryId", F.lit("").alias("event_type"), "count", rounded).unionByName(groups.select("queryId", "event_type", "count", rounded))
 
 
 @_query(f"WITH {E} SELECT event_type, floor(y/50)::BIGINT AS band, count(*) AS n FROM e GROUP BY ALL")
