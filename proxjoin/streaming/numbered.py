@@ -27,6 +27,8 @@ from proxjoin.operators.window import sequence
 from proxjoin.streaming.joins import event_time_join
 
 SEQ, TIME = "seq", "seq_time"
+#: Cells of a tile along each axis, and what rounding may leave of a cell whose rows have gone.
+TILE, NOTHING = 16, 1e-9
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -118,7 +120,9 @@ def approx_changes(
     a cell's estimates, by copies that come or leave. Added up to some row, changes are the estimates of the window there.
 
     Every copy stands for two entries, one as it comes and one, taken back, as the row arrives that pushes it out. The
-    state of a cell is its N, R, V and U, 2 n + 2 numbers for n streams, whatever passes through it.
+    state of a cell is its N, R, V and U, 2 n + 2 numbers for n streams, whatever passes through it, and goes when nothing
+    of the cell is left in the window. Cells are kept together in tiles of ``TILE`` along each axis, a group each, so that
+    a group's worth of cells is one vector operation.
     """
     on, n, a = sorted(on), len(streams), list(streams).index(stream)
     cells = [f"cell_{i}" for i in range(len(on))]
@@ -127,8 +131,15 @@ def approx_changes(
     due = _due(copies.select(*cells, "k", "isReplica", "w", "v", TIME, F.inline(both)), rows, TIME, length, late)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0]) if state.exists else np.zeros(2 * n + 2)
-        new = pd.concat(list(batches)).sort_values("at", kind="stable")
+        new = pd.concat(list(batches))
+        known = np.array(state.get[0], np.int64).reshape(-1, len(cells)) if state.exists else np.zeros((0, len(cells)), np.int64)
+        places, cell = np.unique(np.vstack([known, new[cells].to_numpy(np.int64)]), axis=0, return_inverse=True)
+        cell = cell.ravel()
+        held = np.zeros((len(places), 2 * n + 2))
+        held[cell[: len(known)]] = np.array(state.get[1]).reshape(len(known), -1) if state.exists else 0
+        cell = cell[len(known) :]
+        order = np.lexsort((new["at"].to_numpy(), cell))
+        new, cell = new.iloc[order], cell[order]
         w, k, copied = (new["w"] * new["sign"]).to_numpy(), new["k"].to_numpy(), new["isReplica"].to_numpy(dtype=bool)
         entries = np.zeros((len(new), 2 * n + 2))
         each = np.arange(len(new))
@@ -136,18 +147,27 @@ def approx_changes(
         entries[each[copied], n + k[copied]] = w[copied]
         entries[:, -2] = np.where(k == a, w * new["v"].to_numpy(), 0.0)
         entries[:, -1] = np.where(copied, entries[:, -2], 0.0)
-        totals = np.vstack([held, held + np.cumsum(entries, axis=0)])
+        first = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
+        run = np.cumsum(np.r_[True, np.diff(cell) != 0]) - 1
+        upto = np.cumsum(entries, axis=0)
+        totals = upto - np.vstack([np.zeros((1, 2 * n + 2)), upto])[first][run] + held[cell]
         at = new["at"].to_numpy()
-        last = np.r_[np.flatnonzero(np.diff(at)), len(at) - 1]
-        counts, sums = _products(totals[np.r_[0, last + 1]], n, a)
-        state.update((totals[-1].tolist(),))
-        out = pd.DataFrame({"at": at[last], "joinCount": np.diff(counts), "joinSum": np.diff(sums)})
-        for i, c in enumerate(cells):
-            out.insert(i, c, key[i])
+        last = np.flatnonzero(np.r_[(np.diff(at) != 0) | (np.diff(cell) != 0), True])
+        counts, sums = _products(totals[last], n, a)
+        fresh = np.r_[True, np.diff(cell[last]) != 0]
+        was_count, was_sum = _products(held[cell[last]], n, a)
+        was_count, was_sum = np.where(fresh, was_count, np.r_[0.0, counts[:-1]]), np.where(fresh, was_sum, np.r_[0.0, sums[:-1]])
+        held[cell[last]] = totals[last]  # the last of a cell's rows wins
+        kept = (np.abs(held) > NOTHING).any(axis=1)
+        state.update((places[kept].ravel().tolist(), held[kept].ravel().tolist()))
+        out = pd.DataFrame({**{c: places[cell[last], i] for i, c in enumerate(cells)}, "at": at[last], "joinCount": counts - was_count, "joinSum": sums - was_sum})
         yield out[(out["joinCount"] != 0) | (out["joinSum"] != 0)]
 
     kinds = ", ".join(f"{c} long" for c in cells)
-    return due.drop(TIME).groupBy(*cells).applyInPandasWithState(step, f"{kinds}, at long, joinCount double, joinSum double", "totals array<double>", "append", GroupStateTimeout.NoTimeout)
+    tiles = due.drop(TIME).withColumns({f"_tile_{i}": F.floor(F.col(c) / TILE) for i, c in enumerate(cells)})
+    return tiles.groupBy(*[f"_tile_{i}" for i in range(len(cells))]).applyInPandasWithState(
+        step, f"{kinds}, at long, joinCount double, joinSum double", "cells array<long>, totals array<double>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def approx_totals(changes: DataFrame) -> DataFrame:
