@@ -35,12 +35,13 @@ def _with_rows(df: DataFrame, key: Column, buckets: int, rows: int) -> DataFrame
 
 
 def create(df: DataFrame, key: Column, value: Column | None = None, buckets: int = BUCKETS, rows: int = ROWS) -> DataFrame:
-    """(row, bucket, value): values added to the key's bucket in every row; 1 for each input row by default."""
+    """(row, bucket, value): values added to the key's bucket in every row; 1 for each input row by default.
+
+    Cells are summed where rows lie first, so a task sends rows times buckets numbers at most, and keys aren't shuffled.
+    """
     _check(buckets, rows)
     added = df.select(key.alias("key"), (F.lit(1.0) if value is None else value.cast("double")).alias("v"))
-    # Keys are summed before they are hashed to each row.
-    summed = added.groupBy("key").agg(F.sum("v").alias("v"))
-    return _with_rows(summed, F.col("key"), buckets, rows).groupBy("row", "bucket").agg(F.sum("v").alias("value"))
+    return _with_rows(added, F.col("key"), buckets, rows).groupBy("row", "bucket").agg(F.sum("v").alias("value"))
 
 
 def merge(sketches: Sequence[DataFrame]) -> DataFrame:
