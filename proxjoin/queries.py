@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from proxjoin.functions import distance as D
 from proxjoin.functions import geometry
 from proxjoin.functions.predicates import members, where
-from proxjoin.operators import aggregate, approx, cluster, grid, groups, join, sketch, window
+from proxjoin.operators import aggregate, approx, cluster, counting, grid, groups, join, sketch, window
 from proxjoin.plans.config import Clause, EngineConfig, parse
 from proxjoin.plans.engine import run, run_shared
 from proxjoin.plans import windowed
@@ -331,7 +331,13 @@ COS = "(1-greatest(0.0,({0}.x*{1}.x+{0}.y*{1}.y)/(sqrt({0}.x*{0}.x+{0}.y*{0}.y)*
 @_query(f"WITH {E} SELECT count(*) AS n FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {COS.format('a', 'b')} <= 0.0001")
 def cosine_join_2d(spark, folder):
     s = streams(spark, folder)
-    return join.clique_join({k: s[k] for k in ("s0", "s1")}, XY, 0.0001, "cosine").agg(F.count("*").alias("n"))
+    return counting.clique_totals({k: s[k] for k in ("s0", "s1")}, XY, 0.0001, "cosine").select(F.col("count").alias("n"))
+
+
+@_query(f"WITH {E} SELECT 'q' AS \"queryId\", count(*) AS count, round(coalesce(sum(a.y), 0), 2) AS sum, round(coalesce(sum(a.y), 0)/greatest(count(*), 1), 6) AS avg {_clique(5.0)}")
+def agg_without_join(spark, folder):
+    out = counting.clique_totals(streams(spark, folder), XY, 5.0, stream="s0", fields=["y"], query_id="q")
+    return out.select("queryId", "count", F.round("sum", 2).alias("sum"), F.round("avg", 6).alias("avg"))
 
 
 @_query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(c_acctbal::DOUBLE - s_acctbal::DOUBLE) <= 1.0")
