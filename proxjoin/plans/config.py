@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 OPERATORS = ("eq", "gt", "gte", "lt", "lte")
 AGGREGATES = ("count", "sum", "avg")
+CLUSTERINGS = ("grid", "kmeans")
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,10 @@ def parse(raw: dict) -> EngineConfig:
     queries = tuple(_query(q, streams) for q in raw["queries"])
     if len({q.id for q in queries}) != len(queries):
         raise ValueError("query ids must differ")
-    return EngineConfig(streams, queries, bool(raw.get("approximate", False)), raw.get("clustering") or {"type": "grid"})
+    clustering = raw.get("clustering") or {"type": "grid"}
+    if clustering.get("type") not in CLUSTERINGS:
+        raise ValueError(f"unknown clustering {clustering.get('type')!r}; known: {', '.join(CLUSTERINGS)}")
+    return EngineConfig(streams, queries, bool(raw.get("approximate", False)), clustering)
 
 
 def load(path: str) -> EngineConfig:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proxjoin.functions import distance as D
 from proxjoin.functions.predicates import clause, where
-from proxjoin.operators import aggregate, approx
+from proxjoin.operators import aggregate, approx, voronoi
 from proxjoin.operators.join import SEP, clique_join, long_form, unjoined, within_all
 from proxjoin.plans.config import EngineConfig, Query, groups
 
@@ -92,15 +92,28 @@ def run_shared(config: EngineConfig, tables: dict[str, DataFrame], id_col: str =
 
 
 def run(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tupleId", compat_eq: str = "typed", by_sketch: bool = False) -> dict[str, Results]:
-    """Plans only: nothing is computed until a result is used. Queries of a group share the cells of its least radius."""
+    """Plans only: nothing is computed until a result is used. Queries of a group share the cells of its least radius, or,
+    where the configuration asks for k-means, the centroids fitted here to the group's streams.
+    """
     out: dict[str, Results] = {}
     for group in groups(config.queries):
+        centroids = None
+        if config.clustering.get("type") == "kmeans":
+            if config.approximate:
+                raise ValueError("approximate mode has cells of a grid only")
+            known = config.clustering
+            centroids = voronoi.fitted({s: tables[s] for s in group.streams}, group.on, int(known.get("k", 16)), int(known.get("iterations", 20)), group.distance)
         for q in group.queries:
             streams = {s: where(tables[s], s, q.where, compat_eq) for s in q.between}
             if config.approximate:
+                if any(a.group_by for a in q.aggregates):
+                    raise ValueError(f"query {q.id}: approximate mode has no groups; groups.grouped_by_sketch estimates them over combinations")
                 out[q.id] = Results(q, None, None, [_approximate(q, streams, by_sketch)])
                 continue
-            wide = clique_join(streams, q.on, q.radius, q.distance, id_col, group.r_min, group.r_max if q.distance == "euclidean" else None)
+            if centroids is None:
+                wide = clique_join(streams, q.on, q.radius, q.distance, id_col, group.r_min, group.r_max if q.distance == "euclidean" else None)
+            else:
+                wide = voronoi.voronoi_join(streams, q.on, q.radius, centroids, q.distance, id_col)
             shared = [c for c in tables[q.between[0]].columns if all(c in tables[s].columns for s in q.between) and c != "streamId"]
             out[q.id] = Results(q, wide, long_form(wide, q.between, shared, q.id), [_aggregate(q, wide, a) for a in q.aggregates], unjoined(streams, wide, id_col))
     return out

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from proxjoin.functions import distance as D
 from proxjoin.functions import geometry
 from proxjoin.functions.predicates import members, where
-from proxjoin.operators import aggregate, approx, cluster, counting, grid, groups, join, sketch, window
+from proxjoin.operators import aggregate, approx, cluster, counting, grid, groups, join, sketch, voronoi, window
 from proxjoin.plans.config import Clause, EngineConfig, parse
 from proxjoin.plans.engine import run, run_shared
 from proxjoin.plans import windowed
 from proxjoin.sources import files, fixtures, log, scratch, sinks
 from proxjoin.streaming import numbered
+from proxjoin.streaming.clustered import kmeans_window_join
 from proxjoin.streaming.joins import event_time_join
 
 S = ["s0", "s1", "s2"]
@@ -250,6 +251,17 @@ def pair_join_euclid(spark, folder):
     return _ids(join.clique_join({"s0": s["s0"], "s1": s["s1"]}, XY, R), ["s0", "s1"])
 
 
+@_query(f"WITH {E} SELECT a.id AS id_s0, b.id AS id_s1, array_to_string(list_sort([a.id::VARCHAR, b.id::VARCHAR]), '-') AS \"joinId\" FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {_near('a', 'b')}")
+def kmeans_join(spark, folder):
+    s = streams(spark, folder)
+    return _ids(voronoi.kmeans_join({"s0": s["s0"], "s1": s["s1"]}, XY, R, 24, 5), ["s0", "s1"])
+
+
+@_query(CLIQUE_IDS)
+def kmeans_clique3(spark, folder):
+    return _ids(voronoi.kmeans_join(streams(spark, folder), XY, R, 24, 5))
+
+
 @_query(CLIQUE_IDS)
 def clique3_join(spark, folder):
     return _ids(join.clique_join(streams(spark, folder), XY, R))
@@ -745,6 +757,14 @@ def stream_retractions(spark, folder):
     return numbered.change_rows(changes, S, ["tupleId"])
 
 
+@_query(f"WITH {SEQ} SELECT a.id AS id_s0, b.id AS id_s1, c.id AS id_s2, {JOIN_ID} {CLIQUE_W}")
+def stream_kmeans_join(spark, folder):
+    log, schema, at = _numbered_log(spark, folder)
+    rows = numbered.numbered_stream(spark, log, schema)
+    kmeans_window_join(rows, log, S, XY, 5.0, W, f"{at}/rows", f"{at}/checkpoint", 24, 5).awaitTermination()
+    return _ids(spark.read.parquet(f"{at}/rows"))
+
+
 APPROX_W = 2000
 
 
