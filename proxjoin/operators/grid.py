@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from proxjoin.functions import geometry
 
+LAST = 1 << 62
+
 
 def cells(df: DataFrame, axes: Sequence[Column], length: float, prefix: str = "cell_") -> DataFrame:
     return df.withColumns({f"{prefix}{i}": geometry.cell_of(x, length) for i, x in enumerate(axes)})
@@ -24,7 +26,8 @@ def replicate(df: DataFrame, axes: Sequence[Column], length: float, r_max: float
     if band is not None:
         steps = [(*o, b) for o in steps for b in (-1, 0, 1)]
         steps = [o for o in steps if (sum(o), *o) >= (0,) * (len(o) + 1)]
-    home = [geometry.cell_of(x, length) for x in axes]
+    # Cells have room for offsets on both sides; what lies beyond shares the last one, where distances decide.
+    home = [F.greatest(F.least(geometry.cell_of(x, length), F.lit(LAST)), F.lit(-LAST)) for x in axes]
     if band is not None:
         home.append(F.floor(band[0] / F.lit(band[1])).cast("bigint"))
     names = [f"{prefix}{i}" for i in range(len(home))]

@@ -57,8 +57,8 @@ def clique_join(
     The distance predicate becomes an equi-join on grid cells with the distance as residual. Rows are copied to greater
     cells only, and a combination counts where one member is at home: its greatest home cell, so it comes once. Cosine
     below 1 is joined on unit vectors. ``salt`` spreads the first stream's rows of a cell over that many partitions;
-    ``band`` (column, width) keeps combinations whose column differs by less than the width. Nulls on an axis join nothing.
-    A join of one stream has no combinations.
+    ``band`` (column, width) keeps combinations whose column differs by less than the width. Nulls and numbers
+    that aren't finite on an axis join nothing. A join of one stream has no combinations.
     """
     names, on = list(streams), sorted(on)
     if len(names) < 2:
@@ -75,6 +75,7 @@ def clique_join(
     for k, (name, df) in enumerate(streams.items()):
         df = _prefixed(df.dropna(subset=list(on)), name)
         axes = _axes(name, on)
+        df = df.where(reduce(and_, [F.abs(x) < float("inf") for x in axes]))
         if kind == "cosine":
             df, axes = df.where(reduce(lambda a, b: a | b, [x != 0 for x in axes])), D.normalise(axes)
         extra = (F.col(f"`{name}{SEP}{band[0]}`"), band[1]) if band else None
@@ -211,15 +212,20 @@ def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", k
             own = group["own"].to_numpy()
         a, b = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
         dot = x[a] @ x[b].T
+        # Within one block a pair comes in both orders; between two, once.
+        met = (ids[a][:, None] < ids[b]) if key[0] == key[1] else (ids[a][:, None] != ids[b])
         if kind == "cosine":
-            d = 1 - np.maximum(0.0, dot / np.outer(n[a], n[b]))
+            every = 1 - np.maximum(0.0, dot / np.outer(n[a], n[b]))
+            p, q = np.nonzero((every <= radius) & met)
+            d = every[p, q]
         else:
-            d = np.sqrt(np.maximum(0.0, (n[a] ** 2)[:, None] + n[b] ** 2 - 2 * dot))
-        # Within one block a pair comes in both orders; between two, once.
-        near = (d <= radius) & ((ids[a][:, None] < ids[b]) if key[0] == key[1] else (ids[a][:, None] != ids[b]))
-        p, q = np.nonzero(near)
+            # The product cancels for vectors far from the origin: it only leaves out pairs that no rounding could bring near.
+            squares = (n[a] ** 2)[:, None] + n[b] ** 2
+            p, q = np.nonzero((squares - 2 * dot <= radius**2 + 4 * (x.shape[1] + 4) * np.finfo(float).eps * squares) & met)
+            d = np.concatenate([np.zeros(0), *[np.sqrt(((x[a[p[k : k + 65_536]]] - x[b[q[k : k + 65_536]]]) ** 2).sum(axis=1)) for k in range(0, len(p), 65_536)]])
+            p, q, d = p[d <= radius], q[d <= radius], d[d <= radius]
         left, right = ids[a][p], ids[b][q]
-        return pd.DataFrame({"id_a": np.minimum(left, right), "id_b": np.maximum(left, right), "distance": d[p, q]})
+        return pd.DataFrame({"id_a": np.minimum(left, right), "id_b": np.maximum(left, right), "distance": d})
 
     return dealt.groupBy("i", "j").applyInPandas(compare, "id_a long, id_b long, distance double")
 
