@@ -18,6 +18,7 @@ from proxjoin.functions import distance as D
 from proxjoin.functions import geometry
 from proxjoin.functions.predicates import members, where
 from proxjoin.operators import aggregate, approx, cluster, counting, grid, groups, join, sketch, voronoi, window
+from proxjoin.operators.index import StoredIndex
 from proxjoin.plans.config import Clause, EngineConfig, parse
 from proxjoin.plans.engine import run, run_shared
 from proxjoin.plans import windowed
@@ -330,6 +331,35 @@ def index_range_scan(spark, folder):
     return join.index_range(indexed, 1_000_005.0, 1_000_012.5, "low").select("tupleId", F.round("key", 6).alias("key"))
 
 
+_PAIR_IDS = "SELECT a.id AS id_a, b.id AS id_b, array_to_string(list_sort([a.id::VARCHAR, b.id::VARCHAR]), '-') AS \"joinId\""
+
+
+@_query(f"WITH {E} {_PAIR_IDS} FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {_near('a', 'b')}")
+def index_join(spark, folder):
+    s = streams(spark, folder)
+    stored = StoredIndex(spark, _scratch(spark), XY, CENTROIDS)
+    stored.insert(s["s1"])
+    return _ids(stored.join(s["s0"], R), ["a", "b"])
+
+
+@_query(f"WITH {E} {_PAIR_IDS} FROM e a JOIN e b ON a.s='s0' AND b.s='s1' AND {_near('a', 'b')} AND (b.id % 7 <> 1 OR b.id % 2 = 0)")
+def index_join_after_deletes(spark, folder):
+    s = streams(spark, folder)
+    stored = StoredIndex(spark, _scratch(spark), XY, CENTROIDS)
+    stored.insert(s["s1"])
+    gone = s["s1"].where(F.pmod("tupleId", F.lit(7)) == 1)
+    stored.delete(gone)
+    stored.insert(gone.where(F.pmod("tupleId", F.lit(2)) == 0))  # some come back
+    return _ids(stored.join(s["s0"], R), ["a", "b"])
+
+
+@_query(f'WITH {E}, {_KEYED} SELECT id AS "tupleId", round(key, 6) AS key FROM k WHERE key > 2000000.0 AND key <= 2000009.0')
+def index_stored_range(spark, folder):
+    stored = StoredIndex(spark, _scratch(spark), XY, CENTROIDS)
+    stored.insert(events(spark, folder))
+    return stored.range(2_000_000.0, 2_000_009.0, "high").select("tupleId", F.round("key", 6).alias("key"))
+
+
 @_query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, 1-greatest(0.0, list_dot_product(a.e,b.e)/(sqrt(list_dot_product(a.e,a.e))*sqrt(list_dot_product(b.e,b.e)))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT id_a, id_b, round(d, 6) AS distance FROM p WHERE d <= 0.6""")
