@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
 Texts are cut into sentences at full stops, colons and the like and at blank lines; the colon of an SPDX tag and the
-name in "neither the name of ... nor" are taken out first. A sentence is a line of what is left or, since texts are
+name in "neither the name of ... nor" are taken out first, and the parts of an SPDX expression (AND, OR) become tags each, less
+their exceptions (WITH). A sentence is a line of what is left or, since texts are
 wrapped, several lines in a row; of those that begin in one line the longest counts. It is put in plain form: lower
 case, runs of other characters than letters and digits become one space. Plain sentences that a licence is made of have
 identifiers; a document becomes the ordered sequence of its identifiers. Rules are sequences of identifiers, the
@@ -24,8 +25,10 @@ LICENCES = [
     ("0BSD", "permissive", ["0bsd"], []),
     ("AGPL-3.0", "copyleft", ["agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0"], ["gnu affero general public license version 3", "gnu affero general public license v3 0", "agplv3"]),
     ("Apache-2.0", "permissive", ["apache 2 0"], ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"]),
+    ("Artistic-2.0", "permissive", ["artistic 2 0"], ["artistic license 2 0", "artistic license version 2 0"]),
     ("BSD-2-Clause", "permissive", ["bsd 2 clause"], ["bsd 2 clause license"]),
     ("BSD-3-Clause", "permissive", ["bsd 3 clause"], ["bsd 3 clause license"]),
+    ("BSD-4-Clause", "permissive", ["bsd 4 clause"], ["bsd 4 clause license"]),
     ("BSL-1.0", "permissive", ["bsl 1 0"], ["boost software license version 1 0"]),
     ("CC-BY-4.0", "permissive", ["cc by 4 0"], ["creative commons attribution 4 0 international license"]),
     ("CC-BY-NC-4.0", "noncommercial", ["cc by nc 4 0"], ["creative commons attribution noncommercial 4 0 international license"]),
@@ -39,11 +42,13 @@ LICENCES = [
     ("LGPL-3.0", "copyleft", ["lgpl 3 0 only", "lgpl 3 0 or later", "lgpl 3 0"], ["gnu lesser general public license version 3", "gnu lesser general public license v3 0"]),
     ("MIT", "permissive", ["mit"], ["mit license", "terms of the mit license"]),
     ("MPL-2.0", "copyleft", ["mpl 2 0"], ["mozilla public license 2 0", "mozilla public license version 2 0"]),
+    ("PSF-2.0", "permissive", ["psf 2 0", "python 2 0"], ["python software foundation license", "python software foundation license version 2", "psf license"]),
     ("Unlicense", "public domain", ["unlicense"], ["unlicense"]),
+    ("WTFPL", "permissive", ["wtfpl"], ["wtfpl"]),
     ("Zlib", "permissive", ["zlib"], ["zlib license"]),
 ]
 # What stands before a name in notices.
-BEFORE = ["licensed under the", "released under the", "distributed under the", "this work is licensed under the", "this work is licensed under a", "this project is licensed under the", "this software is licensed under the"]
+BEFORE = ["licensed under the", "released under the", "distributed under the", "this work is licensed under the", "this work is licensed under a", "this project is licensed under the", "this software is licensed under the", "available under the", "made available under the", "this project is available under the", "this software is available under the", "this code is available under the", "it is available under the"]
 # Sentences of public licences in plain form, by identifier, as the splitter cuts them.
 SENTENCES = {
     "A2": "licensed under the apache license version 2 0 the license",
@@ -77,6 +82,12 @@ SENTENCES = {
     "B5": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "B6": "bsd 2 clause license",
     "B7": "bsd 3 clause license",
+    "B8": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "B9": "bsd 4 clause license",
+    "AR1": "the artistic license 2 0",
+    "AR2": "artistic license 2 0",
+    "PS1": "python software foundation license version 2",
+    "W1": "do what the fuck you want to public license",
     "G2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "G3": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "G4": "see the gnu general public license for more details",
@@ -117,6 +128,10 @@ SEQUENCES = {
     "Apache-2.0": ["A2 A3 A4 A5 A6", "A2 A3 A7 A8 A5 A6", "A2 A3 A11 A5 A6", "A2 A3 A7 A12 A5 A6", "A2 A3", "A9", "A9 A10"],
     "BSD-2-Clause": ["B1 B2 B3", "B1 B2 B3 B5", "B6", "B6 B1 B2 B3 B5", "B6 B1 B2 B3"],
     "BSD-3-Clause": ["B1 B2 B3 B4", "B1 B2 B3 B4 B5", "B7", "B7 B1 B2 B3 B4 B5", "B7 B1 B2 B3 B4"],
+    "BSD-4-Clause": ["B1 B2 B3 B8 B4", "B1 B2 B3 B8 B4 B5", "B1 B2 B3 B8", "B9", "B9 B1 B2 B3 B8 B4 B5", "B9 B1 B2 B3 B8 B4"],
+    "Artistic-2.0": ["AR1", "AR2"],
+    "PSF-2.0": ["PS1"],
+    "WTFPL": ["W1"],
     "BSL-1.0": ["O1"],
     "CC0-1.0": ["C6", "C7"],
     "EPL-2.0": ["E1"],
@@ -150,12 +165,33 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, str, str]]]:
 
 KNOWN, RULES = _tables()
 #: Every known sentence has one of these words, so a text without them has none.
-MARKS = "licens|copyright|warrant|redistribut|mit|apache|gpl|free software|public domain|cc0|permission|spdx|in no event|reproduction|mpl|anyone is free"
+MARKS = "advertising materials|wtfpl|licens|copyright|warrant|redistribut|mit|apache|gpl|free software|public domain|cc0|permission|spdx|in no event|reproduction|mpl|anyone is free"
 SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
 BLANK_LINE = r"\n[\x20\x09-\x0D]*\n"
-#: An SPDX tag's colon, and the holder's name between words that are always the same.
+#: An SPDX tag's colon, its exception, its first AND or OR, and the holder's name between words that are always the same.
 TAG = r"(?i)(spdx-license-identifier):"
-HOLDER = r"(?i)(neither[^a-z0-9]+the[^a-z0-9]+name)s?([^a-z0-9]+of)[^a-z0-9][^.;:]{1,200}?[^a-z0-9](nor[^a-z0-9])"
+WITH = r"(?i)(spdx-license-identifier[^\n]*?)[ \t]+with[ \t]+[a-z0-9.-]+"
+EITHER = r"(?i)(spdx-license-identifier)([ \t:]+[^\n]*?[^ \t\n:][ \t]*)[ \t](?:and|or)[ \t]"
+#: Licences of an SPDX expression at most.
+CHOICES = 6
+HOLDER = r"(?i)(neither[^a-z0-9]+the[^a-z0-9]+name)s?([^a-z0-9]+of)[^a-z0-9][^;:]{1,200}?[^a-z0-9](nor[^a-z0-9])"
+#: What is replaced, in order: each step takes one AND or OR of a tag's line.
+REPLACED = [(WITH, 1, ""), *[(EITHER, 2, "\n\nSPDX-License-Identifier ")] * (CHOICES - 1), (TAG, 1, " ")]
+
+
+def _replaced(text: Column) -> Column:
+    for pattern, groups, after in REPLACED:
+        text = F.regexp_replace(text, pattern, "".join(f"${g}" for g in range(1, groups + 1)) + after)
+    return F.regexp_replace(text, HOLDER, "$1$2 $3")
+
+
+def _replaced_sql(text: str) -> str:
+    for pattern, groups, after in REPLACED:
+        said = "".join(f"\\{g}" for g in range(1, groups + 1))
+        text = f"regexp_replace({text}, '{pattern}', '{said}' || " + ("chr(10) || chr(10) || " if "\n" in after else "") + f"'{after.strip(chr(10))}', 'g')"
+    return f"regexp_replace({text}, '{HOLDER}', '\\1\\2 \\3', 'g')"
+
+
 #: A line has a word at least, so no sentence has more lines than words.
 LINES = max(len(s.split()) for s in KNOWN.values())
 
@@ -177,7 +213,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, kinds): identifiers in order, licences and their kinds by name."""
     known = F.create_map(*[F.lit(x) for name, sentence in KNOWN.items() for x in (sentence, name)])
     marked = F.lower(F.col(text)).rlike(MARKS)
-    bare = F.regexp_replace(F.regexp_replace(F.col(text), TAG, "$1 "), HOLDER, "$1$2 $3")
+    bare = _replaced(F.col(text))
     runs = F.split(F.regexp_replace(bare, SENTENCE_END, "$1\n\n"), BLANK_LINE)
     # Sentences by their first word; a line that begins one is told from others by its first word mostly.
     starts: dict[str, list[str]] = {}
@@ -218,7 +254,7 @@ def oracle_sql() -> str:
     return f"""
 WITH known(id, sentence) AS (VALUES {sentences}), rules(licence, kind, ids) AS (VALUES {rules}),
 docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
-bare AS (SELECT r, regexp_replace(regexp_replace(text, '{TAG}', '\\1 ', 'g'), '{HOLDER}', '\\1\\2 \\3', 'g') AS t FROM docs WHERE text IS NOT NULL),
+bare AS (SELECT r, {_replaced_sql('text')} AS t FROM docs WHERE text IS NOT NULL),
 runs AS (SELECT r, unnest(string_split_regex(u, '\\n[\\x20\\x09-\\x0D]*\\n')) AS s, generate_subscripts(string_split_regex(u, '\\n[\\x20\\x09-\\x0D]*\\n'), 1) AS run
   FROM (SELECT r, regexp_replace(t, '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10) || chr(10), 'g') AS u FROM bare)),
 lines AS (SELECT r, run, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM runs),

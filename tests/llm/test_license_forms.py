@@ -112,3 +112,52 @@ def test_all_sentences_pass_the_first_test():
     assert all(i in licenses.KNOWN for _, _, ids in licenses.RULES for i in ids.split())
     counts = [len(ids.split()) for _, _, ids in licenses.RULES]
     assert counts == sorted(counts, reverse=True) and len({ids for _, _, ids in licenses.RULES}) == len(counts)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADVERTISING = """3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement:
+   This product includes software developed by the Example Group.
+"""
+NEITHER = """4. Neither the name of {} nor the names of its contributors may be used to
+   endorse or promote products derived from this software without specific
+   prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (BSD + NEITHER.format("Google Inc."), "BSD-3-Clause"),
+        (BSD + NEITHER.format("Yahoo! Inc."), "BSD-3-Clause"),
+        (BSD + NEITHER.format("the St. John's Univ. Press, Ltd."), "BSD-3-Clause"),
+        (BSD + ADVERTISING + NEITHER.format("the Example Group"), "BSD-4-Clause"),
+        (BSD, "BSD-2-Clause"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC", "BSD-3-Clause,ISC,MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT\n", "GPL-2.0,MIT"),
+        ("SPDX-License-Identifier: MIT\nThis is text or not, and more.", "MIT"),
+        ("This project is available under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("SPDX-License-Identifier: Artistic-2.0", "Artistic-2.0"),
+        ("SPDX-License-Identifier: PSF-2.0", "PSF-2.0"),
+        ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004", "WTFPL"),
+    ],
+)
+def test_common_texts(spark, text, found):
+    import duckdb
+
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(frame).first().licenses == found
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO documents VALUES (1, ?)", [text])
+    result = con.execute(licenses.oracle_sql())
+    assert result.fetchone()[[d[0] for d in result.description].index("licenses")] == found
