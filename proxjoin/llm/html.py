@@ -13,6 +13,9 @@ tell it from the article's; short blocks there look at side parts only, and are
 articles, before the first and after the last decided block, only headings, paragraphs and list items take the one
 side's label.
 
+A name doesn't count against the text it stands on: an element that is, or holds, the page's article and most of its
+prose is no side part whatever it is called, and a form like that is no form.
+
 Where no block is good, the ambiguous blocks of an article are its text; of a page without an article, its ambiguous
 headings and paragraphs; of a page that is nothing but an article, all that isn't linked. A page without a single stop
 word is no prose: its long blocks are bad. Stop words are those of Latin scripts: of a block in another script, length
@@ -40,12 +43,12 @@ from proxjoin.llm.common import STOP_WORDS, small_batches
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-DROPPED = frozenset("button canvas datalist dialog form head iframe map noembed noframes noscript object search select svg template textarea title audio video".split())
+DROPPED = frozenset("button canvas datalist dialog head iframe map noembed noframes noscript object search select svg template textarea title audio video".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 # Tags and roles of side parts, words of their classes and ids (as a part, or only alone).
 SIDE_TAGS = frozenset("aside footer menu".split())
 SIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-SIDE_PARTS = frozenset("ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter overlay pager pagination paywall popup promo promotion sharing sidebar sidenav signup sponsor sponsored subscribe subscription toolbar topbar widget".split())
+SIDE_PARTS = frozenset("ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter overlay pager pagination paywall popup promo promotion replies sharing sidebar sidenav signup sponsor sponsored subscribe subscription toolbar topbar widget".split())
 SIDE_ALONE = frozenset("byline copyright feedback header login notice notices related respond share skip social teaser".split())
 
 ATTRIBUTES = r"[^>=]*+(?:=[ \t\n\r\f]*+(?:\"[^\"]*\"|'[^']*')?[^>=]*+)*+"
@@ -63,12 +66,20 @@ REST, ARTICLE, SIDE = 0, 1, 2
 
 
 class Block(NamedTuple):
-    """Text, share of it in links, place, tag of its block element."""
+    """Text, share of it in links, place, tag of its block element, and the side parts and forms around it by number."""
 
     text: str
     linked: float
     place: int
     tag: str
+    within: tuple[int, ...] = ()
+
+
+class Mark(NamedTuple):
+    """A side part or a form: whether it stands inside an article."""
+
+    form: bool
+    inside: bool
 
 
 def _side(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -81,7 +92,9 @@ def _side(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         if key in ("class", "id"):
             for token in value.split():
                 words = [w.lower() for w in CAMEL.findall(token)]
-                side = side or not SIDE_PARTS.isdisjoint(words) or len(words) == 1 and words[0] in SIDE_ALONE and name not in TEXT
+                # A paragraph of an article is told by its whole name only, as in "banner", not "banner-text".
+                parts = [] if inside and name in TEXT and len(words) > 1 else words
+                side = side or not SIDE_PARTS.isdisjoint(parts) or len(words) == 1 and words[0] in SIDE_ALONE and name not in TEXT
         elif key == "role":
             side = side or value.strip().lower() in SIDE_ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -94,7 +107,7 @@ class _Open(NamedTuple):
 
     name: str
     dropped: bool
-    place: int
+    within: tuple[int, ...]
     link: bool
     article: bool
 
@@ -106,7 +119,9 @@ class _Page:
         self.out: list[Block] = []
         self.text: list[str] = []
         self.linked: list[str] = []
-        self.stack = [_Open("", False, REST, False, False)]
+        self.stack = [_Open("", False, (), False, False)]
+        self.marks: list[Mark] = []
+        self.holding: set[int] = set()  # marks that are or hold an article
         self.by_name: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # places of open block elements
 
@@ -115,7 +130,8 @@ class _Page:
             whole = " ".join("".join(self.text).split())
             if whole:
                 share = len("".join("".join(self.linked).split())) / len(whole.replace(" ", ""))
-                self.out.append(Block(whole, share, self.stack[-1].place, self.stack[self.blocks[-1]].name if self.blocks else ""))
+                up = self.stack[-1]
+                self.out.append(Block(whole, share, ARTICLE if up.article else REST, self.stack[self.blocks[-1]].name if self.blocks else "", up.within))
             self.text.clear()
             self.linked.clear()
 
@@ -170,10 +186,31 @@ class _Page:
         up = self.stack[-1]
         article = up.article or name in ("article", "main")
         side, hidden = _side(name, attributes, up.article) if name not in ("html", "body") else (False, False)
-        place = SIDE if side or up.place == SIDE else ARTICLE if article else REST
-        self.open(_Open(name, up.dropped or hidden or name in DROPPED, place, up.link or name == "a", article))
+        within = up.within
+        if side or name == "form":
+            within = (*within, len(self.marks))
+            self.marks.append(Mark(name == "form", up.article))
+        if name in ("article", "main"):
+            self.holding.update(within)
+        self.open(_Open(name, up.dropped or hidden or name in DROPPED, within, up.link or name == "a", article))
         return False
 
+    def placed(self) -> list[Block]:
+        """The blocks with their places, less those of forms. Of marks that hold an article, those with most of the page's
+        prose say nothing.
+        """
+        able = {k for k in self.holding if not self.marks[k].inside}
+        void: set[int] = set()
+        if able:
+            prose = [len(b.text) if len(b.text) >= LONG and b.linked <= LINKED and density(b.text) >= DENSE else 0 for b in self.out]
+            void = {k for k in able if 2 * sum(n for n, b in zip(prose, self.out, strict=True) if k in b.within) > sum(prose)}
+        out = []
+        for b in self.out:
+            left = [k for k in b.within if k not in void]
+            if not any(self.marks[k].form for k in left):
+                out.append(b._replace(place=SIDE if left else b.place))
+        return out
+
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in order."""
@@ -190,7 +227,7 @@ def blocks(page: str) -> list[Block]:
             at = e.end() if e else len(page)
     made.add(page[at:])
     made.end()
-    return made.out
+    return made.placed()
 
 
 def density(text: str) -> float:

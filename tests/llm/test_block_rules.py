@@ -80,3 +80,26 @@ def test_time_grows_with_the_page(page):
         html.main_text(page(n))
         took.append(time.process_time() - began)
     assert took[1] < 24 * max(took[0], 0.02)
+
+
+STORY = ["The cat sat on the mat and it was there for a long time with all of the others in the house by the sea.", "This is another paragraph that was written by the people who have been in the house for a very long time."]
+ABOUT = "We are the people who have been here for a long time and this is about us and all of the things that we do."
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<article class="post category-newsletter tag-cookies"><p>{0}</p><p>{1}</p></article><aside><p>{2}</p></aside>', [0, 1]),
+        ('<div class="elementor-widget"><article><p>{0}</p><p>{1}</p></article></div>', [0, 1]),
+        ('<article><p>{0}</p><p class="banner-text">{1}</p></article>', [0, 1]),
+        ('<article><p>{0}</p><p class="banner">{1}</p></article>', [0]),
+        ('<form action="x"><main><p>{0}</p><input><button>Send it now</button><p>{1}</p></main></form>', [0, 1]),
+        ('<article><p>{0}</p></article><form><p>{1}</p><p>{2}</p></form>', [0]),
+        ('<article><p>{0}</p></article><section class="replies"><p>{1}</p></section><div class="disclaimer"><p>{2}</p></div>', [0]),
+        ('<article><p>{0}</p><div class="comments"><article><p>{1}</p></article><article><p>{2}</p></article></div></article>', [0]),
+        ('<article><p>{0}</p><p>{1}</p></article><div class="comments"><article><p>{2}</p></article></div>', [0, 1]),
+    ],
+)
+def test_names_yield_to_the_article(page, kept):
+    texts = [*STORY, ABOUT]
+    assert html.main_text(page.format(*texts)) == "\n".join(texts[k] for k in kept)
