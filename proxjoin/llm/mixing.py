@@ -84,8 +84,10 @@ def schedule(plan: DataFrame) -> DataFrame:
         had = union_all(parts).groupBy("no_source", "source_key").agg(F.count("*").alias("had"))
         lacking = plan.join(had, ["no_source", "source_key"], "left").withColumn("lack", F.col("slots") - F.coalesce("had", F.lit(0))).where("lack > 0")
         further = lacking.agg(F.max(F.ceil((F.col("lack") + 2) * F.lit(float(n)) / F.col("slots")))).first()[0]
-        if further is None or end > WALKS * n + 4096:
+        if further is None:
             break
+        if end > WALKS * n + 4096:
+            raise RuntimeError(f"{end} points left a source of {n} slots without its words: they aren't evenly spread")
         more = int(further)
     hit = union_all(parts).join(plan.select("no_source", "source_key", "slots"), ["no_source", "source_key"]).withColumn("run", F.shiftright("slot", 13))
     ranked = prefix_sums(hit, ["no_source", "source_key"], "run", ["slot"], {"rank": F.lit(1)})
