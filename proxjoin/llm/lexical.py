@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from proxjoin.llm.common import materialize
 
 #: Tokens of a shard, unless one document has more.
-TOKENS = 1 << 21
+TOKENS = 1 << 20
 #: Postings of a block at most, and what a block costs in units of impact.
 WIDTH, BLOCK_COST = 64, 1_000_000
 #: Items of a block, and documents that are scored at a time.
