@@ -180,9 +180,11 @@ REPLACED = [(WITH, 1, ""), *[(EITHER, 2, "\n\nSPDX-License-Identifier ")] * (CHO
 
 
 def _replaced(text: Column) -> Column:
+    tagged = text
     for pattern, groups, after in REPLACED:
-        text = F.regexp_replace(text, pattern, "".join(f"${g}" for g in range(1, groups + 1)) + after)
-    return F.regexp_replace(text, HOLDER, "$1$2 $3")
+        tagged = F.regexp_replace(tagged, pattern, "".join(f"${g}" for g in range(1, groups + 1)) + after)
+    tags = F.lower(text).contains("spdx-license-identifier")  # most texts have none
+    return F.regexp_replace(F.when(tags, tagged).otherwise(text), HOLDER, "$1$2 $3")
 
 
 def _replaced_sql(text: str) -> str:
