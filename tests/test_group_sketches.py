@@ -30,6 +30,7 @@ def test_no_frequent_group_is_lost(spark, capacity):
     above = {k for k, n in counts.items() if n > more_than}
     assert above and above <= set(got)
     for key, r in got.items():
+        assert r["avg"] == pytest.approx(r["sum"] / r["count"])
         assert r["count"] >= counts[key] and r["sum"] >= sums[key] - 1e-6 and r["count"] <= counts[key] + 0.01 * len(rows)
 
 
