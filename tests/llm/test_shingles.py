@@ -87,3 +87,44 @@ def test_fingerprints_of_near_sets_are_near():
             if 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)):
                 x, y = (int.from_bytes(shingles.simhash_128(shingles.np.array(sorted(s), "<u8")), "little") for s in (a, b))
                 assert (x ^ y).bit_count() <= shingles.RADIUS
+
+
+def test_families_in_blocks_are_brute_force(spark):
+    """Families of several blocks, one component much the largest, beside families of one."""
+    data = rows()
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    for k in range(60):  # most are close to the first, every fourth is between 0.6 and 0.9 from all
+        words = list(base)
+        for _ in range(10 if k % 4 == 0 else 2):
+            words[rnd.randrange(len(words))] = f"u{rnd.randrange(9000)}"
+        data.append((1000 + k, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for block in (1, 20_000):
+        got = defaultdict(list)
+        for r in shingles.near_duplicates(docs, block=block).collect():
+            got[r.root].append(str(r.doc_id))
+        assert sorted(map(sorted, got.values())) == grouped(data)
+
+
+def test_links_of_two_blocks_connect_what_is_similar_across():
+    import numpy as np
+
+    rnd = random.Random(3)
+    for _ in range(30):
+        base = rnd.sample(range(1 << 62), rnd.choice([1, 2, 5, 40]))
+        sets = [np.unique(np.array([x if rnd.random() > rnd.choice([0.02, 0.1, 0.3]) else rnd.randrange(1 << 62) for x in base], "<u8")) for _ in range(12)]
+        own, roots = [rnd.randrange(2) for _ in sets], [rnd.choice([k, 100]) for k in range(12)]
+        found = shingles._links(list(range(12)), own, roots, [shingles.simhash_128(s) for s in sets], [s.tobytes() for s in sets])
+
+        def classes(pairs):
+            root = {k: k for k in range(12)}
+            for a, b in pairs:
+                root = {k: root[a] if r == root[b] else r for k, r in root.items()}
+            return {tuple(root[k] == root[m] for m in range(12)) for k in range(12)}
+
+        given = [(a, b) for a in range(12) for b in range(a) if roots[a] == roots[b]]
+        across = len(set(own)) > 1
+        want = [(a, b) for a in range(12) for b in range(a) if (own[a] != own[b] or not across) and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))]
+        assert classes(given + found) == classes(given + want)
+        assert all(roots[a] != roots[b] for a, b in found)
