@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 from operator import and_
@@ -186,21 +186,8 @@ def index_range(indexed: DataFrame, low: float, high: float, include: str = "bot
     return indexed.where(over & (key <= high if include in ("both", "high") else key < high))
 
 
-def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", kind: str = "cosine", block: int = 1024) -> DataFrame:
-    """(id_a, id_b, distance) with id_a < id_b of rows of array vectors within the radius, by pairs of blocks.
-
-    Rows are dealt to blocks of about ``block`` by a hash of the id; a pair of blocks is a key, so a task holds two blocks
-    at a time, whatever the data, and compares them by one matrix product. All vectors must have one length; rows
-    without a vector have no pairs. Zero vectors are at cosine distance 1 from all. The number of pairs of blocks grows
-    with the square of the table: this is for radii at which nothing can be left out, on tables of up to some millions.
-    """
-    if kind == "cosine" and radius >= 1:
-        raise ValueError("within a cosine distance of 1 everything matches")
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    dealt = rows.withColumn("own", own).select("id", "v", "own", F.inline(met))
+def tile(kind: str, radius: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The comparison of a pair of blocks (i, j): rows (id, v, own), own being their block."""
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, ids = np.stack(group["v"].to_list()), group["id"].to_numpy()
@@ -227,7 +214,26 @@ def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", k
         left, right = ids[a][p], ids[b][q]
         return pd.DataFrame({"id_a": np.minimum(left, right), "id_b": np.maximum(left, right), "distance": d})
 
-    return dealt.groupBy("i", "j").applyInPandas(compare, "id_a long, id_b long, distance double")
+    return compare
+
+
+def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", kind: str = "cosine", block: int = 1024) -> DataFrame:
+    """(id_a, id_b, distance) with id_a < id_b of rows of array vectors within the radius, by pairs of blocks.
+
+    Rows are dealt to blocks of about ``block`` by a hash of the id; a pair of blocks is a key, so a task holds two blocks
+    at a time, whatever the data, and compares them by one matrix product. All vectors must have one length; rows
+    without a vector have no pairs. Zero vectors are at cosine distance 1 from all. The number of pairs of blocks grows
+    with the square of the table: this is for radii at which nothing can be left out, on tables of up to some millions.
+    """
+    if kind == "cosine" and radius >= 1:
+        raise ValueError("within a cosine distance of 1 everything matches")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = rows.withColumn("own", own).select("id", "v", "own", F.inline(met))
+
+    return dealt.groupBy("i", "j").applyInPandas(tile(kind, radius), "id_a long, id_b long, distance double")
 
 
 def pairs_of(streams: Sequence[str]) -> list[tuple[str, str]]:

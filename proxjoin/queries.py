@@ -19,6 +19,7 @@ from proxjoin.functions import geometry
 from proxjoin.functions.predicates import members, where
 from proxjoin.operators import aggregate, approx, cluster, counting, grid, groups, join, sketch, voronoi, window
 from proxjoin.operators.index import StoredIndex
+from proxjoin.operators.near import near_pairs
 from proxjoin.plans.config import Clause, EngineConfig, parse
 from proxjoin.plans.engine import run, run_shared
 from proxjoin.plans import windowed
@@ -367,6 +368,13 @@ def cosine_pair_embeddings(spark, folder):
     return join.array_pairs(files.parquet(spark, folder, "embeddings"), "embedding", 0.6, "vec_id").withColumn("distance", F.round("distance", 6))
 
 
+@_query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, 1-greatest(0.0, list_dot_product(a.e,b.e)/(sqrt(list_dot_product(a.e,a.e))*sqrt(list_dot_product(b.e,b.e)))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT id_a, id_b, round(d, 6) AS distance FROM p WHERE d <= 0.5""")
+def cosine_pairs_pruned(spark, folder):
+    return near_pairs(files.parquet(spark, folder, "embeddings"), "embedding", 0.5, "vec_id").withColumn("distance", F.round("distance", 6))
+
+
 COS = "(1-greatest(0.0,({0}.x*{1}.x+{0}.y*{1}.y)/(sqrt({0}.x*{0}.x+{0}.y*{0}.y)*sqrt({1}.x*{1}.x+{1}.y*{1}.y))))"
 
 
