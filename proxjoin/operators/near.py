@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from proxjoin.operators.join import tile
 from proxjoin.sources.scratch import stored
 
-PIVOTS, BLOCK = 32, 1024
+PIVOTS, BLOCK = 128, 1024
 #: Relative error that computed distances to pivots may have, and what is added to a cosine radius for its rounding.
 SLACK, COSINE_SLACK = 1e-12, 1e-12
 

@@ -39,7 +39,7 @@ def test_pairs_are_brute_force(spark, kind, radius, block):
 
 def test_small_radii_leave_out_most_pairs(spark):
     frame = spark.createDataFrame(clustered(), SCHEMA)
-    near = NearPairs(frame, "v", 0.002, pivots=8, block=16)
+    near = NearPairs(frame, "v", 0.002)
     share = near.share().first()
     assert share.pairs == 240 * 239 // 2 and share.skipped > 0.8
     want = {(r.id_a, r.id_b) for r in array_pairs(frame, "v", 0.002).collect()}
