@@ -144,13 +144,15 @@ def area_fraction(point: Axes, lows: Axes, length: float, radius: float, steps:
     return reduce(add, total) / F.lit(float(steps**n))
 
 
+def radius_weight(point: Axes, lows: Axes, highs: Axes, length: float, replica: Column, radius: float, formula: str = "edges") -> Column:
+    """A copy's weight for one radius: 1 at home and where the cell is enclosed, its share where the sphere meets it, else null."""
+    share = volume_ratio(point, lows, highs, radius, length) if formula == "edges" else area_fraction(point, lows, length, radius)
+    return F.when(~replica | enclosed(point, lows, highs, radius), F.lit(1.0)).when(intersected(point, lows, highs, radius), share)
+
+
 def query_weights(point: Axes, lows: Axes, highs: Axes, length: float, replica: Column, radii: dict[str, float], formula: str = "edges") -> Column:
-    """A copy's weight for each query of a group as a map: 1 at home and where the cell is enclosed, its share where
-    the sphere meets it, no entry elsewhere. A copy made for the largest radius serves all queries by it.
+    """A copy's weight for each query of a group as a map, without an entry where the sphere doesn't reach. A copy made for
+    the largest radius serves all queries by it.
     """
-    entries = []
-    for name, r in radii.items():
-        share = volume_ratio(point, lows, highs, r, length) if formula == "edges" else area_fraction(point, lows, length, r)
-        weight = F.when(~replica | enclosed(point, lows, highs, r), F.lit(1.0)).when(intersected(point, lows, highs, r), share)
-        entries.append(F.struct(F.lit(name).alias("key"), weight.alias("value")))
+    entries = [F.struct(F.lit(name).alias("key"), radius_weight(point, lows, highs, length, replica, r, formula).alias("value")) for name, r in radii.items()]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))

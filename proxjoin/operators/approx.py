@@ -9,8 +9,9 @@ Members of a cell count as independent, so counts lean upwards; averages are clo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import mul
+from operator import and_, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,15 +92,91 @@ def per_cell(cells: DataFrame, n: int, a: int) -> DataFrame:
     return cells.withColumn("joinCount", prod("N") - prod("R")).withColumn("joinSum", F.col("V") * prod("N", a) - F.col("U") * prod("R", a))
 
 
-def estimate(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", query_id: str | None = None, by_sketch: bool = False) -> DataFrame:
-    """joinCount, joinSum, joinAvg over all cells, from their exact totals or from sketches."""
-    totals = (sketched_totals if by_sketch else cell_totals)(streams, on, radius, stream, field, formula)
-    cells = per_cell(totals, len(streams), list(streams).index(stream))
+def _summed(cells: DataFrame, query_id: str | None) -> DataFrame:
     out = cells.agg(F.coalesce(F.sum("joinCount"), F.lit(0.0)).alias("joinCount"), F.coalesce(F.sum("joinSum"), F.lit(0.0)).alias("joinSum"))
     out = out.withColumn("joinAvg", average(F.col("joinSum"), F.col("joinCount")))
     return out.select(F.lit(query_id).alias("queryId"), "*") if query_id else out
 
 
+def estimate(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", query_id: str | None = None, by_sketch: bool = False) -> DataFrame:
+    """joinCount, joinSum, joinAvg over all cells, from their exact totals or from sketches."""
+    totals = (sketched_totals if by_sketch else cell_totals)(streams, on, radius, stream, field, formula)
+    return _summed(per_cell(totals, len(streams), list(streams).index(stream)), query_id)
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A query of a group: its streams, and the stream and field of its sum."""
+
+    id: str
+    radius: float
+    names: tuple[str, ...]
+    stream: str
+    field: str
+
+
+BITS = "_queries"
+MOST = 62
+
+
+def bit(i: int, bits: str | Column = BITS) -> Column:
+    """The i-th query's bit is set in a bitmap."""
+    return (F.col(bits) if isinstance(bits, str) else bits).bitwiseAND(F.lit(1 << i)) != 0
+
+
+def group_totals(streams: dict[str, DataFrame], on: Sequence[str], asked: Sequence[Asked], formula: str = "area") -> DataFrame:
+    """(cells, and for the i-th query N_i_k, R_i_k, V_i, U_i): the totals of all queries of a group from one set of copies.
+
+    Rows of all streams, each with the bitmap ``_queries`` of the queries that it takes part in, are copied once, for the
+    largest radius, over the cells of the least; a copy has a weight for each radius, null where that doesn't reach its cell.
+    A query alone needs its own columns only, and Spark leaves out the others' weights and sums.
+    """
+    if len(asked) > MOST:
+        raise ValueError(f"a bitmap holds {MOST} queries, not {len(asked)}")
+    on, fields, radii = sorted(on), sorted({q.field for q in asked}), sorted({q.radius for q in asked})
+    length, keys = geometry.cell_length(radii[0], len(on)), [f"cell_{i}" for i in range(len(on))]
+    value = lambda df, f: F.col(f"`{f}`").cast("double") if f in df.columns else F.lit(None).cast("double")
+    parts = []
+    for name, df in streams.items():
+        axes = [F.col(f"`{a}`").cast("double") for a in on]
+        rows = df.dropna(subset=on).where(reduce(and_, [F.abs(x) < float("inf") for x in axes]))
+        parts.append(rows.select(*[x.alias(f"_x_{i}") for i, x in enumerate(axes)], F.lit(name).alias("_stream"), BITS, *[value(df, f).alias(f"_v_{j}") for j, f in enumerate(fields)]))
+    point = [F.col(f"_x_{i}") for i in range(len(on))]
+    copies = replicate(reduce(DataFrame.unionByName, parts), point, length, radii[-1], prefix="cell_")
+    lows, highs = [geometry.low(F.col(c), length) for c in keys], [geometry.high(F.col(c), length) for c in keys]
+    copies = copies.withColumns({f"_w_{j}": geometry.radius_weight(point, lows, highs, length, F.col("isReplica"), r, formula) for j, r in enumerate(radii)})
+    only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
+    aggs = []
+    for i, q in enumerate(asked):
+        w = F.col(f"_w_{radii.index(q.radius)}")
+        for k, name in enumerate(q.names):
+            of = (F.col("_stream") == name) & bit(i)
+            aggs += [only(w, of).alias(f"N_{i}_{k}"), only(w, of & F.col("isReplica")).alias(f"R_{i}_{k}")]
+        of, v = (F.col("_stream") == q.stream) & bit(i), w * F.col(f"_v_{fields.index(q.field)}")
+        aggs += [only(v, of).alias(f"V_{i}"), only(v, of & F.col("isReplica")).alias(f"U_{i}")]
+    return copies.groupBy(*keys).agg(*aggs)
+
+
+def of_group(totals: DataFrame, i: int, q: Asked) -> DataFrame:
+    """The i-th query's estimate from its group's totals."""
+    own = [F.col(f"{n}_{i}_{k}").alias(f"{n}_{k}") for n in "NR" for k in range(len(q.names))]
+    cells = totals.select(*own, F.col(f"V_{i}").alias("V"), F.col(f"U_{i}").alias("U"))
+    return _summed(per_cell(cells, len(q.names), q.names.index(q.stream)), q.id)
+
+
+def estimate_group(streams: dict[str, DataFrame], on: Sequence[str], asked: Sequence[Asked], formula: str = "area") -> DataFrame:
+    """queryId, joinCount, joinSum, joinAvg of all queries of a group in one plan: one set of copies, one shuffle of cells."""
+    sums = []
+    for i, q in enumerate(asked):
+        a, n = q.names.index(q.stream), range(len(q.names))
+        prod = lambda name, skip=-1, i=i, n=n: reduce(mul, [F.col(f"{name}_{i}_{k}") for k in n if k != skip], F.lit(1.0))
+        sums += [F.sum(prod("N") - prod("R")).alias(f"c_{i}"), F.sum(F.col(f"V_{i}") * prod("N", a) - F.col(f"U_{i}") * prod("R", a)).alias(f"s_{i}")]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit(q.id).alias("queryId"), zero(f"c_{i}").alias("joinCount"), zero(f"s_{i}").alias("joinSum")) for i, q in enumerate(asked)])
+    out = group_totals(streams, on, asked, formula).agg(*sums).select(F.inline(rows))
+    return out.withColumn("joinAvg", average(F.col("joinSum"), F.col("joinCount")))
+
+
 def same_cell(streams: dict[str, DataFrame], on: Sequence[str], length: float, stream: str, field: str) -> DataFrame:
     """Per-cell products without copies: cells, one count for each stream (n_k), joinCount, joinSum."""
     on = sorted(on)

@@ -464,6 +464,12 @@ def multi_query_shared(spark, folder):
     return run_shared(_two_radii(), streams(spark, folder)).select("queryId", "count", F.round("sum", 2).alias("sum"))
 
 
+@_query(f"WITH {E} {_GROUP}")
+def multi_query_stored(spark, folder):
+    results = run(_two_radii(), streams(spark, folder), stored=True)
+    return results["near"].aggregates[0].unionByName(results["far"].aggregates[0]).select("queryId", "count", F.round("sum", 2).alias("sum"))
+
+
 @_query(f"WITH {E} SELECT b.event_type, count(*) AS count, round(sum(a.y), 2) AS sum, round(sum(a.x), 2) AS sum_x, round(sum(a.x)/count(*), 6) AS avg_x {_clique()} GROUP BY b.event_type")
 def agg_group_fields(spark, folder):
     out = aggregate.grouped(join.clique_join(streams(spark, folder), XY, R), "s0", [("s1", "event_type")], ["y", "x"])
@@ -545,6 +551,35 @@ def approx_weighted(spark, folder):
     return approx.estimate(streams(spark, folder), XY, R, "s0", "y").select(F.round("joinCount", 2).alias("joinCount"), F.round("joinSum", 2).alias("joinSum"), F.round("joinAvg", 4).alias("joinAvg"))
 
 
+_LG = geometry.cell_length(_RADII["near"], 2)
+_SIDES = (("near", _RADII["near"], True, S), ("far", R, False, S[:2]))
+
+
+def _shares(r: float) -> str:
+    at = [f"cell_{i}*{_LG!r}" for i in (0, 1)]
+    far = "+".join(f"pow(greatest(abs({a}-{x}), abs({a}+{_LG!r}-{x})), 2)" for a, x in zip(at, XY, strict=True))
+    part = f"len(list_filter(range(144), lambda k: pow({at[0]}+((k%12)+0.5)*{_LG / 12!r}-x,2)+pow({at[1]}+((k//12)%12+0.5)*{_LG / 12!r}-y,2) <= {r * r}))/144.0"
+    return f"CASE WHEN NOT rep OR {far} < {r * r} THEN 1.0::DOUBLE ELSE ({part})::DOUBLE END"
+
+
+def _estimate_sql(name: str, r: float, clicks: bool, names: list[str]) -> str:
+    rows = "FROM r WHERE event_type='click' OR s<>'s0'" if clicks else "FROM r"
+    sums = ", ".join(f"coalesce(sum(wt) FILTER (s='{s}'),0) AS n{k}, coalesce(sum(wt) FILTER (s='{s}' AND rep),0) AS r{k}" for k, s in enumerate(names))
+    n, c, cr = range(len(names)), "*".join(f"n{k}" for k in range(1, len(names))), "*".join(f"r{k}" for k in range(1, len(names)))
+    cells = f"SELECT cell_0, cell_1, {sums}, coalesce(sum(wt*y) FILTER (s='s0'),0) AS v, coalesce(sum(wt*y) FILTER (s='s0' AND rep),0) AS u FROM (SELECT *, {_shares(r)} AS wt {rows}) GROUP BY ALL"
+    return f"SELECT '{name}' AS \"queryId\", round(sum({'*'.join(f'n{k}' for k in n)}-{'*'.join(f'r{k}' for k in n)}), 2) AS \"joinCount\", round(sum(v*{c}-u*{cr}), 1) AS \"joinSum\" FROM ({cells})"
+
+
+@_query(f"""WITH {E}, o(i, j) AS (VALUES {_offset_values(geometry.offsets(R, _LG, 2))}),
+r AS (SELECT e.*, floor(x/{_LG!r})::BIGINT + i AS cell_0, floor(y/{_LG!r})::BIGINT + j AS cell_1, i <> 0 OR j <> 0 AS rep FROM e CROSS JOIN o) {" UNION ALL ".join(_estimate_sql(*side) for side in _SIDES)}""")
+def approx_group(spark, folder):
+    fields = [{"name": "tupleId", "type": "string"}, {"name": "x", "type": "double"}, {"name": "y", "type": "double"}, {"name": "event_type", "type": "string"}]
+    clicks = [{"type": "where", "clauses": [{"stream": "s0", "field": "event_type", "operator": "eq", "value": "click"}]}]
+    stages = lambda r, some, names: [{"type": "join", "between": names, "on": XY, "radius": r}, *clicks * some, {"type": "sum", "aggregateStream": "s0", "aggregatableFields": ["y"]}]
+    config = parse({"approximate": True, "streams": [{"id": s, "fields": fields} for s in S], "queries": [{"id": n, "stages": stages(*rest)} for n, *rest in _SIDES]})
+    return run_shared(config, streams(spark, folder)).select("queryId", F.round("joinCount", 2).alias("joinCount"), F.round("joinSum", 1).alias("joinSum"))
+
+
 _CELLS = ", ".join(f"coalesce(max(w) FILTER (k={k} AND NOT g), 0) AS n{k}, coalesce(max(w) FILTER (k={k} AND g), 0) AS r{k}" for k in range(3))
 
 
