@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from proxjoin.functions import distance as D
 from proxjoin.functions import geometry
-from proxjoin.operators.grid import replicate
+from proxjoin.operators.grid import copy_counts, crowded_cells, dealt, replicate
+from proxjoin.sources import scratch
 
 SEP = "__"
 
@@ -51,6 +52,7 @@ def _span(streams: Sequence[str], band: tuple[str, int]) -> Column:
 def clique_join(
     streams: dict[str, DataFrame], on: Sequence[str], radius: float, kind: str = "euclidean", id_col: str = "tupleId",
     r_min: float | None = None, r_max: float | None = None, ring: str = "full", band: tuple[str, int] | None = None, salt: int = 1,
+    rows_per_part: int | None = None,
 ) -> DataFrame:
     """Combinations as wide rows: ``<stream>__<column>`` and joinId.
 
@@ -59,10 +61,17 @@ def clique_join(
     below 1 is joined on unit vectors. ``salt`` spreads the first stream's rows of a cell over that many partitions;
     ``band`` (column, width) keeps combinations whose column differs by less than the width. Nulls and numbers
     that aren't finite on an axis join nothing. A join of one stream has no combinations.
+
+    With ``rows_per_part`` cells follow the density: a first count of cells, stored in the shared folder, finds those where a
+    stream has more rows, and deals all streams' rows there into parts of about that many. A cell's rows are near one
+    another, so smaller cells would save no comparison, and would not help where many rows share one point; parts do.
+    Rows with equal ids and axes stay together.
     """
     names, on = list(streams), sorted(on)
     if len(names) < 2:
         raise ValueError("a join needs two streams or more")
+    if rows_per_part is not None and (rows_per_part < 1 or salt > 1):
+        raise ValueError("rows_per_part is 1 or more, and takes the place of salt")
     if kind not in ("euclidean", "cosine") or kind == "cosine" and radius >= 1:
         return nested_loop_join(streams, on, radius, kind, id_col, band)
     reach = D.cosine_as_euclidean if kind == "cosine" else float
@@ -71,27 +80,34 @@ def clique_join(
         raise ValueError("a grid needs a radius above 0")
     length = geometry.cell_length(low, len(on))
     keys = [f"_cell_{i}" for i in range(len(on) + (band is not None))]
-    out: DataFrame | None = None
-    for k, (name, df) in enumerate(streams.items()):
+    placed = []
+    for name, df in streams.items():
         df = _prefixed(df.dropna(subset=list(on)), name)
         axes = _axes(name, on)
         df = df.where(reduce(and_, [F.abs(x) < float("inf") for x in axes]))
         if kind == "cosine":
             df, axes = df.where(reduce(lambda a, b: a | b, [x != 0 for x in axes])), D.normalise(axes)
-        extra = (F.col(f"`{name}{SEP}{band[0]}`"), band[1]) if band else None
-        copies = replicate(df, axes, length, top, ring, "_cell_", extra).withColumnRenamed("isReplica", f"_rep_{k}")
+        placed.append((name, df, (axes, length, top, ring, "_cell_", (F.col(f"`{name}{SEP}{band[0]}`"), band[1]) if band else None)))
+    crowded = None
+    if rows_per_part is not None:
+        crowded = scratch.stored(crowded_cells([copy_counts(df, *where) for _, df, where in placed], keys, rows_per_part))
+    out: DataFrame | None = None
+    for k, (name, df, where) in enumerate(placed):
+        copies = replicate(df, *where).withColumnRenamed("isReplica", f"_rep_{k}")
+        if crowded is not None:
+            copies = dealt(copies, crowded, keys, k, F.xxhash64(f"`{name}{SEP}{id_col}`", *where[0]))
         if salt > 1:
             part = F.pmod(F.xxhash64(f"`{name}{SEP}{id_col}`"), F.lit(salt)).cast("int") if k == 0 else F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
             copies = copies.withColumn("_salt", part)
         if out is None:
             out = copies
             continue
-        out = out.join(copies, keys + ["_salt"] * (salt > 1)).where(_within(names[:k], name, on, radius, kind))
+        out = out.join(copies, keys + ["_salt"] * (salt > 1) + ["_part"] * (crowded is not None)).where(_within(names[:k], name, on, radius, kind))
         if band:
             out = out.where(_span(names[: k + 1], band))
     copied = [f"_rep_{k}" for k in range(len(names))]
     out = out.where(~reduce(and_, [F.col(c) for c in copied]))
-    return out.drop(*keys, *copied, "_salt").withColumn("joinId", join_id(names, id_col))
+    return out.drop(*keys, *copied, "_salt", "_part").withColumn("joinId", join_id(names, id_col))
 
 
 def nested_loop_join(streams: dict[str, DataFrame], on: Sequence[str], radius: float, kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None) -> DataFrame:

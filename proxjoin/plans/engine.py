@@ -88,14 +88,14 @@ def _estimated(group: QueryGroup, tables: dict[str, DataFrame], compat_eq: str)
     return out
 
 
-def _together(qs: Sequence[Query], group: QueryGroup, tables: dict[str, DataFrame], id_col: str, compat_eq: str) -> DataFrame:
+def _together(qs: Sequence[Query], group: QueryGroup, tables: dict[str, DataFrame], id_col: str, compat_eq: str, per_part: int | None) -> DataFrame:
     """Combinations of queries with the same streams, joined once within their largest radius, with the bitmap of the
     queries that each belongs to, by its distances and its members' clauses.
     """
     names, euclidean = qs[0].between, group.distance == "euclidean"
     low, top = min(q.radius for q in qs), max(q.radius for q in qs)
     marked = _marked(tables, qs, compat_eq)
-    wide = clique_join({s: marked[s] for s in names}, group.on, top, group.distance, id_col, low if euclidean else None, top if euclidean else None)
+    wide = clique_join({s: marked[s] for s in names}, group.on, top, group.distance, id_col, low if euclidean else None, top if euclidean else None, rows_per_part=per_part)
     own = [f"{s}{SEP}{approx.BITS}" for s in names]
     passed = reduce(lambda a, b: a.bitwiseAND(b), [F.col(f"`{c}`") for c in own])
     near = lambda q: F.lit(True) if q.radius == top else within_all(names, group.on, q.radius, group.distance)
@@ -124,7 +124,7 @@ def run_shared(config: EngineConfig, tables: dict[str, DataFrame], id_col: str =
             parts += [approx.estimate_group(streams, on, asked) for streams, on, asked in _estimated(group, tables, compat_eq)]
             continue
         for qs in _by_streams(group):
-            wide, entries = _together(qs, group, tables, id_col, compat_eq), []
+            wide, entries = _together(qs, group, tables, id_col, compat_eq, config.clustering.get("rowsPerPart")), []
             for i, q in enumerate(qs):
                 spec = next((a for a in q.aggregates if a.stream and a.fields), None)
                 value = F.col(f"`{spec.stream}{SEP}{spec.fields[0]}`").cast("double") if spec else F.lit(0.0)
@@ -142,7 +142,8 @@ def run(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tuple
     where the configuration asks for k-means, the centroids fitted here to the group's streams.
 
     In approximate mode a group's estimates come from one set of copies. With ``stored``, combinations of queries of a group
-    with the same streams are joined once, written to the shared folder, and all results are read from there.
+    with the same streams are joined once, written to the shared folder, and all results are read from there. Clustering's
+    ``rowsPerPart`` deals crowded cells of a grid into parts.
     """
     out: dict[str, Results] = {}
     for group in groups(config.queries):
@@ -165,14 +166,14 @@ def run(config: EngineConfig, tables: dict[str, DataFrame], id_col: str = "tuple
             centroids = voronoi.fitted({s: tables[s] for s in group.streams}, group.on, int(known.get("k", 16)), int(known.get("iterations", 20)), group.distance)
         elif stored:
             for qs in _by_streams(group):
-                once = scratch.stored(_together(qs, group, tables, id_col, compat_eq))
+                once = scratch.stored(_together(qs, group, tables, id_col, compat_eq, config.clustering.get("rowsPerPart")))
                 joined |= {q.id: once.where(approx.bit(i)).drop(approx.BITS) for i, q in enumerate(qs)}
         for q in group.queries:
             streams = {s: where(tables[s], s, q.where, compat_eq) for s in q.between}
             if q.id in joined:
                 wide = joined[q.id]
             elif centroids is None:
-                wide = clique_join(streams, q.on, q.radius, q.distance, id_col, group.r_min, group.r_max if q.distance == "euclidean" else None)
+                wide = clique_join(streams, q.on, q.radius, q.distance, id_col, group.r_min, group.r_max if q.distance == "euclidean" else None, rows_per_part=config.clustering.get("rowsPerPart"))
             else:
                 wide = voronoi.voronoi_join(streams, q.on, q.radius, centroids, q.distance, id_col)
             shared = [c for c in tables[q.between[0]].columns if all(c in tables[s].columns for s in q.between) and c != "streamId"]

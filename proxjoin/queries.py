@@ -274,6 +274,23 @@ def clique3_salted(spark, folder):
     return _ids(join.clique_join(streams(spark, folder), XY, R, salt=4))
 
 
+PER_PART = 16
+
+
+@_query(CLIQUE_IDS)
+def clique3_crowded(spark, folder):
+    return _ids(join.clique_join(streams(spark, folder), XY, R, rows_per_part=PER_PART))
+
+
+_N = [f"count(*) FILTER (s='{s}')" for s in S]
+
+
+@_query(f"WITH {REPLICAS} SELECT cell_0, cell_1, {', '.join(f'CASE WHEN least({chr(44).join(_N)}) > 0 THEN ceil({n}/{PER_PART}.0) ELSE 0 END::BIGINT AS p_{k}' for k, n in enumerate(_N))} FROM r GROUP BY ALL HAVING greatest({', '.join(_N)}) > {PER_PART}")
+def crowded_cells(spark, folder):
+    counts = [grid.copy_counts(df, [F.col("x"), F.col("y")], L2, R) for df in streams(spark, folder).values()]
+    return grid.crowded_cells(counts, ["cell_0", "cell_1"], PER_PART)
+
+
 @_query(f"""WITH {E}, j AS (SELECT a.id AS i0, b.id AS i1, c.id AS i2, {JOIN_ID} {_clique()}),
 m AS (SELECT "joinId", unnest([i0, i1, i2]) AS id FROM j) SELECT m.id AS "tupleId", e.x, e.y, e.s AS "streamId", "joinId", false AS "isExpired", 'q' AS "queryId" FROM m JOIN e USING (id)""")
 def clique3_long(spark, folder):
