@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Axes = Sequence[Column]
+STEPS = 12
 
 
 def cell_length(r_min: float, dimensions: int) -> float:
@@ -126,22 +127,25 @@ def volume_ratio(point: Axes, lows: Axes, highs: Axes, radius: float, length: fl
     return F.abs(reduce(mul, factors) / F.lit(length**n))
 
 
-def area_fraction(point: Axes, lows: Axes, length: float, radius: float, steps: int = 12) -> Column:
+def points_of_line(point: Axes, lows: Axes, at: Axes, length: float, radius: float, steps: int) -> Column:
+    """How many of a line's ``steps`` points along the last axis lie within the sphere; ``at`` is the line's place on the other axes."""
+    step, centre = length / steps, point[-1] - lows[-1]
+    off = [lows[j] + a - point[j] for j, a in enumerate(at)]
+    half = F.sqrt(F.lit(radius * radius) - reduce(add, [a * a for a in off], F.lit(0.0)))  # NaN where the line misses it
+    first = F.greatest(F.ceil((centre - half) / F.lit(step) - 0.5), F.lit(0))
+    last = F.least(F.floor((centre + half) / F.lit(step) - 0.5), F.lit(steps - 1))
+    return F.when(F.isnan(half), F.lit(0)).otherwise(F.greatest(last - first + 1, F.lit(0)))
+
+
+def area_fraction(point: Axes, lows: Axes, length: float, radius: float, steps: int = STEPS) -> Column:
     """Share of the cell within the sphere by a regular grid of ``steps`` points along each axis.
 
     Points lie in lines along the last axis; of each line the sphere holds one run, whose length follows from where the
     line enters and leaves it, so a line is one term and not ``steps``.
     """
     n, step = len(point), length / steps
-    total = []
-    for line in product(range(steps), repeat=n - 1):
-        at = [lows[j] + F.lit((k + 0.5) * step) - point[j] for j, k in enumerate(line)]
-        half = F.sqrt(F.lit(radius * radius) - reduce(add, [a * a for a in at], F.lit(0.0)))  # NaN where the line misses it
-        centre = point[-1] - lows[-1]
-        first = F.greatest(F.ceil((centre - half) / F.lit(step) - 0.5), F.lit(0))
-        last = F.least(F.floor((centre + half) / F.lit(step) - 0.5), F.lit(steps - 1))
-        total.append(F.when(F.isnan(half), F.lit(0)).otherwise(F.greatest(last - first + 1, F.lit(0))))
-    return reduce(add, total) / F.lit(float(steps**n))
+    lines = product(range(steps), repeat=n - 1)
+    return reduce(add, [points_of_line(point, lows, [F.lit((k + 0.5) * step) for k in line], length, radius, steps) for line in lines]) / F.lit(float(steps**n))
 
 
 def radius_weight(point: Axes, lows: Axes, highs: Axes, length: float, replica: Column, radius: float, formula: str = "edges") -> Column:

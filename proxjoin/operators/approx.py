@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 from operator import and_, mul
 
 from pyspark.sql import Column, DataFrame
@@ -50,11 +51,41 @@ def weighted(streams: dict[str, DataFrame], on: Sequence[str], radius: float, st
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_lines(copies: DataFrame, point: Sequence[Column], cells: Sequence[Column], length: float, radii: Sequence[float], steps: int = geometry.STEPS) -> DataFrame:
+    """Copies whose weights are to be added up, as rows whose ``_w_<j>`` add up to ``steps`` ** axes times the weight for the
+    j-th of ascending radii.
+
+    A copy at home or in an enclosed cell is one row, one that the largest radius doesn't reach none, any other a row for
+    each line of the cell's points: all lines in one expression would be a method too large for the JVM to compile.
+    """
+    lows, highs, n = [geometry.low(c, length) for c in cells], [geometry.high(c, length) for c in cells], len(point)
+    row = lambda whole, line: F.struct(F.lit(whole).alias("_whole"), *[F.lit((k + 0.5) * length / steps).alias(f"_line_{j}") for j, k in enumerate(line)])
+    lines = F.array(*[row(False, line) for line in product(range(steps), repeat=n - 1)])
+    whole = ~F.col("isReplica") | geometry.enclosed(point, lows, highs, radii[0])
+    met = copies.where(whole | (geometry.box_squared(point, lows, highs) < F.lit(radii[-1] ** 2)))
+    out = met.select("*", F.inline(F.when(whole, F.array(row(True, (0,) * (n - 1)))).otherwise(lines)))
+    at, weights = [F.col(f"_line_{j}") for j in range(n - 1)], {}
+    for j, r in enumerate(radii):
+        some = F.when(geometry.enclosed(point, lows, highs, r), F.lit(steps)).otherwise(geometry.points_of_line(point, lows, at, length, r, steps))
+        weights[f"_w_{j}"] = F.when(F.col("_whole"), F.lit(steps**n)).otherwise(some).cast("double")
+    return out.withColumns(weights).drop("_whole", *[f"_line_{j}" for j in range(n - 1)])
+
+
 def cell_totals(streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, formula: str = "area", length: float | None = None) -> DataFrame:
-    """(cells, N_k and R_k for the k-th stream, V, U): partial sums first, then one row for each cell."""
-    rows = weighted(streams, on, radius, stream, field, formula, length)
-    keys = [f"cell_{i}" for i in range(len(on))]
-    only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
+    """(cells, N_k and R_k for the k-th stream, V, U): partial sums first, then one row for each cell that a weight reaches."""
+    on, keys, unit = sorted(on), [f"cell_{i}" for i in range(len(on))], 1.0
+    if formula == "area":
+        length, unit, parts = length or geometry.cell_length(radius, len(on)), float(geometry.STEPS ** len(on)), []
+        for k, (name, df) in enumerate(streams.items()):
+            v = F.coalesce(F.col(f"`{field}`").cast("double"), F.lit(0.0)) if name == stream else F.lit(0.0)
+            narrow = df.dropna(subset=on).select(*[F.col(f"`{a}`").cast("double").alias(f"_x_{i}") for i, a in enumerate(on)], v.alias("v"))
+            point = [F.col(f"_x_{i}") for i in range(len(on))]
+            copies = by_lines(replicate(narrow, point, length, radius, prefix="cell_"), point, [F.col(c) for c in keys], length, [radius])
+            parts.append(copies.select(*keys, F.lit(k).alias("k"), "isReplica", F.col("_w_0").alias("w"), "v"))
+        rows = reduce(DataFrame.unionByName, parts)
+    else:
+        rows = weighted(streams, on, radius, stream, field, formula, length)
+    only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0)) / F.lit(unit)
     aggs, w, v = [], F.col("w"), F.col("w") * F.col("v")
     for k in range(len(streams)):
         aggs += [only(w, F.col("k") == k).alias(f"N_{k}"), only(w, (F.col("k") == k) & F.col("isReplica")).alias(f"R_{k}")]
@@ -143,9 +174,13 @@ def group_totals(streams: dict[str, DataFrame], on: Sequence[str], asked: Sequen
         parts.append(rows.select(*[x.alias(f"_x_{i}") for i, x in enumerate(axes)], F.lit(name).alias("_stream"), BITS, *[value(df, f).alias(f"_v_{j}") for j, f in enumerate(fields)]))
     point = [F.col(f"_x_{i}") for i in range(len(on))]
     copies = replicate(reduce(DataFrame.unionByName, parts), point, length, radii[-1], prefix="cell_")
-    lows, highs = [geometry.low(F.col(c), length) for c in keys], [geometry.high(F.col(c), length) for c in keys]
-    copies = copies.withColumns({f"_w_{j}": geometry.radius_weight(point, lows, highs, length, F.col("isReplica"), r, formula) for j, r in enumerate(radii)})
-    only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
+    cells, unit = [F.col(c) for c in keys], 1.0
+    if formula == "area":
+        copies, unit = by_lines(copies, point, cells, length, radii), float(geometry.STEPS ** len(on))
+    else:
+        lows, highs = [geometry.low(c, length) for c in cells], [geometry.high(c, length) for c in cells]
+        copies = copies.withColumns({f"_w_{j}": geometry.radius_weight(point, lows, highs, length, F.col("isReplica"), r, formula) for j, r in enumerate(radii)})
+    only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0)) / F.lit(unit)
     aggs = []
     for i, q in enumerate(asked):
         w = F.col(f"_w_{radii.index(q.radius)}")
