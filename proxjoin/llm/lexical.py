@@ -36,6 +36,8 @@ from proxjoin.llm.common import materialize
 TOKENS = 1 << 20
 #: Postings of a block at most, and what a block costs in units of impact.
 WIDTH, BLOCK_COST = 64, 1_000_000
+#: Shards of an Arrow batch.
+SHARDS = 2
 #: Items of a block, and documents that are scored at a time.
 ITEMS, CHUNK = 1024, 512
 # A-Z become a-z; bytes that stand for no term's character become spaces. In UTF-8 all other characters are bytes from 128 on.
@@ -266,12 +268,12 @@ def search(indexed: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
 def rank(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): each item's ``k`` documents of the highest scores above 0."""
-    stored = materialize(shards(docs, key, text))
+    stored = materialize(shards(docs, key, text), large_rows=True)
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda t, n: t + n)
     documents, tokens = stored.agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
-    indexed = materialize(index(stored, documents, max(1, tokens)))
+    indexed = materialize(index(stored, documents, max(1, tokens)), large_rows=True, batch=SHARDS)
     blocks = materialize(asked(items, stored, documents, item, item_text))
-    found = materialize(search(indexed, blocks, k))
+    found = materialize(search(indexed, blocks, k), batch=SHARDS)
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(item), "rank", F.col("doc_id").alias(key), "score")

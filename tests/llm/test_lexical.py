@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from proxjoin.llm import lexical
+from proxjoin.llm import common, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -58,6 +60,18 @@ def test_ranked(spark, monkeypatch, tokens, chunk, k, block):
     assert sorted(got, key=repr) == brute(docs, items, k)
 
 
+def test_shards_are_read_and_written_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TOKENS", 500)
+    docs, items = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    common.clean(spark)
+    lexical.rank(frame, spark.createDataFrame(items, "item_id long, text string")).count()
+    files = [pq.ParquetFile(p) for t in common._tables for p in Path(t).glob("*.parquet")]
+    shards = [f.metadata for f in files if {"shard", "doc_ids"} <= set(f.schema_arrow.names)]
+    assert sum(m.num_rows for m in shards) > 50  # of both tables
+    assert all(m.num_row_groups == m.num_rows for m in shards)
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.rank(docs.limit(0), items).count() == 0
