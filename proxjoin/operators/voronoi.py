@@ -5,6 +5,9 @@ Territories meet at the planes halfway between centroids. If two rows are within
 another centroid, the first is no farther than the radius from the plane between its own centroid and that one, so the
 plane's distance decides about copies. The first stream's rows stay at home and the others' are copied, so every
 combination is found once, at its first member's home. Where the centroids come from changes the work, never the result.
+
+A territory grows with the table, so its rows don't all meet: they lie in cells a little wider than the radius along the
+first two axes, the first stream's rows in their own cell and the others' in that and its neighbours.
 """
 
 from __future__ import annotations
@@ -18,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proxjoin.functions import distance as D
+from proxjoin.functions import geometry
 from proxjoin.operators import cluster
+from proxjoin.operators.grid import LAST
 from proxjoin.operators.join import _axes, _prefixed, _span, _within, join_id
 
 #: Copies go a little farther than the radius asks, as distances are rounded.
 SLACK = 1e-9
+#: Sides of cells by the radius: neighbours stay neighbours however quotients are rounded.
+WIDER = 1.25
 
 
 def _reached(axes: Sequence[Column], centroids: Sequence[Sequence[float]]) -> Column:
@@ -48,6 +55,19 @@ def _territories(axes: Sequence[Column], centroids: Sequence[Sequence[float]], r
     return F.transform(F.array(F.array_min(every)), near)[0]
 
 
+def _inside(rows: DataFrame, axes: Sequence[Column], reach: float, spread: bool) -> tuple[DataFrame, list[str]]:
+    """Rows with their cell (``spread``: a copy for each of its neighbours, too), and the names of the cell's columns."""
+    if reach <= 0:
+        return rows, []
+    names = [f"_at_{i}" for i in range(min(2, len(axes)))]
+    own = [F.greatest(F.least(geometry.cell_of(x, reach * WIDER), F.lit(LAST)), F.lit(-LAST)) for x in axes[:2]]
+    if not spread:
+        return rows.withColumns(dict(zip(names, own, strict=True))), names
+    for n, c in zip(names, own, strict=True):
+        rows = rows.withColumn(n, F.explode(F.array(c - 1, c, c + 1)))
+    return rows, names
+
+
 def voronoi_join(
     streams: dict[str, DataFrame], on: Sequence[str], radius: float, centroids: Sequence[Sequence[float]], kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None, salt: int = 1,
 ) -> DataFrame:
@@ -64,7 +84,7 @@ def voronoi_join(
     reach = D.cosine_as_euclidean(radius) if kind == "cosine" else float(radius)
     places = [list(c) for c in dict.fromkeys(tuple(map(float, c)) for c in centroids)]
     out: DataFrame | None = None
-    keys = ["_home"] + ["_salt"] * (salt > 1)
+    keys: list[str] = []
     for k, (name, df) in enumerate(streams.items()):
         df = _prefixed(df.dropna(subset=on), name)
         axes = _axes(name, on)
@@ -72,12 +92,14 @@ def voronoi_join(
         if kind == "cosine":
             df, axes = df.where(reduce(or_, [x != 0 for x in axes])), D.normalise(axes)
         rows = df.withColumn("_home", _home(axes, places) if k == 0 else F.explode(_territories(axes, places, reach)))
+        rows, cells = _inside(rows, axes, reach, k > 0)
+        keys = ["_home", *cells] + ["_salt"] * (salt > 1)
         if salt > 1:
             rows = rows.withColumn("_salt", F.pmod(F.xxhash64(f"`{name}__{id_col}`"), F.lit(salt)).cast("int") if k == 0 else F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         if out is None:
             out = rows
             continue
-        out = out.join(rows, keys).where(_within(names[:k], name, on, radius, kind))
+        out = out.join(rows.hint("merge"), keys).where(_within(names[:k], name, on, radius, kind))
         if band:
             out = out.where(_span(names[: k + 1], band))
     return out.drop(*keys).withColumn("joinId", join_id(names, id_col))

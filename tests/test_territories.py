@@ -40,6 +40,16 @@ def test_same_combinations(spark, n, kind, radius, salt):
     assert len(want) > 20 and got == want
 
 
+def test_rows_of_a_territory_meet_only_in_near_cells(spark):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("tupleId"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    wide = voronoi.voronoi_join({"a": rows, "b": rows}, ["x", "y"], 1.0, [[0.0, 0.0]])
+    assert wide.count() == 2000 + 2 * 1999
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "_at_0" in plan.split("Join Inner")[1].split("\n")[0]
+    same = voronoi.voronoi_join({"a": rows, "b": rows}, ["x", "y"], 0.0, [[0.0, 0.0], [900.0, 0.0]])
+    assert same.count() == 2000
+
+
 def test_one_centroid_and_few_copies(spark):
     streams = {"a": made(spark, 50, 1), "b": made(spark, 50, 2)}
     want = ids(nested_loop_join({s: df.where("abs(x) < 1e300") for s, df in streams.items()}, ["x", "y"], 1.0))
