@@ -203,49 +203,62 @@ def index_range(indexed: DataFrame, low: float, high: float, include: str = "bot
     return indexed.where(over & (key <= high if include in ("both", "high") else key < high))
 
 
-def tile(kind: str, radius: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The comparison of a pair of blocks (i, j): rows (id, v, own), own being their block."""
+#: Vectors of a block that are compared at once, and the blocks that a table is dealt into until they are full.
+AT_ONCE, BLOCKS = 1024, 16
+
+
+def tile(kind: str, radius: float, at_once: int = AT_ONCE) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The comparison of a pair of blocks (i, j): rows (id, v, own), own being their block; so many rows of each at a time."""
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(group["v"].to_list()), group["id"].to_numpy()
+        x, ids, own = np.stack(group["v"].to_list()), group["id"].to_numpy(), group["own"].to_numpy()
         n = np.sqrt((x * x).sum(axis=1))
         if kind == "cosine":
             some = n > 0
-            x, ids, n, own = x[some], ids[some], n[some], group["own"].to_numpy()[some]
-        else:
-            own = group["own"].to_numpy()
-        a, b = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
-        dot = x[a] @ x[b].T
-        # Within one block a pair comes in both orders; between two, once.
-        met = (ids[a][:, None] < ids[b]) if key[0] == key[1] else (ids[a][:, None] != ids[b])
-        if kind == "cosine":
-            every = 1 - np.maximum(0.0, dot / np.outer(n[a], n[b]))
-            p, q = np.nonzero((every <= radius) & met)
-            d = every[p, q]
-        else:
-            # The product cancels for vectors far from the origin: it only leaves out pairs that no rounding could bring near.
-            squares = (n[a] ** 2)[:, None] + n[b] ** 2
-            p, q = np.nonzero((squares - 2 * dot <= radius**2 + 4 * (x.shape[1] + 4) * np.finfo(float).eps * squares) & met)
-            d = np.concatenate([np.zeros(0), *[np.sqrt(((x[a[p[k : k + 65_536]]] - x[b[q[k : k + 65_536]]]) ** 2).sum(axis=1)) for k in range(0, len(p), 65_536)]])
-            p, q, d = p[d <= radius], q[d <= radius], d[d <= radius]
-        left, right = ids[a][p], ids[b][q]
+            x, ids, n, own = x[some], ids[some], n[some], own[some]
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+
+        def meet(a: np.ndarray, b: np.ndarray) -> None:
+            dot = x[a] @ x[b].T
+            # Within one block a pair comes in both orders; between two, once.
+            met = (ids[a][:, None] < ids[b]) if key[0] == key[1] else (ids[a][:, None] != ids[b])
+            if kind == "cosine":
+                every = 1 - np.maximum(0.0, dot / np.outer(n[a], n[b]))
+                p, q = np.nonzero((every <= radius) & met)
+                d = every[p, q]
+            else:
+                # The product cancels for vectors far from the origin: it only leaves out pairs that no rounding could bring near.
+                squares = (n[a] ** 2)[:, None] + n[b] ** 2
+                p, q = np.nonzero((squares - 2 * dot <= radius**2 + 4 * (x.shape[1] + 4) * np.finfo(float).eps * squares) & met)
+                d = np.concatenate([np.zeros(0), *[np.sqrt(((x[a[p[k : k + 65_536]]] - x[b[q[k : k + 65_536]]]) ** 2).sum(axis=1)) for k in range(0, len(p), 65_536)]])
+                p, q, d = p[d <= radius], q[d <= radius], d[d <= radius]
+            for kept, some in zip(found, (ids[a][p], ids[b][q], d), strict=True):
+                kept.append(some)
+
+        mine, others = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
+        for i in range(0, len(mine), at_once):
+            for j in range(0, len(others), at_once):
+                meet(mine[i : i + at_once], others[j : j + at_once])
+        left, right, d = (np.concatenate(f) for f in found)
         return pd.DataFrame({"id_a": np.minimum(left, right), "id_b": np.maximum(left, right), "distance": d})
 
     return compare
 
 
-def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", kind: str = "cosine", block: int = 1024) -> DataFrame:
+def array_pairs(df: DataFrame, vector: str, radius: float, id_col: str = "id", kind: str = "cosine", block: int = 32_768) -> DataFrame:
     """(id_a, id_b, distance) with id_a < id_b of rows of array vectors within the radius, by pairs of blocks.
 
-    Rows are dealt to blocks of about ``block`` by a hash of the id; a pair of blocks is a key, so a task holds two blocks
-    at a time, whatever the data, and compares them by one matrix product. All vectors must have one length; rows
-    without a vector have no pairs. Zero vectors are at cosine distance 1 from all. The number of pairs of blocks grows
-    with the square of the table: this is for radii at which nothing can be left out, on tables of up to some millions.
+    Rows are dealt by a hash of the id to ``BLOCKS`` blocks, or as many as hold about ``block`` rows each; a pair of blocks is
+    a key, so a task holds two blocks at a time, whatever the data, and compares them by matrix products of parts. All
+    vectors must have one length; rows without a vector have no pairs. Zero vectors are at cosine distance 1 from all. A
+    row is shipped once for each block: ``BLOCKS`` times up to ``BLOCKS`` * ``block`` rows, and from there on in proportion to the
+    table. The comparisons grow with its square: this is for radii at which nothing can be left out.
     """
     if kind == "cosine" and radius >= 1:
         raise ValueError("within a cosine distance of 1 everything matches")
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block))
+    count = rows.count()
+    blocks = max(1, min(BLOCKS, -(-count // AT_ONCE)), -(-count // block))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     dealt = rows.withColumn("own", own).select("id", "v", "own", F.inline(met))
