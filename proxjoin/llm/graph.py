@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with pointer jumping."""
+"""Connected components of an edge table, by hooking nodes to their least neighbours and contracting."""
 
 from __future__ import annotations
 
@@ -8,19 +8,38 @@ from pyspark.sql import functions as F
 from proxjoin.llm.common import materialize
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+
+
+def _to_the_end(hooks: DataFrame) -> DataFrame:
+    """Hooks (node, root) followed until none leads to a node that is hooked elsewhere; each pass halves the way."""
+    while True:
+        on = hooks.where("root <> node").select(F.col("node").alias("root"), F.col("root").alias("far"))
+        if not hooks.join(on, "root", "left_semi").limit(1).count():
+            return hooks
+        hooks = materialize(hooks.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches. Nodes without edges aren't returned.
 
-    Each round takes the least label among neighbours, then that label's own label, and is written, so a lost executor
-    costs one round. The loop ends when no label changes.
+    Each round hooks every node to its least neighbour, if that is less, follows the hooks to their ends, and puts the ends in
+    the nodes' place. Edges within one node go, so a star, however large, takes part in one round, and only what is left
+    between stars in the next. Every round is written, so a lost executor costs one round.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").distinct().select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"))
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
     while True:
-        offers = both.join(labels, both.b == labels.node).groupBy(both.a.alias("node")).agg(F.min("root").alias("offer"))
-        moved = labels.join(offers, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
-        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = materialize(moved.join(jump, "root", "left").select("node", "was", F.coalesce("far", "root").alias("root")))
-        if not after.where("root <> was").limit(1).count():
-            return after.select("node", "root")
-        labels = after.select("node", "root")
+        hooks = materialize(_both(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+        rounds.append(_to_the_end(hooks))
+        end = lambda c, name: rounds[-1].select(F.col("node").alias(c), F.col("root").alias(name))
+        left = edges.join(end("a", "p"), "a").select("p", "b").join(end("b", "q"), "b").where("p <> q")
+        edges = materialize(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+        if not edges.limit(1).count():
+            break
+    out = rounds.pop()
+    while rounds:
+        last = out.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        out = rounds.pop().join(last, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    return out

@@ -229,7 +229,8 @@ def near_numbered(rows: DataFrame, number: str, text: str, leaders: int = LEADER
     sets = materialize(_sets(rows, number, text, wanted.select("id", "n", "fp")))
     hubs = held.where("a <> id").groupBy("id").agg(F.slice(F.sort_array(F.collect_set("a")), 1, leaders).alias("as"))
     links = materialize(_near(hubs.select(F.explode("as").alias("a"), F.col("id").alias("b")), sets))
-    placed = held.join(components(links), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    starred = materialize(components(links))
+    placed = held.join(starred, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     placed = materialize(placed)
     still = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "low")
     several = materialize(placed.join(still, "band").select("id", "root", "low"))
@@ -237,8 +238,12 @@ def near_numbered(rows: DataFrame, number: str, text: str, leaders: int = LEADER
     families = families.select(F.col("node").alias("root"), F.col("root").alias("family"))
     within_families = several.select("id", "root").distinct().join(families, "root").join(wanted.select("id", "bytes"), "id")
     more = materialize(_inside(materialize(within_families), sets, block))
-    roots = components(links.unionByName(more))
-    return prints.join(roots, prints.id == roots.node, "left").select("doc_id", "th", F.coalesce("root", "id").alias("root"))
+    # Links between families' components are between their roots, so the links of the first pass aren't joined again.
+    end = lambda c: starred.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("far"))
+    rooted = prints.join(starred, prints.id == starred.node, "left").select("doc_id", "th", F.coalesce("root", "id").alias("root"))
+    return rooted.join(joined, "root", "left").select("doc_id", "th", F.coalesce("far", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", leaders: int = LEADERS, block: int = BLOCK) -> DataFrame:
