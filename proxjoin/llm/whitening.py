@@ -108,6 +108,16 @@ def _centred(x: np.ndarray, n: int, sums: tuple[int, ...]) -> np.ndarray:
     return (deviations(x, n, np.array(sums, dtype=object)) / n).astype(np.float64)
 
 
+def projected(centred: np.ndarray, projections: np.ndarray) -> np.ndarray:
+    """The product, added up entry by entry: a matrix product rounds a row by its place in the batch, and equal rows get
+    equal numbers here.
+    """
+    out = np.zeros((len(centred), projections.shape[1]))
+    for j in range(projections.shape[0]):
+        out += centred[:, j, None] * projections[j]
+    return out
+
+
 def _identity_error(fit_list: DataFrame, n: int, sums: tuple[int, ...], projections: np.ndarray) -> float:
     """The largest entry of the whitened fit list's covariance minus the identity, from sums by partition."""
     k = projections.shape[1]
@@ -115,7 +125,7 @@ def _identity_error(fit_list: DataFrame, n: int, sums: tuple[int, ...], projecti
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mean = np.zeros((k, k)), np.zeros(k)
         for batch in batches:
-            w = _centred(matrix(batch), n, sums) @ projections
+            w = projected(_centred(matrix(batch), n, sums), projections)
             total, mean = total + w.T @ w, mean + w.sum(axis=0)
         yield pa.RecordBatch.from_pydict({"at": list(range(k * k + k)), "v": [*total.ravel().tolist(), *mean.tolist()]})
 
@@ -157,7 +167,7 @@ def project(rows: DataFrame, key: str, fitted: Fit) -> DataFrame:
         s = np.array(fitted.sums, dtype=object)
         for batch in batches:
             apart = deviations(matrix(batch), fitted.n, s)
-            white = (apart / fitted.n).astype(np.float64) @ fitted.projections
+            white = projected((apart / fitted.n).astype(np.float64), fitted.projections)
             m = len(batch)
             lengths = pa.array([str(v) for v in squared_lengths(apart)])
             repeat = pa.array(np.repeat(np.arange(m), k))

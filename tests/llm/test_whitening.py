@@ -68,6 +68,16 @@ def test_whitened_covariance_is_the_identity(spark):
     assert np.abs(w.T @ w / len(w) - np.eye(8)).max() < 1e-9 and np.abs(w.mean(axis=0)).max() < 1e-9
 
 
+def test_equal_rows_get_equal_numbers_wherever_they_stand():
+    rnd = np.random.default_rng(9)
+    for d, k in ((8, 8), (20, 16), (64, 16)):
+        x, axes = rnd.normal(size=(257, d)), rnd.normal(size=(d, k))
+        x[3::5] = x[1]
+        alone = whitening.projected(x[1:2], axes)
+        assert (whitening.projected(x, axes)[3::5] == alone).all()
+        assert np.abs(whitening.projected(x, axes) - x @ axes).max() < 1e-12
+
+
 def test_lengths_ranks_and_repeats(spark):
     flat = [(i, [float(i), float(i), 2.0, 0.0]) for i in range(6)]  # one direction only
     other = [(100 + i, v) for i, v in made(7, 12, 3)]
