@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product
 from math import ceil, sqrt
 from operator import add, mul
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,15 +139,34 @@ def points_of_line(point: Axes, lows: Axes, at: Axes, length: float, radius: flo
     return F.when(F.isnan(half), F.lit(0)).otherwise(F.greatest(last - first + 1, F.lit(0)))
 
 
+def _area_shares(axes: int, length: float, radius: float, steps: int) -> Callable[..., Column]:
+    """The share by columns of coordinates, then of the cells' least corners, a batch of rows at a time."""
+    step = length / steps
+
+    @F.pandas_udf("double")
+    def share(*columns: pd.Series) -> pd.Series:
+        point, lows = [c.to_numpy(dtype=float) for c in columns[:axes]], [c.to_numpy(dtype=float) for c in columns[axes:]]
+        centre, inside = point[-1] - lows[-1], np.zeros(len(point[0]))
+        squares = [[(low + (k + 0.5) * step - x) ** 2 for k in range(steps)] for x, low in zip(point[:-1], lows[:-1], strict=True)]
+        with np.errstate(invalid="ignore"):
+            for line in product(range(steps), repeat=axes - 1):
+                half = np.sqrt(radius * radius - reduce(add, [squares[j][k] for j, k in enumerate(line)], 0.0))  # NaN where the line misses the sphere
+                first = np.maximum(np.ceil((centre - half) / step - 0.5), 0)
+                last = np.minimum(np.floor((centre + half) / step - 0.5), steps - 1)
+                inside += np.nan_to_num(np.maximum(last - first + 1, 0))
+        return pd.Series(inside / float(steps**axes))
+
+    return share
+
+
 def area_fraction(point: Axes, lows: Axes, length: float, radius: float, steps: int = STEPS) -> Column:
     """Share of the cell within the sphere by a regular grid of ``steps`` points along each axis.
 
     Points lie in lines along the last axis; of each line the sphere holds one run, whose length follows from where the
-    line enters and leaves it, so a line is one term and not ``steps``.
+    line enters and leaves it, so a line is one term and not ``steps``. All lines in one expression would be a method too
+    large for the JVM to compile, so they are vector operations over batches of rows.
     """
-    n, step = len(point), length / steps
-    lines = product(range(steps), repeat=n - 1)
-    return reduce(add, [points_of_line(point, lows, [F.lit((k + 0.5) * step) for k in line], length, radius, steps) for line in lines]) / F.lit(float(steps**n))
+    return _area_shares(len(point), length, radius, steps)(*point, *lows)
 
 
 def radius_weight(point: Axes, lows: Axes, highs: Axes, length: float, replica: Column, radius: float, formula: str = "edges") -> Column:
