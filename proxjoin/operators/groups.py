@@ -8,7 +8,8 @@ the size of a summary, whatever the number of groups. Groups are named ``stream.
 ``&``.
 
 Estimates never fall below the truth for values from 0. A threshold so low that a group above it might not be among the
-candidates is an error when the plan runs, not a short result.
+candidates is an error when the plan runs, not a short result; for such thresholds there is a second pass over the rows
+(``again``), which needs no candidates: an estimate is never below the truth, so every group above is found by its own.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def summarise(rows: DataFrame, key: str, values: Sequence[str], buckets: int, de
                 at = np.array([bucket_of(row, k, buckets) for k in each.index], dtype=np.int64)
                 for j, c in enumerate(each.columns):
                     np.add.at(cells[j, row], at, each[c].to_numpy())
-            held, n = forget(held.add(each["_n"], fill_value=0.0), capacity), n + len(frame)
+            held, n = forget(held.add(each["_n"], fill_value=0.0), capacity) if capacity else held, n + len(frame)
         for j, c in enumerate(["count", *values]):
             row, at = np.nonzero(cells[j])
             yield pa.RecordBatch.from_pydict({"part": [c] * len(row), "row": row.tolist(), "bucket": at.tolist(), "key": [None] * len(row), "value": cells[j][row, at].tolist()}, schema=SUMMARY)
@@ -91,22 +92,30 @@ SUMMARY = pa.schema([("part", pa.string()), ("row", pa.int64()), ("bucket", pa.i
 
 def grouped_by_sketch(
     wide: DataFrame, stream: str, group_by: Sequence[tuple[str, str]], fields: Sequence[str], more_than: float, error: float = 1e-4, confidence: float = 0.95, capacity: int = CAPACITY,
+    again: bool = False,
 ) -> DataFrame:
-    """(key, count, and sum and avg of each field) of the groups with a count above ``more_than``, all estimated."""
+    """(key, count, and sum and avg of each field) of the groups with a count above ``more_than``, all estimated.
+
+    With ``again`` no candidates are held: rows are stored, and a second pass asks the sketch for each of their groups, so
+    any threshold has all of its groups, whatever their number.
+    """
     buckets, depth = size(error, confidence)
     names = {f: f"_v{k}" for k, f in enumerate(fields)}
     rows = wide.select(group_key(group_by).alias("key"), *[F.coalesce(F.col(f"`{stream}{SEP}{f}`").cast("double"), F.lit(0.0)).alias(v) for f, v in names.items()])
-    summary = stored(summarise(rows, "key", list(names.values()), buckets, depth, capacity))
+    if again:
+        rows = stored(rows)  # combinations are made once
+    summary = stored(summarise(rows, "key", list(names.values()), buckets, depth, 0 if again else capacity))
     total = summary.where("part = 'rows'").select(F.col("value").alias("_all"))
     asked = summary.where("part = 'candidate'").select("key").crossJoin(total)  # one row
     low = F.col("_all") / (capacity + 1) > more_than
     checked = F.when(low, F.raise_error(F.lit(f"a group of more than {more_than} rows may not be among {capacity} candidates"))).otherwise(F.col("key"))
-    out = asked.select(F.coalesce(checked.cast("string"), F.col("key")).alias("key"))
+    out = rows.select("key").distinct() if again else asked.select(F.coalesce(checked.cast("string"), F.col("key")).alias("key"))
     for name, part in {"count": "count", **{f: v for f, v in names.items()}}.items():
         cells = summary.where(F.col("part") == part).select("row", "bucket", "value")
         guess = sketch.query(cells, out.select("key"), "key", buckets, depth).withColumnRenamed("estimate", name if name == "count" else f"_sum_{name}")
         out = out.join(guess, "key")
-    out = out.where(F.col("count") > more_than)
+        if part == "count":
+            out = out.where(F.col("count") > more_than)
     for k, f in enumerate(fields):
         tail = "" if k == 0 else f"_{f}"
         out = out.withColumn(f"sum{tail}", F.col(f"_sum_{f}")).withColumn(f"avg{tail}", average(F.col(f"_sum_{f}"), F.col("count")))

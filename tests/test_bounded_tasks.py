@@ -1,8 +1,13 @@
 """What a task holds, and how often combinations are made, whatever the number of rows."""
 
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from proxjoin.functions import geometry
+from proxjoin.operators import groups
 
 
 def test_shares_are_no_expression_too_large_to_compile(spark):
@@ -11,3 +16,17 @@ def test_shares_are_no_expression_too_large_to_compile(spark):
     plan = shares._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and len(plan) < 2000
     assert [r[0] for r in df.select(geometry.area_fraction([F.col("x")], [F.col("a")], 1.0, 0.5)).collect()] == [0.5, 0.5, 0.0]
+
+
+def test_any_threshold_has_all_of_its_groups(spark):
+    """As many groups above as below, far more than rows / threshold candidates would hold."""
+    rnd = random.Random(3)
+    keys = [f"u{i}" for i in range(900) for _ in range(1 + rnd.randrange(4))]
+    rnd.shuffle(keys)
+    wide = spark.createDataFrame([(k, 1.5) for k in keys], "s1__user string, s0__v double").repartition(5)
+    above = {f"s1.user={k}": n for k, n in Counter(keys).items() if n > 2}
+    with pytest.raises(Exception, match="may not be among"):
+        groups.grouped_by_sketch(wide, "s0", [("s1", "user")], ["v"], 2, capacity=60).collect()
+    got = {r.key: r for r in groups.grouped_by_sketch(wide, "s0", [("s1", "user")], ["v"], 2, again=True).collect()}
+    assert set(above) <= set(got) and all(got[k]["count"] >= n and got[k]["sum"] >= 1.5 * n for k, n in above.items())
+    assert groups.grouped_by_sketch(wide.limit(0), "s0", [("s1", "user")], ["v"], 2, again=True).count() == 0
