@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proxjoin.operators.join import SEP
+from proxjoin.sources.scratch import stored
 
 
 def average(total: Column, count: Column) -> Column:
@@ -41,9 +42,10 @@ def grouped(wide: DataFrame, stream: str, group_by: Sequence[tuple[str, str]], f
 def running(wide: DataFrame, arrival: Column, stream: str, field: str, buckets: int = 256) -> DataFrame:
     """count, sum and avg after each combination, in order of (arrival, joinId).
 
-    Two passes: sums of ranges of arrival are added up first, then rows inside their range, so no task sees all rows.
+    Two passes: sums of ranges of arrival are added up first, then rows inside their range, so no task sees all rows. The
+    ranges' bounds are a pass of their own, so combinations are stored, and not made anew for each.
     """
-    rows = wide.select(arrival.cast("double").alias("arrival"), "joinId", F.col(f"`{stream}{SEP}{field}`").cast("double").alias("v"))
+    rows = stored(wide.select(arrival.cast("double").alias("arrival"), "joinId", F.col(f"`{stream}{SEP}{field}`").cast("double").alias("v")))
     bounds = rows.approxQuantile("arrival", [i / buckets for i in range(1, buckets)], 0.001)
     part = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]), lambda c: c < F.col("arrival"))) if bounds else F.lit(0)
     rows = rows.withColumn("part", part)

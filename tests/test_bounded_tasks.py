@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proxjoin.functions import geometry
-from proxjoin.operators import groups
+from proxjoin.operators import aggregate, groups
 
 
 def test_shares_are_no_expression_too_large_to_compile(spark):
@@ -30,3 +30,18 @@ def test_any_threshold_has_all_of_its_groups(spark):
     got = {r.key: r for r in groups.grouped_by_sketch(wide, "s0", [("s1", "user")], ["v"], 2, again=True).collect()}
     assert set(above) <= set(got) and all(got[k]["count"] >= n and got[k]["sum"] >= 1.5 * n for k, n in above.items())
     assert groups.grouped_by_sketch(wide.limit(0), "s0", [("s1", "user")], ["v"], 2, again=True).count() == 0
+
+
+def test_running_totals_make_combinations_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    wide = spark.range(500).select(F.col("id").cast("string").alias("joinId"), F.col("id").alias("t"), F.lit(2.0).alias("s0__y"))
+    wide = wide.mapInPandas(count, "joinId string, t long, s0__y double")
+    got = sorted(aggregate.running(wide, F.col("t"), "s0", "y").collect(), key=lambda r: r["count"])
+    assert [(r["count"], r["sum"], r["avg"]) for r in got] == [(k, 2.0 * k, 2.0) for k in range(1, 501)]
+    assert made.value == 500
