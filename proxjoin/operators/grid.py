@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from proxjoin.functions import geometry
 
 LAST = 1 << 62
+#: Rows that a task copies and counts: it holds a count for each cell of each copy.
+COUNTED = 100_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt to partitions of at most about ``COUNTED`` of its ``rows`` rows, by hash of ``keys`` if there are any.
+
+    The number is a part of the plan, as partitions that Spark merges or reads by their bytes hold many times that as copies.
+    """
+    return df.repartition(max(1, -(-rows // COUNTED)), *keys)
 
 
 def cells(df: DataFrame, axes: Sequence[Column], length: float, prefix: str = "cell_") -> DataFrame:
@@ -50,10 +60,14 @@ def replicate(df: DataFrame, axes: Sequence[Column], length: float, r_max: float
 
 
 def copy_counts(df: DataFrame, axes: Sequence[Column], length: float, r_max: float, ring: str = "full", prefix: str = "cell_", band: tuple[Column, int] | None = None, prune: bool = True) -> DataFrame:
-    """(cells, n): how many copies ``replicate`` makes in each cell. Home cells are counted and their counts copied, no row is."""
+    """(cells, n): how many copies ``replicate`` makes in each cell. Home cells are counted and their counts copied, no row is.
+
+    There are no more home cells than rows, so these bound what a task copies.
+    """
     steps = _steps(len(axes), length, r_max, ring, band is not None, prune)
     home = {f"_h{i}": h for i, h in enumerate(_home(axes, length, band))}
     counted = df.groupBy(*[h.alias(n) for n, h in home.items()]).agg(F.count("*").alias("n"))
+    counted = spread(counted, df.count(), *home)
     rows = F.array(*[F.struct(*[F.lit(x).alias(f"_o{i}") for i, x in enumerate(o)]) for o in steps])
     cells = [(F.col(n) + F.col(f"_o{i}")).alias(f"{prefix}{i}") for i, n in enumerate(home)]
     return counted.select("*", F.inline(rows)).groupBy(*cells).agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proxjoin.functions import geometry
-from proxjoin.operators import aggregate, groups
+from proxjoin.operators import aggregate, grid, groups
 
 
 def test_shares_are_no_expression_too_large_to_compile(spark):
@@ -45,3 +45,13 @@ def test_running_totals_make_combinations_once(spark):
     got = sorted(aggregate.running(wide, F.col("t"), "s0", "y").collect(), key=lambda r: r["count"])
     assert [(r["count"], r["sum"], r["avg"]) for r in got] == [(k, 2.0 * k, 2.0) for k in range(1, 501)]
     assert made.value == 500
+
+
+def test_rows_are_dealt_before_they_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(grid, "COUNTED", 100)
+    rows = spark.range(1000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") / 40).alias("y")).coalesce(1)
+    counted = grid.copy_counts(rows, [F.col("x"), F.col("y")], 1.0, 1.0)
+    assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()
+    assert grid.spread(rows, 1000).rdd.getNumPartitions() == 10
+    want = grid.replicate(rows, [F.col("x"), F.col("y")], 1.0, 1.0).groupBy("cell_0", "cell_1").count()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
