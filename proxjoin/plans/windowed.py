@@ -21,7 +21,6 @@ from proxjoin.operators.aggregate import average
 from proxjoin.operators.join import SEP
 from proxjoin.plans.config import Aggregate, EngineConfig, Query
 from proxjoin.plans.stream import WINDOW
-from proxjoin.sources import sinks
 from proxjoin.streaming import numbered
 
 
@@ -52,13 +51,14 @@ def start(config: EngineConfig, spark: SparkSession, log: str, schema: T.StructT
     out = {}
     for q in config.queries:
         rows = numbered.numbered_stream(spark, log, schema)
-        streams = _streams(q, rows, column)
         if config.approximate:
-            streams, on, radius = _unit(q, streams)
-            changes = numbered.approx_changes(rows, streams, on, radius, *_aggregated(q), window, late=late)
+            _, on, radius = _unit(q, {})
+            split = lambda known, q=q: _unit(q, _streams(q, known, column))[0]
+            changes = numbered.approx_change_batches(split, on, radius, *_aggregated(q), window)
         else:
-            changes = numbered.window_changes(rows, streams, q.on, q.radius, window, q.distance, id_col, late)
-        out[q.id] = sinks.stream_rows(changes, f"{path}/{q.id}", f"{checkpoint}/{q.id}", **trigger)
+            split = lambda known, q=q: _streams(q, known, column)
+            changes = numbered.window_change_batches(split, q.on, q.radius, window, q.distance, id_col)
+        out[q.id] = numbered.follow_log(rows, log, changes, window, f"{path}/{q.id}", f"{checkpoint}/{q.id}", **trigger)
     return out
 
 
@@ -80,7 +80,7 @@ def _totals(q: Query, changes: DataFrame, spec: Aggregate) -> DataFrame:
 
 def written(spark: SparkSession, path: str, q: Query, upto: int | None = None) -> DataFrame:
     """A query's changes so far, or up to row ``upto``."""
-    rows = spark.read.parquet(f"{path}/{q.id}")
+    rows = spark.read.parquet(f"{path}/{q.id}").drop("batch")
     return rows if upto is None else rows.where(F.col("at") <= upto)
 
 

@@ -7,15 +7,21 @@ rows is then a range of W seconds: an ordinary stream-stream join on grid cells,
 passes. Each combination stands for two changes, its addition (when the last member arrives) and its retraction (when the
 row arrives that pushes out the first), and each of the two is joined to the row of its number, so a retraction waits in
 keyed state until that row comes. Every stage is spread by batch ranges, cells or row numbers.
+
+``follow_log`` is the second stage without keyed state, for logs of many rows: the log itself holds what a window needs.
+With each micro-batch the rows of the windows that change in it are read from the log, row numbers are one more axis of the
+grid, so rows further apart than a window never meet, and the changes of just those numbers are the batch's result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +29,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proxjoin.operators import approx
 from proxjoin.operators.join import SEP, long_form
-from proxjoin.operators.window import sequence
+from proxjoin.operators.window import sequence, window_join
 from proxjoin.streaming.joins import event_time_join
 
 SEQ, TIME = "seq", "seq_time"
@@ -91,6 +97,74 @@ def window_changes(
     return _due(changes, rows, f"{names[0]}{SEP}{TIME}", length, late).drop(*[f"{s}{SEP}{TIME}" for s in names])
 
 
+Changes = Callable[[DataFrame], DataFrame]
+
+
+def follow_log(rows: DataFrame, log: str, changes: Changes, length: int, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start writing the ``changes`` of the log's windows to ``path``/batch=n as the stream ``rows`` of the log at ``log`` goes on.
+
+    ``changes`` makes rows with ``at`` from a table of numbered rows. A batch gives it the rows of all windows since the last
+    batch's end, and keeps what its own numbers bring about. How far a batch came is written once its result is, so a batch
+    that is run again replaces its own result.
+    """
+    spark, kept = rows.sparkSession, rows.drop(TIME).schema
+    if not _exists(spark, path):
+        changes(spark.createDataFrame([], kept)).write.parquet(f"{path}/batch=-1")  # a stream without rows has a result
+
+    def put(batch: DataFrame, number: int) -> None:
+        last, before = batch.agg(F.max(SEQ)).first()[0], 0
+        if last is None:
+            return
+        spark = batch.sparkSession
+        if _exists(spark, f"{checkpoint}/upto"):
+            upto = spark.read.schema("last long, batch long").parquet(f"{checkpoint}/upto")
+            before = upto.where(F.col("batch") < number).agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]  # a row for each batch
+        known = spark.read.schema(kept).parquet(f"{log}/rows").select(*kept.names)
+        found = changes(known.where((F.col(SEQ) > before - length) & (F.col(SEQ) <= last)))
+        found.where((F.col("at") > before) & (F.col("at") <= last)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark.range(1).select(F.lit(max(before, last)).cast("long").alias("last")).write.mode("overwrite").parquet(f"{checkpoint}/upto/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def window_change_batches(split: Callable[[DataFrame], dict[str, DataFrame]], on: Sequence[str], radius: float, length: int, kind: str = "euclidean", id_col: str = "tupleId") -> Changes:
+    """For ``follow_log``: the rows of ``window_changes``; ``split`` gives the rows of each stream that pass its clauses."""
+
+    def changes(known: DataFrame) -> DataFrame:
+        streams = split(known)
+        at = [F.col(f"`{s}{SEP}{SEQ}`") for s in streams]
+        both = F.array(F.struct(F.greatest(*at).alias("at"), F.lit(False).alias("isExpired")), F.struct((F.least(*at) + length).alias("at"), F.lit(True).alias("isExpired")))
+        return window_join(streams, on, radius, length, kind, id_col, SEQ).select("*", F.inline(both))
+
+    return changes
+
+
+def approx_change_batches(split: Callable[[DataFrame], dict[str, DataFrame]], on: Sequence[str], radius: float, stream: str, field: str, length: int, formula: str = "area") -> Changes:
+    """For ``follow_log``: the rows of ``approx_changes``. Entries of a cell are added up along their numbers by a window."""
+    on = sorted(on)
+    cells = [f"cell_{i}" for i in range(len(on))]
+
+    def changes(known: DataFrame) -> DataFrame:
+        streams = split(known)
+        n, a = len(streams), list(streams).index(stream)
+        copies = approx.weighted(streams, on, radius, stream, field, formula, carried=(SEQ,)).where("w > 0")
+        both = F.array(F.struct(F.col(SEQ).alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col(SEQ) + length).alias("at"), F.lit(-1.0).alias("sign")))
+        entries = copies.select(*cells, "k", "isReplica", "w", "v", F.inline(both))
+        w, v = F.col("w") * F.col("sign"), F.col("w") * F.col("sign") * F.col("v")
+        only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
+        sums = {f"N_{k}": only(w, F.col("k") == k) for k in range(n)} | {f"R_{k}": only(w, (F.col("k") == k) & F.col("isReplica")) for k in range(n)}
+        sums |= {"V": only(v, F.col("k") == a), "U": only(v, (F.col("k") == a) & F.col("isReplica"))}
+        each = entries.groupBy(*cells, "at").agg(*[c.alias(name) for name, c in sums.items()])
+        along = Window.partitionBy(*cells).orderBy("at")
+        upto = each.select(*cells, "at", *[F.sum(name).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name in sums])
+        prod = lambda name, skip=-1: reduce(mul, [F.col(f"{name}_{k}") for k in range(n) if k != skip], F.lit(1.0))
+        found = upto.select(*cells, "at", (prod("N") - prod("R")).alias("c"), (F.col("V") * prod("N", a) - F.col("U") * prod("R", a)).alias("s"))
+        change = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(along)
+        return found.select(*cells, "at", change("c").alias("joinCount"), change("s").alias("joinSum")).where("joinCount <> 0 OR joinSum <> 0")
+
+    return changes
+
+
 def change_rows(changes: DataFrame, streams: Sequence[str], fields: Sequence[str], query_id: str | None = None) -> DataFrame:
     """Changes in long form: a row for each member of a combination, with joinId, at and isExpired."""
     return long_form(changes, streams, fields, query_id, ("at", "isExpired"))
