@@ -8,22 +8,28 @@ product of matrices: how often a pair of the second and third stream shares a pa
 
 Tiles with more than ``PART`` rows of a stream are cut into parts, and parts of the streams meet in groups of bounded
 size, so a point that holds a third of all rows is many tasks.
+
+Pairs of two streams within a cosine radius in the plane need no tiles: a row's partners are a range of angles, and counts
+of ranges are differences of running counts along the sorted angles. Only pairs so near the radius that rounding decides
+meet and have their distances computed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from math import asin, pi, sqrt
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proxjoin.functions import distance as D
 from proxjoin.operators.aggregate import average, totals
 from proxjoin.operators.join import clique_join
+from proxjoin.sources.scratch import stored
 
 #: Rows of a stream in a group at most (about), rows of a run, and pairs of runs whose distances are computed at once.
 PART, RUN, PAIRS = 8192, 128, 128
@@ -31,6 +37,8 @@ PART, RUN, PAIRS = 8192, 128, 128
 WIDE = 8
 #: Boxes decide only where rounding can't: by this share of the radius, and as much of 1 for cosine.
 SLACK = 1e-9
+#: How far a computed cosine distance or angle may be from the true one, with room to spare.
+ROUNDED = 1e-14
 
 
 def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,6 +130,56 @@ def count_triples(a: Rows, b: Rows, c: Rows, radius: float, reach: float, near:
     return count, sums
 
 
+def _upto(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of sorted places ``t`` with weights ``w`` and signs ``s``: its first place, the sums of both, and the sum of
+    each sign times the weights up to there.
+    """
+    first, held, signs, found = None, 0, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w, s = batch.column("w").to_numpy(), batch.column("s").to_numpy()
+        first = batch.column("t")[0].as_py() if first is None else first
+        found += int((s * (held + np.cumsum(w))).sum())
+        held, signs = held + int(w.sum()), signs + int(s.sum())
+    if first is not None:
+        yield pa.RecordBatch.from_pydict({"t": pa.array([first], pa.float64()), "w": pa.array([held], pa.int64()), "s": pa.array([signs], pa.int64()), "n": pa.array([found], pa.int64())})
+
+
+def plane_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], radius: float) -> DataFrame:
+    """One row: ``count`` of the pairs of finite rows of two axes within a cosine ``radius`` below 1.
+
+    Equal points are one with a weight. A task holds a batch of the sorted angles, and a pair near the radius. Work grows
+    as that of a sort, however many pairs there are. Rows whose squares are beyond a double join nothing.
+    """
+    inner = max(0.0, 2 * asin(sqrt(max(0.0, radius - ROUNDED) / 2)) - ROUNDED)
+    outer = 2 * asin(sqrt(min(1.0, (radius + ROUNDED) / 2))) + ROUNDED
+    sides = []
+    for k, df in enumerate((a, b)):
+        x, y = (F.col(f"`{c}`").cast("double") for c in on)
+        norm = x * x + y * y
+        sides.append(df.where((norm > 0) & (norm < float("inf"))).select(F.lit(k).alias("k"), x.alias("x"), y.alias("y")))
+    points = stored(sides[0].unionByName(sides[1]).groupBy("k", "x", "y").agg(F.count("*").alias("n")).withColumn("t", F.atan2("y", "x")))
+    mine, t = points.where("k = 0"), F.col("t")
+    around = F.array(t, *[F.when(t * sign < outer - pi, t + sign * 2 * pi) for sign in (1, -1)])
+    others = points.where("k = 1").withColumn("t", F.explode(F.filter(around, lambda c: c.isNotNull())))
+    ends = F.array(F.struct((t + inner).alias("t"), F.col("n").alias("s")), F.struct((t - inner).alias("t"), (-F.col("n")).alias("s")))
+    none = F.lit(0).cast("long")
+    entries = others.select("t", F.col("n").alias("w"), none.alias("s")).unionByName(mine.select(none.alias("w"), F.inline(ends)))
+    # A row at a range's end counts as before it, so weights come first.
+    parts = entries.repartitionByRange("t").sortWithinPartitions("t", F.abs("s")).mapInArrow(_upto, "t double, w long, s long, n long")
+    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sure = parts.withColumn("n", F.col("n") + F.col("s") * F.coalesce(F.sum("w").over(before), none))
+    wide = 2 * (outer - inner)
+    cell = lambda c: F.floor(c / F.lit(wide))
+    edges = F.array(F.struct((t - outer).alias("low"), (t - inner).alias("high")), F.struct((t + inner).alias("low"), (t + outer).alias("high")))
+    reaching = mine.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("n").alias("_n"), F.inline(edges))
+    reaching = reaching.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    met = others.withColumn("cell", cell(t)).join(reaching.hint("merge"), "cell").where((t > F.col("low")) & (t <= F.col("high")))
+    near = met.where(D.cosine([F.col("_x"), F.col("_y")], [F.col("x"), F.col("y")]) <= F.lit(float(radius)))
+    return sure.select("n").unionByName(near.select((F.col("n") * F.col("_n")).alias("n"))).agg(F.coalesce(F.sum("n"), none).alias("count"))
+
+
 def _touched(place: Column, reach: float, length: float) -> Column:
     """Tiles along an axis that a radius around a place reaches."""
     tile = lambda x: F.floor(x / F.lit(length))
@@ -141,6 +199,9 @@ def clique_totals(
     if len(names) not in (2, 3) or kind not in ("euclidean", "cosine") or radius <= 0 or kind == "cosine" and radius >= 1:
         return totals(clique_join(streams, on, radius, kind, id_col), stream, fields, query_id)
     n, d = len(names), len(on)
+    if kind == "cosine" and n == d == 2 and not fields:
+        out = plane_pairs(*streams.values(), on, radius)
+        return out.select(F.lit(query_id).alias("queryId"), "*") if query_id else out
     reach = D.cosine_as_euclidean(radius) if kind == "cosine" else float(radius)
     length = WIDE * reach
     tiles, parts = [f"_tile_{i}" for i in range(d)], [f"_part_{k}" for k in range(n)]
