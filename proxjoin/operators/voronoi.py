@@ -7,7 +7,8 @@ plane's distance decides about copies. The first stream's rows stay at home and
 combination is found once, at its first member's home. Where the centroids come from changes the work, never the result.
 
 A territory grows with the table, so its rows don't all meet: they lie in cells a little wider than the radius along the
-first two axes, the first stream's rows in their own cell and the others' in that and its neighbours.
+first two axes, the first stream's rows in their own cell and the others' in that and its neighbours. A ``band`` is an axis of
+cells, too, several of its widths long. Where a band holds few rows, as a window of numbered rows does, it needs no other cells.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from proxjoin.functions import distance as D
 from proxjoin.functions import geometry
 from proxjoin.operators import cluster
-from proxjoin.operators.grid import LAST
+from proxjoin.operators.grid import LAST, reached
 from proxjoin.operators.join import _axes, _prefixed, _span, _within, join_id
 
 #: Copies go a little farther than the radius asks, as distances are rounded.
 SLACK = 1e-9
 #: Sides of cells by the radius: neighbours stay neighbours however quotients are rounded.
 WIDER = 1.25
+#: Widths of a band in a cell of it, and rows of a band that meet without other cells.
+BANDS, FEW = 2, 2000
 
 
 def _reached(axes: Sequence[Column], centroids: Sequence[Sequence[float]]) -> Column:
@@ -69,12 +72,13 @@ def _inside(rows: DataFrame, axes: Sequence[Column], reach: float, spread: bool)
 
 
 def voronoi_join(
-    streams: dict[str, DataFrame], on: Sequence[str], radius: float, centroids: Sequence[Sequence[float]], kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None, salt: int = 1,
+    streams: dict[str, DataFrame], on: Sequence[str], radius: float, centroids: Sequence[Sequence[float]], kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None, salt: int = 1, distinct: bool = False,
 ) -> DataFrame:
     """Combinations as ``clique_join`` gives them, by the territories of ``centroids`` (of unit vectors, for cosine).
 
-    ``salt`` spreads the first stream's rows of a territory over that many partitions. ``band`` is as in ``clique_join``. Rows with
-    a null or a number that isn't finite on an axis join nothing.
+    ``salt`` spreads the first stream's rows of a territory over that many partitions. ``band`` is as in ``clique_join``; ``distinct``
+    says that no number of its column comes twice, so a band holds no more rows than its width. Rows with a null or a
+    number that isn't finite on an axis, or without a number where there is a band, join nothing.
     """
     names, on = list(streams), sorted(on)
     if len(names) < 2:
@@ -86,13 +90,16 @@ def voronoi_join(
     out: DataFrame | None = None
     keys: list[str] = []
     for k, (name, df) in enumerate(streams.items()):
-        df = _prefixed(df.dropna(subset=on), name)
+        df = _prefixed(df.dropna(subset=[*on, *([band[0]] if band else [])]), name)
         axes = _axes(name, on)
         df = df.where(~reduce(or_, [F.isnan(x) | (F.abs(x) == float("inf")) for x in axes]))
         if kind == "cosine":
             df, axes = df.where(reduce(or_, [x != 0 for x in axes])), D.normalise(axes)
         rows = df.withColumn("_home", _home(axes, places) if k == 0 else F.explode(_territories(axes, places, reach)))
-        rows, cells = _inside(rows, axes, reach, k > 0)
+        rows, cells = (rows, []) if band and distinct and band[1] <= FEW else _inside(rows, axes, reach, k > 0)
+        if band:
+            rows = rows.withColumn("_band", F.explode(reached(F.col(f"`{name}__{band[0]}`"), band[1] if k else 0, BANDS * band[1])))
+            cells = [*cells, "_band"]
         keys = ["_home", *cells] + ["_salt"] * (salt > 1)
         if salt > 1:
             rows = rows.withColumn("_salt", F.pmod(F.xxhash64(f"`{name}__{id_col}`"), F.lit(salt)).cast("int") if k == 0 else F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
@@ -115,6 +122,6 @@ def fitted(streams: dict[str, DataFrame], on: Sequence[str], k: int, iterations:
     return cluster.kmeans(rows, on, k, iterations, kind, seed) if not rows.isEmpty() else [[0.0] * len(on)]
 
 
-def kmeans_join(streams: dict[str, DataFrame], on: Sequence[str], radius: float, k: int = 16, iterations: int = 20, kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None, salt: int = 1) -> DataFrame:
+def kmeans_join(streams: dict[str, DataFrame], on: Sequence[str], radius: float, k: int = 16, iterations: int = 20, kind: str = "euclidean", id_col: str = "tupleId", band: tuple[str, int] | None = None, salt: int = 1, distinct: bool = False) -> DataFrame:
     """``voronoi_join`` by clusters fitted to the streams' rows."""
-    return voronoi_join(streams, on, radius, fitted(streams, on, k, iterations, kind), kind, id_col, band, salt)
+    return voronoi_join(streams, on, radius, fitted(streams, on, k, iterations, kind), kind, id_col, band, salt, distinct)

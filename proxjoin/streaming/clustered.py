@@ -32,7 +32,7 @@ def kmeans_window_join(
         known = batch.sparkSession.read.schema(rows.drop("seq_time").schema).parquet(f"{log}/rows")
         held = known.where((F.col(SEQ) > first - length) & (F.col(SEQ) <= last))
         streams = {s: held.where(F.col(column) == s).drop(column) for s in names}
-        wide = kmeans_join(streams, on, radius, k, iterations, kind, id_col, (SEQ, length))
+        wide = kmeans_join(streams, on, radius, k, iterations, kind, id_col, (SEQ, length), distinct=True)
         fresh = F.greatest(*[F.col(f"`{s}{SEP}{SEQ}`") for s in names]) >= first
         wide.where(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -50,6 +50,16 @@ def test_rows_of_a_territory_meet_only_in_near_cells(spark):
     assert same.count() == 2000
 
 
+@pytest.mark.parametrize("few", [0, 2000])
+def test_rows_of_a_place_meet_only_in_their_window(spark, monkeypatch, few):
+    monkeypatch.setattr(voronoi, "FEW", few)
+    rows = spark.range(40_000).selectExpr("string(id) AS tupleId", "id AS seq", "(id % 2) * 0.5D AS x", "(id % 3) * 0.3D AS y")
+    wide = voronoi.voronoi_join({"a": rows, "b": rows}, ["x", "y"], 1.0, [[0.0, 0.0], [9.0, 9.0]], band=("seq", 3), distinct=True)
+    keys = wide._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    assert "_band" in keys and ("_at_0" in keys) == (few == 0)
+    assert wide.count() == 5 * 40_000 - 6
+
+
 def test_one_centroid_and_few_copies(spark):
     streams = {"a": made(spark, 50, 1), "b": made(spark, 50, 2)}
     want = ids(nested_loop_join({s: df.where("abs(x) < 1e300") for s, df in streams.items()}, ["x", "y"], 1.0))
