@@ -151,7 +151,7 @@ def _pairs_of_bucket(fps: np.ndarray, radius: int, block: int = 64) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def _stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least place that each of n places reaches by the pairs."""
     root = np.arange(n)
     while len(left):
@@ -178,7 +178,7 @@ def bucket_links(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> tu
         a, b = _pairs_of_bucket(fps[begin[r] : begin[r] + length[r]], radius)
         found.append((a + begin[r], b + begin[r]))
     left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-    root = _stars(len(fps), left, right)
+    root = stars(len(fps), left, right)
     linked = np.flatnonzero(root != np.arange(len(fps)))
     return fps[linked], fps[root[linked]]
 
