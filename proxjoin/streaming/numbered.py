@@ -21,20 +21,21 @@ from operator import mul
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proxjoin.operators import approx
+from proxjoin.operators.aggregate import average
 from proxjoin.operators.join import SEP, long_form
 from proxjoin.operators.window import sequence, window_join
 from proxjoin.streaming.joins import event_time_join
 
 SEQ, TIME = "seq", "seq_time"
-#: Cells of a tile along each axis, and what rounding may leave of a cell whose rows have gone.
-TILE, NOTHING = 16, 1e-9
+#: Cells of a tile along each axis.
+TILE = 16
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -140,7 +141,13 @@ def window_change_batches(split: Callable[[DataFrame], dict[str, DataFrame]], on
 
 
 def approx_change_batches(split: Callable[[DataFrame], dict[str, DataFrame]], on: Sequence[str], radius: float, stream: str, field: str, length: int, formula: str = "area") -> Changes:
-    """For ``follow_log``: the rows of ``approx_changes``. Entries of a cell are added up along their numbers by a window."""
+    """For ``follow_log``: the rows of ``approx_changes``.
+
+    Numbers lie in blocks of ``length``: a row comes in its own block and leaves in the next, at the same place there. So a
+    cell's window at some number holds what has come in its block and what has yet to leave in it: two sums of what is
+    there, and nothing is taken back, which would leave what rounding lost. A block of a cell is a group, whatever passes
+    through the cell.
+    """
     on = sorted(on)
     cells = [f"cell_{i}" for i in range(len(on))]
 
@@ -148,19 +155,32 @@ def approx_change_batches(split: Callable[[DataFrame], dict[str, DataFrame]], on
         streams = split(known)
         n, a = len(streams), list(streams).index(stream)
         copies = approx.weighted(streams, on, radius, stream, field, formula, carried=(SEQ,)).where("w > 0")
-        both = F.array(F.struct(F.col(SEQ).alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col(SEQ) + length).alias("at"), F.lit(-1.0).alias("sign")))
-        entries = copies.select(*cells, "k", "isReplica", "w", "v", F.inline(both))
-        w, v = F.col("w") * F.col("sign"), F.col("w") * F.col("sign") * F.col("v")
-        only = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0.0))
-        sums = {f"N_{k}": only(w, F.col("k") == k) for k in range(n)} | {f"R_{k}": only(w, (F.col("k") == k) & F.col("isReplica")) for k in range(n)}
-        sums |= {"V": only(v, F.col("k") == a), "U": only(v, (F.col("k") == a) & F.col("isReplica"))}
-        each = entries.groupBy(*cells, "at").agg(*[c.alias(name) for name, c in sums.items()])
-        along = Window.partitionBy(*cells).orderBy("at")
-        upto = each.select(*cells, "at", *[F.sum(name).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name in sums])
-        prod = lambda name, skip=-1: reduce(mul, [F.col(f"{name}_{k}") for k in range(n) if k != skip], F.lit(1.0))
-        found = upto.select(*cells, "at", (prod("N") - prod("R")).alias("c"), (F.col("V") * prod("N", a) - F.col("U") * prod("R", a)).alias("s"))
-        change = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(along)
-        return found.select(*cells, "at", change("c").alias("joinCount"), change("s").alias("joinSum")).where("joinCount <> 0 OR joinSum <> 0")
+        both = F.array(F.struct(F.col(SEQ).alias("at"), F.lit(True).alias("_comes")), F.struct((F.col(SEQ) + length).alias("at"), F.lit(False).alias("_comes")))
+        entries = copies.select(*cells, "k", "isReplica", "w", "v", F.inline(both)).withColumn("_block", F.floor(F.col("at") / F.lit(length)))
+        w, v, of = F.col("w"), F.col("w") * F.col("v"), lambda k: F.col("k") == k
+        held = {f"N_{k}": (w, of(k)) for k in range(n)} | {f"R_{k}": (w, of(k) & F.col("isReplica")) for k in range(n)}
+        held |= {"V": (v, of(a)), "U": (v, of(a) & F.col("isReplica"))}
+        only = lambda c, cond, comes: F.coalesce(F.sum(F.when(cond & (F.col("_comes") == comes), c)), F.lit(0.0))
+        sums = [only(*what, comes).alias(f"{name}_{way}") for name, what in held.items() for way, comes in (("in", True), ("out", False))]
+        # Only where all streams meet is there an estimate; a group has two entries at most for each number of a block.
+        met = entries.repartition(*cells, "_block").groupBy(*cells, "_block").agg(F.collect_list(F.struct("at", "_comes", "k", "isReplica", "w", "v")).alias("_entries"), F.collect_set("k").alias("_met"))
+        each = met.where(F.size("_met") == n).select(*cells, "_block", F.inline("_entries")).groupBy(*cells, "_block", "at").agg(*sums)
+        block = Window.partitionBy(*cells, "_block")
+        come, leave = block.orderBy("at").rowsBetween(Window.unboundedPreceding, 0), block.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+        come = {name: F.sum(f"{name}_in").over(come) for name in held}
+        leave = {name: F.coalesce(F.sum(f"{name}_out").over(leave), F.lit(0.0)) for name in held}
+        here = each.select(*cells, "_block", "at", *[(come[name] + leave[name]).alias(name) for name in held], *[(leave[name] + F.col(f"{name}_out")).alias(f"{name}_before") for name in held])
+
+        def estimates(way: str) -> tuple[Column, Column]:
+            prod = lambda name, skip=-1: reduce(mul, [F.col(f"{name}_{k}{way}") for k in range(n) if k != skip], F.lit(1.0))
+            return prod("N") - prod("R"), F.col(f"V{way}") * prod("N", a) - F.col(f"U{way}") * prod("R", a)
+
+        now, before = estimates(""), estimates("_before")
+        found = here.select(*cells, "_block", "at", now[0].alias("cellCount"), now[1].alias("cellSum"), before[0].alias("_count"), before[1].alias("_sum"))
+        # The first change of a block begins with what is to leave in it.
+        change = lambda c, first: F.col(c) - F.coalesce(F.lag(c).over(block.orderBy("at")), F.col(first))
+        out = found.select(*cells, "at", change("cellCount", "_count").alias("joinCount"), change("cellSum", "_sum").alias("joinSum"), "cellCount", "cellSum")
+        return out.where("joinCount <> 0 OR joinSum <> 0")
 
     return changes
 
@@ -182,7 +202,7 @@ def change_totals(changes: DataFrame, stream: str, fields: Sequence[str] = ()) -
 
 def _products(totals: np.ndarray, n: int, a: int) -> tuple[np.ndarray, np.ndarray]:
     """Estimated counts and sums from rows of N and R of each stream, V and U."""
-    whole, copied, v, u = totals[:, :n], totals[:, n : 2 * n], totals[:, -2], totals[:, -1]
+    whole, copied, v, u = totals[:, :n], totals[:, n : 2 * n], totals[:, 2 * n], totals[:, 2 * n + 1]
     rest = [k for k in range(n) if k != a]
     return whole.prod(axis=1) - copied.prod(axis=1), v * whole[:, rest].prod(axis=1) - u * copied[:, rest].prod(axis=1)
 
@@ -190,12 +210,12 @@ def _products(totals: np.ndarray, n: int, a: int) -> tuple[np.ndarray, np.ndarra
 def approx_changes(
     rows: DataFrame, streams: dict[str, DataFrame], on: Sequence[str], radius: float, stream: str, field: str, length: int, formula: str = "area", late: int = 0,
 ) -> DataFrame:
-    """Approximate mode over the window as a stream: (cells, at, joinCount, joinSum), what the row numbered ``at`` changes in
-    a cell's estimates, by copies that come or leave. Added up to some row, changes are the estimates of the window there.
+    """Approximate mode over the window as a stream: (cells, at, joinCount, joinSum, cellCount, cellSum), what the row numbered
+    ``at`` changes in a cell's estimates, by copies that come or leave, and the cell's estimates then.
 
     Every copy stands for two entries, one as it comes and one, taken back, as the row arrives that pushes it out. The
-    state of a cell is its N, R, V and U, 2 n + 2 numbers for n streams, whatever passes through it, and goes when nothing
-    of the cell is left in the window. Cells are kept together in tiles of ``TILE`` along each axis, a group each, so that
+    state of a cell is its N, R, V and U, and how many copies N and R are of, 4 n + 2 numbers for n streams, whatever passes
+    through it. A sum of no copies is 0, whatever rounding left of it, and a cell without copies goes. Cells are kept together in tiles of ``TILE`` along each axis, a group each, so that
     a group's worth of cells is one vector operation.
     """
     on, n, a = sorted(on), len(streams), list(streams).index(stream)
@@ -209,22 +229,26 @@ def approx_changes(
         known = np.array(state.get[0], np.int64).reshape(-1, len(cells)) if state.exists else np.zeros((0, len(cells)), np.int64)
         places, cell = np.unique(np.vstack([known, new[cells].to_numpy(np.int64)]), axis=0, return_inverse=True)
         cell = cell.ravel()
-        held = np.zeros((len(places), 2 * n + 2))
+        held = np.zeros((len(places), 4 * n + 2))
         held[cell[: len(known)]] = np.array(state.get[1]).reshape(len(known), -1) if state.exists else 0
         cell = cell[len(known) :]
         order = np.lexsort((new["at"].to_numpy(), cell))
         new, cell = new.iloc[order], cell[order]
         w, k, copied = (new["w"] * new["sign"]).to_numpy(), new["k"].to_numpy(), new["isReplica"].to_numpy(dtype=bool)
-        entries = np.zeros((len(new), 2 * n + 2))
+        entries = np.zeros((len(new), 4 * n + 2))
         each = np.arange(len(new))
         entries[each, k] = w
         entries[each[copied], n + k[copied]] = w[copied]
-        entries[:, -2] = np.where(k == a, w * new["v"].to_numpy(), 0.0)
-        entries[:, -1] = np.where(copied, entries[:, -2], 0.0)
+        entries[:, 2 * n] = np.where(k == a, w * new["v"].to_numpy(), 0.0)
+        entries[:, 2 * n + 1] = np.where(copied, entries[:, 2 * n], 0.0)
+        entries[each, 2 * n + 2 + k] = new["sign"].to_numpy()
+        entries[each[copied], 3 * n + 2 + k[copied]] = new["sign"].to_numpy()[copied]
         first = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
         run = np.cumsum(np.r_[True, np.diff(cell) != 0]) - 1
         upto = np.cumsum(entries, axis=0)
-        totals = upto - np.vstack([np.zeros((1, 2 * n + 2)), upto])[first][run] + held[cell]
+        totals = upto - np.vstack([np.zeros((1, 4 * n + 2)), upto])[first][run] + held[cell]
+        copies_of = totals[:, 2 * n + 2 :]
+        totals[:, : 2 * n + 2][np.column_stack([copies_of, copies_of[:, a], copies_of[:, n + a]]) == 0] = 0.0
         at = new["at"].to_numpy()
         last = np.flatnonzero(np.r_[(np.diff(at) != 0) | (np.diff(cell) != 0), True])
         counts, sums = _products(totals[last], n, a)
@@ -232,19 +256,23 @@ def approx_changes(
         was_count, was_sum = _products(held[cell[last]], n, a)
         was_count, was_sum = np.where(fresh, was_count, np.r_[0.0, counts[:-1]]), np.where(fresh, was_sum, np.r_[0.0, sums[:-1]])
         held[cell[last]] = totals[last]  # the last of a cell's rows wins
-        kept = (np.abs(held) > NOTHING).any(axis=1)
+        kept = (held[:, 2 * n + 2 :] > 0).any(axis=1)
         state.update((places[kept].ravel().tolist(), held[kept].ravel().tolist()))
-        out = pd.DataFrame({**{c: places[cell[last], i] for i, c in enumerate(cells)}, "at": at[last], "joinCount": counts - was_count, "joinSum": sums - was_sum})
+        out = pd.DataFrame({**{c: places[cell[last], i] for i, c in enumerate(cells)}, "at": at[last], "joinCount": counts - was_count, "joinSum": sums - was_sum, "cellCount": counts, "cellSum": sums})
         yield out[(out["joinCount"] != 0) | (out["joinSum"] != 0)]
 
     kinds = ", ".join(f"{c} long" for c in cells)
     tiles = due.drop(TIME).withColumns({f"_tile_{i}": F.floor(F.col(c) / TILE) for i, c in enumerate(cells)})
     return tiles.groupBy(*[f"_tile_{i}" for i in range(len(cells))]).applyInPandasWithState(
-        step, f"{kinds}, at long, joinCount double, joinSum double", "cells array<long>, totals array<double>", "append", GroupStateTimeout.NoTimeout
+        step, f"{kinds}, at long, joinCount double, joinSum double, cellCount double, cellSum double", "cells array<long>, totals array<double>", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def approx_totals(changes: DataFrame) -> DataFrame:
-    """joinCount, joinSum, joinAvg of the window after the last row; sums by cell first, then over cells."""
-    out = changes.agg(F.coalesce(F.sum("joinCount"), F.lit(0.0)).alias("joinCount"), F.coalesce(F.sum("joinSum"), F.lit(0.0)).alias("joinSum"))
-    return out.withColumn("joinAvg", F.when(F.col("joinCount") == 0, F.lit(0.0)).otherwise(F.col("joinSum") / F.col("joinCount")))
+    """joinCount, joinSum, joinAvg of the window after the last row: each cell's estimates after its last change, added up.
+
+    Changes themselves aren't: what rounding loses in each would be left where nothing else is.
+    """
+    last = changes.groupBy(*[c for c in changes.columns if c.startswith("cell_")]).agg(F.max_by(F.struct("cellCount", "cellSum"), "at").alias("_last"))
+    out = last.agg(F.coalesce(F.sum("_last.cellCount"), F.lit(0.0)).alias("joinCount"), F.coalesce(F.sum("_last.cellSum"), F.lit(0.0)).alias("joinSum"))
+    return out.withColumn("joinAvg", average(F.col("joinSum"), F.col("joinCount")))

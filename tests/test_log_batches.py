@@ -1,9 +1,11 @@
 """Windows over a log of numbered rows without keyed state, in several micro-batches and after restarts, against the batch window."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_numbered_window import SCHEMA, S, batch_window, made, parts, pour
 
+import __spark_entry__ as entry
 from proxjoin.operators import approx, window
 from proxjoin.streaming import numbered
 
@@ -68,3 +70,29 @@ def test_a_log_without_rows_has_a_result(spark, tmp_path):
     changes = numbered.window_change_batches(split, ["x", "y"], 3.0, 40)
     numbered.follow_log(log, f"{at}/log", changes, 40, f"{at}/rows", f"{at}/joining").awaitTermination()
     assert numbered.change_totals(spark.read.parquet(f"{at}/rows"), "s0", ["x"]).first()["count"] == 0
+
+
+def test_nothing_is_left_of_rows_that_left_the_window(spark, tmp_path):
+    """Values that no sum takes back exactly, then rows far from one another: the window's estimates are 0."""
+    met = [(f"m{i:03d}", i, S[i % 3], 1.0 + i % 7 / 10, 1.0 + i % 5 / 9) for i in range(120)]
+    rows, at = met + [(f"z{i:03d}", 120 + i, S[i % 3], 100.0 * i, 50.0) for i in range(45)], str(tmp_path)
+    with_v = lambda known: {s: df.withColumn("v", F.lit(1e15) / (F.col("seq") + 0.3)) for s, df in split(known).items()}
+    changes = numbered.approx_change_batches(with_v, ["x", "y"], 2.5, "s1", "v", 40)
+    for part in (rows[:70], rows[70:]):
+        log = pour(spark, part, at)
+        numbered.follow_log(log, f"{at}/log", changes, 40, f"{at}/rows", f"{at}/counting").awaitTermination()
+    got = spark.read.parquet(f"{at}/rows")
+    assert numbered.approx_totals(got.where("at <= 120")).first().joinSum > 1e15
+    assert tuple(numbered.approx_totals(got).first()) == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("count", [0, 300])
+def test_an_average_of_nothing_is_that_of_sql(spark, tmp_path, count):
+    """Rows too far apart for any combination, and no rows."""
+    folder = str(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * REPLACE (event_id * 1000 AS user_id) FROM '/root/testdata/sf0.001/events.parquet' WHERE event_id < {count}")
+    con.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    for name in ("stream_approx", "approx_weighted"):
+        want = con.execute(entry.oracle_sql()[name]).fetchall()
+        assert repr([tuple(r) for r in entry.queries()[name](spark, folder).collect()]) == repr(want)
