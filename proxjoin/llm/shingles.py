@@ -395,12 +395,14 @@ def near_numbered(rows: DataFrame, number: str, text: str, leaders: int = LEADER
     root_of = lambda c, name: starred.select(F.col("node").alias(c), F.col("root").alias(name))
     placed = met.join(root_of("id", "r"), "id", "left").join(root_of("a", "l"), "a", "left")
     placed = materialize(placed.select("a", F.coalesce("l", "a").alias("low"), "id", F.coalesce("r", "id").alias("root")))
-    still = placed.where("low <> root").select("a").distinct()
-    several = placed.join(still, "a", "left_semi")
-    several = materialize(several.select("low", F.explode(F.array(F.struct("id", "root"), F.struct(F.col("a").alias("id"), F.col("low").alias("root")))).alias("m")).select("low", "m.id", "m.root"))
-    families = components(several.select(F.col("low").alias("a"), F.col("root").alias("b")).distinct())
+    # A set of another component than its hub is told by its own row; only those of their hub's are looked up by hub.
+    apart, beside = placed.where("low <> root"), placed.where("low = root")
+    beside = beside.join(apart.select("a").distinct(), "a", "left_semi")
+    hub = apart.select(F.col("a").alias("id"), F.col("low").alias("root"))
+    several = materialize(apart.select("id", "root").union(hub).union(beside.select("id", "root")).distinct())
+    families = components(apart.select(F.col("low").alias("a"), F.col("root").alias("b")).distinct())
     families = families.select(F.col("node").alias("root"), F.col("root").alias("family"))
-    within_families = several.select("id", "root").distinct().join(families, "root").join(wanted.select("id", "bytes"), "id")
+    within_families = several.join(families, "root").join(wanted.select("id", "bytes"), "id")
     more = materialize(_inside(materialize(within_families), sets, block))
     # Links between families' components are between their roots, so the links of the first pass aren't joined again.
     end = lambda c: starred.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))

@@ -128,3 +128,25 @@ def test_links_of_two_blocks_connect_what_is_similar_across():
         want = [(a, b) for a in range(12) for b in range(a) if (own[a] != own[b] or not across) and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))]
         assert classes(given + found) == classes(given + want)
         assert all(roots[a] != roots[b] for a, b in found)
+
+
+def test_members_of_families_are_told_once(spark, monkeypatch):
+    """A set meets many hubs of its group; what goes on is a row for each set, not two for each set and hub."""
+    rnd, written, plain = random.Random(5), {}, shingles.materialize
+
+    def told(df, *args, **more):
+        out = plain(df, *args, **more)
+        written[tuple(out.columns)] = out
+        return out
+
+    monkeypatch.setattr(shingles, "materialize", told)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    data = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(10 if k % 4 == 0 else 2):
+            words[rnd.randrange(len(words))] = f"u{rnd.randrange(9000)}"
+        data.append((k, " ".join(words)))
+    assert shingles.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).count() == 60
+    members = [t for names, t in written.items() if {"id", "root"} <= set(names) and "a" not in names]
+    assert len(members) == 2 and all(40 < t.count() <= 60 for t in members)
